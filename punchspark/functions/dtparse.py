@@ -22,6 +22,8 @@ the fixed format list below instead of a general date parser.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,41 +77,10 @@ def _time_secs(time_text: Column) -> Column:
     return F.when(ok, h * 3600 + m * 60 + s)
 
 
-def _serial_micros(raw: Column, t: Column, t_trim: Column, t_secs: Column, strict: bool) -> Column:
-    """Epoch microseconds of an Excel serial date (+ optional time cell), or null."""
-    lo, hi = (1, EXCEL_MAX_SERIAL) if strict else (-693593, EXCEL_MAX_SERIAL)
-    valid = raw.isNotNull() & (raw >= lo) & (raw < hi + 1)
-    # new Date((raw - 25569) * 86400 * 1000): milliseconds truncated toward zero.
-    base_us = ((raw - F.lit(EXCEL_EPOCH_SERIAL)) * 86400 * 1000).cast("bigint") * 1000
-    day_start_us = F.floor(base_us / F.lit(US_PER_DAY)).cast("bigint") * US_PER_DAY
-    t_num = t_trim.try_cast("double")
-    numeric_time = (t_trim != "") & t_trim.rlike(_NUMBER_RE) & (F.abs(t_num) < 1e6)
-    # Math.round(t*24*60*60) → whole hours and minutes, seconds dropped.
-    total = F.floor(t_num * 24 * 60 * 60 + 0.5).cast("bigint")
-    hrs = F.floor(total / 3600).cast("bigint")
-    js_rem = total - (total / 3600).cast("bigint") * 3600  # JS % keeps the sign
-    mins = F.floor(js_rem / 60).cast("bigint")
-    return (
-        F.when(~valid, F.lit(None).cast("bigint"))
-        .when(numeric_time, day_start_us + (hrs * 3600 + mins * 60) * US_PER_SEC)
-        .when(t != "", day_start_us + t_secs * US_PER_SEC)
-        .otherwise(base_us)
-    )
-
-
-def _ymd_micros(y: Column, m0: Column, d: Column, secs: Column) -> Column:
-    """new Date(y, m0, d) + secs with JS rollover; null outside years 1..9999."""
-    y = F.when((y >= 0) & (y <= 99), y + 1900).otherwise(y)
-    ok_in = y.isNotNull() & m0.isNotNull() & d.isNotNull() & secs.isNotNull()
-    ok_in = ok_in & (F.abs(y) < 10**6) & (F.abs(m0) < 10**7) & (F.abs(d) < 10**8)
-    months = y * 12 + m0
-    ym = F.floor(months / 12).cast("bigint")
-    mn = F.pmod(months, F.lit(12))
-    ok_ym = ok_in & (ym >= 1) & (ym <= 9999)
-    first_of_month = F.when(ok_ym, F.make_date(ym.cast("int"), (mn + 1).cast("int"), F.lit(1)))
-    days = F.unix_date(first_of_month).cast("bigint") + d - 1
-    total_secs = days * 86400 + secs
-    return F.when(ok_ym & _in_range_secs(total_secs), total_secs * US_PER_SEC)
+def _stages(df: DataFrame, stages: list[dict[str, Column]]) -> DataFrame:
+    for st in stages:
+        df = df.withColumns(st)
+    return df
 
 
 def with_punch_datetime(
@@ -117,61 +88,115 @@ def with_punch_datetime(
 ) -> DataFrame:
     """Add ``out`` (TIMESTAMP_NTZ, null when unparseable) from text date/time cells.
 
-    Built as a few small projections (not one huge expression) so every step stays
-    inside whole-stage codegen.
+    Every intermediate value is its own column, computed once and referenced by
+    name, so the generated code stays small and inside whole-stage codegen.
     """
     p = "__dt_"
+
+    def c(name: str) -> Column:
+        return F.col(p + name)
+
     t_src = F.col(time_cell) if time_cell else F.lit(None).cast("string")
     d = F.col(date_cell)
-    s1 = df.withColumns(
+    lo, hi = (1, EXCEL_MAX_SERIAL) if strict_serial else (-693593, EXCEL_MAX_SERIAL)
+    stages = [
+        # raw cells
+        {p + "d": js_trim(F.coalesce(d, F.lit(""))), p + "present": d.isNotNull() & (d != ""), p + "t": F.coalesce(t_src, F.lit(""))},
         {
-            p + "d": js_trim(F.coalesce(d, F.lit(""))),
-            p + "present": d.isNotNull() & (d != ""),
-            p + "t": F.coalesce(t_src, F.lit("")),
-        }
-    )
-    ds, t = F.col(p + "d"), F.col(p + "t")
-    kind = (
-        F.when(~F.col(p + "present"), F.lit(0))
-        .when(ds.rlike(_NUMBER_RE), F.lit(1))
-        .when(ds.contains("-"), F.lit(2))
-        .when(ds.contains("/"), F.lit(3))
-        .otherwise(F.lit(4))
-    )
-    s2 = s1.withColumns(
+            p + "kind": F.when(~c("present"), F.lit(0))
+            .when(c("d").rlike(_NUMBER_RE), F.lit(1))
+            .when(c("d").contains("-"), F.lit(2))
+            .when(c("d").contains("/"), F.lit(3))
+            .otherwise(F.lit(4)),
+            p + "dash": c("d").contains("-"),
+            p + "tt": js_trim(c("t")),
+        },
         {
-            p + "kind": kind,
-            p + "parts": F.split(ds, F.when(ds.contains("-"), F.lit("-")).otherwise(F.lit("/"))),
-            p + "tt": js_trim(t),
-            p + "clock": F.when(t != "", js_trim(t)).otherwise(F.lit("00:00:00")),
-        }
-    )
-    parts, k = F.col(p + "parts"), F.col(p + "kind")
-    ymd = F.length(F.coalesce(_part(parts, 1), F.lit(""))) == 4
-    a, b, c = (js_int_prefix(_part(parts, i)) for i in (1, 2, 3))
-    s3 = s2.withColumns(
+            p + "parts": F.split(c("d"), F.when(c("dash"), F.lit("-")).otherwise(F.lit("/"))),
+            p + "clock": F.when(c("t") != "", c("tt")).otherwise(F.lit("00:00:00")),
+            p + "t_is_num": (c("tt") != "") & c("tt").rlike(_NUMBER_RE),
+        },
         {
-            p + "y": F.when(k == 3, c).when(ymd, a).otherwise(c),
-            p + "m0": F.when(k == 3, a).otherwise(b) - 1,
-            p + "dd": F.when(k == 3, b).when(ymd, c).otherwise(a),
-            p + "tsecs": _time_secs(F.col(p + "tt")),
-            p + "csecs": _time_secs(F.col(p + "clock")),
-            p + "raw": F.when(k == 1, ds.try_cast("double")),
-            p + "free": F.when(k == 4, F.coalesce(*[F.try_to_date(ds, fmt) for fmt in FREE_TEXT_DATE_FORMATS])),
-        }
-    )
-    free_secs = F.unix_date(F.col(p + "free")).cast("bigint") * 86400 + F.col(p + "csecs")
-    us = (
-        F.when(k == 1, _serial_micros(F.col(p + "raw"), t, F.col(p + "tt"), F.col(p + "tsecs"), strict_serial))
-        .when(
-            (k == 2) | (k == 3),
-            _ymd_micros(F.col(p + "y"), F.col(p + "m0"), F.col(p + "dd"), F.col(p + "csecs")),
-        )
-        .when(k == 4, F.when(F.col(p + "free").isNotNull() & _in_range_secs(free_secs), free_secs * US_PER_SEC))
+            p + "a": js_int_prefix(_part(c("parts"), 1)),
+            p + "b": js_int_prefix(_part(c("parts"), 2)),
+            p + "c": js_int_prefix(_part(c("parts"), 3)),
+            p + "ymd": F.length(F.coalesce(_part(c("parts"), 1), F.lit(""))) == 4,
+            p + "tsecs": _time_secs(c("tt")),
+            p + "csecs": _time_secs(c("clock")),
+            p + "raw": F.when(c("kind") == 1, c("d").try_cast("double")),
+            p + "t_num": F.when(c("t_is_num"), c("tt").try_cast("double")),
+            p + "free": F.when(c("kind") == 4, F.coalesce(*[F.try_to_date(c("d"), fmt) for fmt in FREE_TEXT_DATE_FORMATS])),
+        },
+        # text dates: parts by layout (D-M-Y, Y-M-D or M/D/Y), years 0-99 → 1900+
+        {
+            p + "y0": F.when(c("kind") == 3, c("c")).when(c("ymd"), c("a")).otherwise(c("c")),
+            p + "m0": F.when(c("kind") == 3, c("a")).otherwise(c("b")) - 1,
+            p + "dd": F.when(c("kind") == 3, c("b")).when(c("ymd"), c("c")).otherwise(c("a")),
+            # serial: new Date((raw - 25569) * 86400 * 1000), ms truncated toward zero
+            p + "serial_ok": c("raw").isNotNull() & (c("raw") >= lo) & (c("raw") < hi + 1),
+            # Math.round(t*24*60*60)
+            p + "tot": F.when(F.abs(c("t_num")) < 1e6, F.floor(c("t_num") * 24 * 60 * 60 + 0.5).cast("bigint")),
+        },
+        {
+            p + "y": F.when((c("y0") >= 0) & (c("y0") <= 99), c("y0") + 1900).otherwise(c("y0")),
+            p + "base_us": F.when(
+                c("serial_ok"), ((c("raw") - F.lit(EXCEL_EPOCH_SERIAL)) * 86400 * 1000).cast("bigint") * 1000
+            ),
+            p + "hrs": F.floor(c("tot") / 3600).cast("bigint"),
+            p + "rem": c("tot") - (c("tot") / 3600).cast("bigint") * 3600,  # JS % keeps the sign
+        },
+        {
+            p + "ok_in": c("y").isNotNull() & c("m0").isNotNull() & c("dd").isNotNull() & c("csecs").isNotNull()
+            & (F.abs(c("y")) < 10**6) & (F.abs(c("m0")) < 10**7) & (F.abs(c("dd")) < 10**8),
+            p + "day0_us": F.floor(c("base_us") / F.lit(US_PER_DAY)).cast("bigint") * US_PER_DAY,
+            p + "mins": F.floor(c("rem") / 60).cast("bigint"),
+        },
+        {
+            p + "months": F.when(c("ok_in"), c("y") * 12 + c("m0")),
+        },
+        {
+            p + "ym": F.floor(c("months") / 12).cast("bigint"),
+            p + "mn": F.pmod(c("months"), F.lit(12)),
+        },
+        {
+            p + "ok_ym": c("ok_in") & (c("ym") >= 1) & (c("ym") <= 9999),
+        },
+        {
+            p + "days": F.when(
+                c("ok_ym"), F.unix_date(F.make_date(c("ym").cast("int"), (c("mn") + 1).cast("int"), F.lit(1))).cast("bigint") + c("dd") - 1
+            ),
+            p + "free_secs": F.unix_date(c("free")).cast("bigint") * 86400 + c("csecs"),
+        },
+        {p + "text_secs": c("days") * 86400 + c("csecs")},
+        {
+            p + "us": F.when(
+                c("kind") == 1,
+                F.when(~c("serial_ok"), F.lit(None).cast("bigint"))
+                .when(c("tot").isNotNull(), c("day0_us") + (c("hrs") * 3600 + c("mins") * 60) * US_PER_SEC)
+                .when(c("t") != "", c("day0_us") + c("tsecs") * US_PER_SEC)
+                .otherwise(c("base_us")),
+            )
+            .when(
+                (c("kind") == 2) | (c("kind") == 3),
+                F.when(_in_range_secs(c("text_secs")), c("text_secs") * US_PER_SEC),
+            )
+            .when(
+                c("kind") == 4,
+                F.when(c("free").isNotNull() & _in_range_secs(c("free_secs")), c("free_secs") * US_PER_SEC),
+            )
+        },
+    ]
+    staged = _stages(df, stages)
+    # Barrier: without it a later filter on ``out`` is pushed down through every stage
+    # and the stages are inlined into one exponentially large expression. A metrics
+    # node stops predicate pushdown without a shuffle (and counts parsed rows).
+    staged = staged.observe(
+        f"punch_parse_{uuid.uuid4().hex[:12]}",
+        F.count(F.lit(1)).alias("rows"),
+        F.count(c("us")).alias("parsed"),
     )
-    s4 = s3.withColumn(p + "us", us)
-    helpers = [c for c in s4.columns if c.startswith(p)]
-    return s4.withColumn(out, micros_to_ntz(F.col(p + "us"))).drop(*helpers)
+    helpers = [x for x in staged.columns if x.startswith(p)]
+    return staged.withColumn(out, micros_to_ntz(c("us"))).drop(*helpers)
 
 
 def merge_date_time(date_col: Column | str, time_cell: Column | str | None) -> Column:

@@ -17,8 +17,8 @@ from punchspark.plans.driver_tables import engine_tables
 # Parameters of the filtered variants (fixed so the oracle can use the same).
 FILTER_START = "2024-01-05"
 FILTER_END = "2024-01-20"
-FILTER_DEPARTMENT_ID = 7
-FILTER_EMPLOYEE = "2"
+FILTER_DEPARTMENT_ID = 19
+FILTER_EMPLOYEE = "1"
 FILTER_STATUS = "OVERTIME"
 EXPORT_DEPARTMENT = "nation_3"
 EXPORT_STATUS = "late arrival"
@@ -119,3 +119,229 @@ REGISTRY = {
     "export_daily": export_daily,
     "export_filtered": export_filtered,
 }
+
+
+# ---------------------------------------------------------------------------
+# Ingestion (P*) over a punch upload derived from events, roster named from part
+# ---------------------------------------------------------------------------
+
+from punchspark.operators import ingest as I  # noqa: E402
+from punchspark.operators import identity as ID  # noqa: E402
+from punchspark.operators import roster as R  # noqa: E402
+from punchspark.functions.text import normalize_name  # noqa: E402
+from punchspark.functions.dtparse import with_punch_datetime  # noqa: E402
+from punchspark.plans import driver_tables as DT  # noqa: E402
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> I.IngestResult:
+    events, part, customer = (DT.table(spark, sf_dir, t) for t in ("events", "part", "customer"))
+    upload = DT.punch_upload_from_events(events, part)
+    return I.ingest_punch_upload(upload, DT.named_roster(customer, part))
+
+
+def punch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingest(spark, sf_dir).punches.select(
+        "EmployeeNo",
+        F.date_format("PunchDateTime", "yyyy-MM-dd HH:mm:ss").alias("PunchDateTime"),
+        "DeviceName",
+        "AreaName",
+        "Status",
+        "match_method",
+    )
+
+
+def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingest(spark, sf_dir).metrics
+
+
+def facility_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, part = DT.table(spark, sf_dir, "events"), DT.table(spark, sf_dir, "part")
+    cells = ID.punch_cells(DT.punch_upload_from_events(events, part))
+    flagged = I.exclude_facilities(cells)
+    return flagged.groupBy("DeviceName", F.col("facility").alias("excluded")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def punch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _ingest(spark, sf_dir).groups
+    return g.where(~F.col("dropped") & (F.col("n") > 1)).select(
+        "EmployeeNo",
+        F.date_format("PunchDateTime", "yyyy-MM-dd HH:mm:ss").alias("PunchDateTime"),
+        F.col("n").alias("copies"),
+        F.col("first.DeviceName").alias("KeptDevice"),
+    )
+
+
+# Text layouts the punch-time parser is checked against (pattern per event type).
+DATE_LAYOUTS = {
+    "view": ("yyyy-MM-dd", "HH:mm:ss"),
+    "click": ("dd-MM-yyyy", "H:mm:ss"),
+    "purchase": ("MM/dd/yyyy", "HH:mm"),
+    "signup": ("d MMM yyyy", "H:mm:ss"),
+    "error": ("M/d/yyyy", "H:m:s"),
+}
+
+
+def datetime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11 over every event: the event time written in one of DATE_LAYOUTS, parsed back."""
+    ev = DT.table(spark, sf_dir, "events")
+    d = F.lit(None).cast("string")
+    t = F.lit(None).cast("string")
+    for et, (dfmt, tfmt) in DATE_LAYOUTS.items():
+        d = F.when(F.col("event_type") == et, F.date_format("ts", dfmt)).otherwise(d)
+        t = F.when(F.col("event_type") == et, F.date_format("ts", tfmt)).otherwise(t)
+    cells = ev.select("event_id", "event_type", d.alias("date_cell"), t.alias("time_cell"))
+    parsed = with_punch_datetime(cells, "date_cell", "time_cell", "parsed")
+    return parsed.select("event_id", "date_cell", "time_cell", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+def excel_serial_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12 over every event: serial day number + day fraction (6 decimals), parsed back."""
+    ev = DT.table(spark, sf_dir, "events")
+    serial = F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date"))
+    secs = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    frac = F.format_string("%.6f", secs / F.lit(86400.0))
+    cells = ev.select("event_id", serial.cast("string").alias("date_cell"), frac.alias("time_cell"))
+    parsed = with_punch_datetime(cells, "date_cell", "time_cell", "parsed")
+    return parsed.select("event_id", "date_cell", "time_cell", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 over every part: a badge-style decorated name (NULL marker, (brand), size digits)."""
+    part = DT.table(spark, sf_dir, "part")
+    raw = F.concat(F.lit("NULL "), F.upper("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(") "), F.col("p_size").cast("string"), F.lit(" x."))
+    return part.select("p_partkey", raw.alias("raw"), normalize_name(raw).alias("normalized"))
+
+
+def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5-P9 over every part row as an unread-card punch: the name written four ways."""
+    part, customer = DT.table(spark, sf_dir, "part"), DT.table(spark, sf_dir, "customer")
+    w1 = F.element_at(F.split("p_name", " "), 1)
+    w2 = F.element_at(F.split("p_name", " "), -1)
+    style = F.pmod(F.col("p_size"), F.lit(4))
+    first = (
+        F.when(style == 0, w1)
+        .when(style == 1, w2)
+        .when(style == 2, F.concat(F.upper(w1), F.lit(" Q.")))
+        .otherwise(F.substring(w1, 1, 4))
+    )
+    last = F.when(style == 0, w2).when(style == 1, w1).when(style == 2, F.concat(w2, F.lit(" 07"))).otherwise(F.lit(""))
+    upload = part.select(
+        F.lit("0").alias("PersonNo"),
+        first.alias("PersonFirstName"),
+        last.alias("PersonLastName"),
+        F.lit("parts").alias("upload_id"),
+        F.struct(F.lit(0).cast("bigint").alias("blk"), F.col("p_partkey").alias("rec")).alias("row_ord"),
+        F.col("p_partkey"),
+    )
+    cells = ID.punch_cells(upload).join(upload.select("row_ord", "p_partkey"), "row_ord")
+    resolved = ID.resolve_identity(cells, DT.named_roster(customer, part))
+    return resolved.select("p_partkey", "first_cell", "last_cell", "EmployeeNo", "unauthorized", "match_method")
+
+
+# ---------------------------------------------------------------------------
+# Roster sync (R*) over a roster upload from customer, existing staff from supplier
+# ---------------------------------------------------------------------------
+
+
+def _sync(spark: SparkSession, sf_dir: str) -> R.RosterSync:
+    customer, supplier, nation = (DT.table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    return R.sync_roster(
+        DT.users_from_supplier(supplier), DT.departments_from_nation(nation), DT.roster_upload_from_customer(customer)
+    )
+
+
+def roster_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sync(spark, sf_dir).users
+
+
+def roster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sync(spark, sf_dir).metrics
+
+
+def department_provision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sync(spark, sf_dir).departments
+
+
+def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, users, departments = engine_tables(spark, sf_dir)
+    return R.directory(users, departments)
+
+
+def directory_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, users, departments = engine_tables(spark, sf_dir)
+    return R.directory(users, departments, strict=True)
+
+
+DIRECTORY_QUERY = "nation_1"
+
+
+def directory_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, users, departments = engine_tables(spark, sf_dir)
+    return R.directory_filter(R.directory(users, departments), "Active", DIRECTORY_QUERY)
+
+
+def departments_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, departments = engine_tables(spark, sf_dir)
+    return R.departments_list(departments)
+
+
+def _admin_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admin requests from supplier rows: one create/update/toggle per supplier."""
+    s = DT.table(spark, sf_dir, "supplier")
+    return s.select(
+        F.col("s_suppkey").alias("req_ord"),
+        F.concat(F.lit(" s"), F.col("s_suppkey").cast("string")).alias("employeeNo"),
+        F.concat(F.lit(" "), F.col("s_name"), F.lit(" ")).alias("firstName"),
+        F.when(F.col("s_acctbal") >= 0, F.lit("Vendor")).otherwise(F.lit("")).alias("lastName"),
+        F.col("s_nationkey").cast("string").alias("departmentId"),
+        F.lit("User").alias("role"),
+        F.lit("pw").alias("password"),
+        F.col("s_suppkey"),
+        F.col("s_acctbal"),
+    )
+
+
+def users_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, users, _ = engine_tables(spark, sf_dir)
+    new_users, _ = R.create_users(users, _admin_requests(spark, sf_dir))
+    return new_users
+
+
+def users_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, users, _ = engine_tables(spark, sf_dir)
+    req = _admin_requests(spark, sf_dir).withColumn("employeeNo", F.col("s_suppkey").cast("string"))
+    return R.update_users(users, req)
+
+
+def users_set_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, users, _ = engine_tables(spark, sf_dir)
+    req = _admin_requests(spark, sf_dir).select(
+        "req_ord",
+        F.col("s_suppkey").cast("string").alias("employeeNo"),
+        F.when(F.col("s_acctbal") > 5000, F.lit(True)).when(F.col("s_acctbal") > 0, F.lit(None)).otherwise(F.lit(False)).alias("isActive"),
+    )
+    return R.set_active(users, req)
+
+
+REGISTRY.update(
+    {
+        "punch_ingest": punch_ingest,
+        "ingest_metrics": ingest_metrics,
+        "facility_exclusion": facility_exclusion,
+        "punch_dedup": punch_dedup,
+        "datetime_parse": datetime_parse,
+        "excel_serial_parse": excel_serial_parse,
+        "name_normalize": name_normalize,
+        "name_match": name_match,
+        "roster_upsert": roster_upsert,
+        "roster_metrics": roster_metrics,
+        "department_provision": department_provision,
+        "directory": directory,
+        "directory_strict": directory_strict,
+        "directory_filter": directory_filter,
+        "departments_list": departments_list,
+        "users_create": users_create,
+        "users_update": users_update,
+        "users_set_active": users_set_active,
+    }
+)
