@@ -237,5 +237,299 @@ WHERE rawDate >= '{Q.FILTER_START}' AND rawDate <= '{Q.FILTER_END}'
     return out
 
 
+# ---------------------------------------------------------------------------
+# Ingestion and roster oracles
+# ---------------------------------------------------------------------------
+
+FACILITIES_SQL = "('SERVER ROOM-IN', 'SERVER ROOM-OUT', 'STORE ROOM-IN', 'HUB ROOM-IN', 'HUB ROOM-OUT', 'Q2-ELECTRICAL ROOM-IN', 'Q3 ELE ROOM-IN')"
+
+
+def normalize_sql(x: str) -> str:
+    s = js_trim(f"coalesce({x}, '')")
+    s = f"regexp_replace({s}, '^null\\s+', '', 'i')"
+    s = f"regexp_replace({s}, '\\s+null$', '', 'i')"
+    s = f"regexp_replace({s}, '\\(.*?\\)', '', 'g')"
+    s = f"regexp_replace({s}, '\\d+', '', 'g')"
+    s = f"regexp_replace({s}, '[.,/#!$%^&*;:{{}}=\\-_`~?]', ' ', 'g')"
+    s = js_trim(f"regexp_replace({s}, '\\s+', ' ', 'g')")
+    return f"array_to_string(list_filter(string_split({s}, ' '), lambda w: length(w) > 1), ' ')"
+
+
+def name_key_sql(x: str) -> str:
+    return f"regexp_replace(lower({js_trim(f'coalesce({x}, {chr(39)}{chr(39)})')}), '\\s+', '', 'g')"
+
+
+NAMED_USERS = """
+SELECT c.c_custkey + 1 AS UserID, CAST(c.c_custkey AS VARCHAR) AS EmployeeNo,
+       coalesce(string_split(p.p_name, ' ')[1], '') AS FirstName,
+       coalesce(string_split(p.p_name, ' ')[-1], c.c_name) AS LastName
+FROM customer c LEFT JOIN part p ON p.p_partkey = c.c_custkey"""
+
+
+def cascade_sql(upload: str, users: str = NAMED_USERS) -> str:
+    """CTEs resolving identity for ``up``(rec, id_cell, first_cell, last_cell, unified_cell, ...) → ``lab``."""
+    nk_f, nk_l = name_key_sql("FirstName"), name_key_sql("LastName")
+    full = js_trim("first_cell || ' ' || last_cell")
+    return f"""
+up AS ({upload}),
+users AS ({users}),
+keys AS (SELECT DISTINCT upper({js_trim('EmployeeNo')}) AS key FROM users),
+nu AS (SELECT UserID, EmployeeNo, {nk_f} AS f, {nk_l} AS l FROM users),
+ent AS (
+  SELECT UserID, EmployeeNo, f || l AS key, 0 AS slot FROM nu WHERE f <> '' AND l <> ''
+  UNION ALL SELECT UserID, EmployeeNo, l || f, 1 FROM nu WHERE f <> '' AND l <> ''
+  UNION ALL SELECT UserID, EmployeeNo, f, 0 FROM nu WHERE f <> '' AND l = ''
+  UNION ALL SELECT UserID, EmployeeNo, l, 0 FROM nu WHERE f = '' AND l <> ''
+),
+idx AS (SELECT key, arg_max(EmployeeNo, UserID * 2 + slot) AS emp, min(UserID * 2 + slot) AS pos FROM ent GROUP BY key),
+r AS (
+  SELECT up.*, upper({js_trim("coalesce(id_cell, '')")}) AS raw_id,
+         {normalize_sql(f"CASE WHEN {full} <> '' THEN {full} ELSE {js_trim('unified_cell')} END")} AS norm
+  FROM up
+),
+r2 AS (
+  SELECT r.*, (raw_id NOT IN ('', '16777985', '0', 'NULL') AND raw_id IN (SELECT key FROM keys)) AS by_id FROM r
+),
+nm AS (SELECT DISTINCT norm, first_cell FROM r2 WHERE NOT by_id),
+nw AS (SELECT *, list_filter(string_split(norm, ' '), lambda x: length(x) > 0) AS w FROM nm),
+cand AS (
+  SELECT norm, first_cell, 0 AS prio, regexp_replace(lower(norm), '\\s+', '', 'g') AS key FROM nm WHERE norm <> ''
+  UNION ALL SELECT norm, first_cell, 1, lower(w[1]) || lower(w[2]) FROM nw WHERE len(w) >= 2
+  UNION ALL SELECT norm, first_cell, 2, lower(w[2]) || lower(w[1]) FROM nw WHERE len(w) >= 2
+  UNION ALL SELECT norm, first_cell, 3, lower(w[1]) || lower(w[-1]) FROM nw WHERE len(w) >= 2
+  UNION ALL SELECT norm, first_cell, 4, lower(w[-1]) || lower(w[1]) FROM nw WHERE len(w) >= 2
+),
+hit AS (
+  SELECT norm, first_cell, arg_min(emp, prio) AS emp, min(prio) AS prio
+  FROM cand JOIN idx USING (key) WHERE emp <> '' GROUP BY norm, first_cell
+),
+needles AS (
+  SELECT DISTINCT lower({js_trim('nm.first_cell')}) AS needle FROM nm LEFT JOIN hit USING (norm, first_cell)
+  WHERE hit.emp IS NULL AND nm.first_cell <> '' AND length(lower({js_trim('nm.first_cell')})) > 2
+),
+loose AS (SELECT needle, arg_min(emp, pos) AS emp FROM needles JOIN idx ON contains(idx.key, needles.needle) GROUP BY needle),
+res AS (
+  SELECT nm.norm, nm.first_cell, coalesce(hit.emp, loose.emp) AS matched,
+         CASE WHEN hit.prio = 0 THEN 'exact' WHEN hit.prio IS NOT NULL THEN 'words'
+              WHEN loose.emp IS NOT NULL THEN 'loose' END AS method
+  FROM nm LEFT JOIN hit USING (norm, first_cell) LEFT JOIN loose ON loose.needle = lower({js_trim('nm.first_cell')})
+),
+fin AS (
+  SELECT r2.*, res.matched, res.method, coalesce(res.matched IN (SELECT key FROM keys), FALSE) AS mk
+  FROM r2 LEFT JOIN res USING (norm, first_cell)
+),
+lab AS (
+  SELECT fin.*,
+    CASE WHEN by_id THEN raw_id WHEN (NOT by_id AND mk) THEN matched WHEN raw_id = '' THEN 'NOT PROVIDED' ELSE raw_id END AS EmployeeNo,
+    (NOT by_id AND NOT (NOT by_id AND mk)) AS unauth,
+    CASE WHEN by_id THEN 'id' WHEN (NOT by_id AND mk) THEN method ELSE 'none' END AS match_method
+  FROM fin
+)"""
+
+
+DEVICE_CASE = (
+    "coalesce(CASE e.event_type WHEN 'view' THEN 'MAIN GATE-IN' WHEN 'click' THEN 'MAIN GATE-OUT' "
+    "WHEN 'purchase' THEN 'CAFETERIA-IN' WHEN 'signup' THEN 'SERVER ROOM-IN' WHEN 'error' THEN 'MAIN GATE-IN' END, e.event_type)"
+)
+
+EVENT_UPLOAD = f"""
+SELECT e.event_id AS rec,
+       CASE WHEN e.event_type = 'error' THEN '0' ELSE CAST(e.user_id AS VARCHAR) END AS id_cell,
+       coalesce(string_split(p.p_name, ' ')[1], '') AS first_cell,
+       coalesce(string_split(p.p_name, ' ')[-1], '') AS last_cell,
+       '' AS unified_cell,
+       strftime(e.ts, '%d-%m-%Y') AS date_cell, strftime(e.ts, '%H:%M') AS time_cell,
+       {DEVICE_CASE} AS device_cell, coalesce(e.props, '') AS area_cell
+FROM events e LEFT JOIN part p ON p.p_partkey = e.user_id"""
+
+
+def _ingest_ctes() -> str:
+    return f"""WITH {cascade_sql(EVENT_UPLOAD)},
+lab2 AS (
+  SELECT rec, EmployeeNo, unauth, match_method, {js_trim('device_cell')} AS dev, {js_trim('area_cell')} AS area,
+         strptime(date_cell || ' ' || time_cell, '%d-%m-%Y %H:%M') AS ts
+  FROM lab
+),
+kept AS (SELECT * FROM lab2 WHERE dev NOT IN {FACILITIES_SQL} AND ts IS NOT NULL)"""
+
+
+SUPPLIER_USERS = """
+SELECT s_suppkey + 1 AS UserID, CAST(s_suppkey AS VARCHAR) AS EmployeeNo, '' AS FirstName, s_name AS LastName,
+       s_nationkey AS DepartmentID, 'User' AS Role, CAST(NULL AS VARCHAR) AS EmpType, s_acctbal >= 0 AS IsActive
+FROM supplier"""
+
+
+def _sync_ctes() -> str:
+    return f"""
+WITH ex AS ({SUPPLIER_USERS}), dep AS ({DEPTS}),
+rows AS (
+  SELECT c_custkey AS ord, upper({js_trim('CAST(c_custkey AS VARCHAR)')}) AS staff, '' AS first,
+         CASE WHEN upper({js_trim('c_name')}) = 'NULL' THEN '' ELSE {js_trim('c_name')} END AS last,
+         {js_trim("coalesce(nullif(c_mktsegment, ''), 'IT')")} AS dept_name,
+         CASE WHEN c_acctbal >= 0 THEN 'Permanent' ELSE 'Contract' END AS emp_type
+  FROM customer
+),
+kept AS (SELECT * FROM rows WHERE staff <> ''),
+seen AS (SELECT lower({js_trim('dept_name')}) AS dkey, arg_min(dept_name, ord) AS DepartmentName, min(ord) AS first_ord FROM kept GROUP BY 1),
+newd AS (
+  SELECT (SELECT coalesce(max(DepartmentID), 0) FROM dep) + row_number() OVER (ORDER BY first_ord) AS DepartmentID, DepartmentName
+  FROM seen WHERE dkey NOT IN (SELECT lower({js_trim('DepartmentName')}) FROM dep)
+),
+alld AS (SELECT DepartmentID, DepartmentName FROM dep UNION ALL SELECT DepartmentID, DepartmentName FROM newd),
+lk AS (SELECT lower({js_trim('DepartmentName')}) AS dkey, max(DepartmentID) AS DepartmentID FROM alld GROUP BY 1),
+rj AS (SELECT kept.*, lk.DepartmentID FROM kept LEFT JOIN lk ON lk.dkey = lower({js_trim('kept.dept_name')})),
+ps AS (
+  SELECT staff, arg_max(first, ord) AS first, arg_max(last, ord) AS last, arg_max(DepartmentID, ord) AS DepartmentID,
+         arg_max(emp_type, ord) AS emp_type, min(ord) AS first_ord, count(*) AS n_rows,
+         staff IN (SELECT upper({js_trim('EmployeeNo')}) FROM ex) AS ex_hit
+  FROM rj GROUP BY staff
+),
+upd AS (
+  SELECT ex.UserID, ex.EmployeeNo,
+         CASE WHEN ps.staff IS NOT NULL THEN ps.first ELSE ex.FirstName END AS FirstName,
+         CASE WHEN ps.staff IS NOT NULL THEN ps.last ELSE ex.LastName END AS LastName,
+         CASE WHEN ps.staff IS NOT NULL THEN ps.DepartmentID ELSE ex.DepartmentID END AS DepartmentID,
+         ex.Role,
+         CASE WHEN ps.staff IS NOT NULL THEN ps.emp_type ELSE ex.EmpType END AS EmpType,
+         ex.IsActive
+  FROM ex LEFT JOIN ps ON ps.staff = upper({js_trim('ex.EmployeeNo')})
+),
+ins AS (
+  SELECT CAST((SELECT coalesce(max(UserID), 0) FROM ex) + row_number() OVER (ORDER BY first_ord) AS INTEGER) AS UserID,
+         staff AS EmployeeNo, first AS FirstName, last AS LastName, DepartmentID, 'User' AS Role, emp_type AS EmpType,
+         TRUE AS IsActive
+  FROM ps WHERE NOT ex_hit
+)"""
+
+
+ADMIN = """
+SELECT s_suppkey AS req_ord, ' s' || CAST(s_suppkey AS VARCHAR) AS employeeNo, ' ' || s_name || ' ' AS firstName,
+       CASE WHEN s_acctbal >= 0 THEN 'Vendor' ELSE '' END AS lastName, CAST(s_nationkey AS VARCHAR) AS departmentId,
+       'User' AS role, 'pw' AS password, s_suppkey, s_acctbal
+FROM supplier"""
+
+DIR_COLS = "EmployeeNo, FirstName, LastName, DepartmentID, DepartmentName, EmpType, Role, IsActive"
+USER_COLS = "UserID, EmployeeNo, FirstName, LastName, DepartmentID, Role, EmpType, IsActive"
+
+
+def ingest_sql() -> dict[str, str]:
+    ing = _ingest_ctes()
+    dt_layouts = {
+        "view": ("%Y-%m-%d", "%H:%M:%S", "second"),
+        "click": ("%d-%m-%Y", "%-H:%M:%S", "second"),
+        "purchase": ("%m/%d/%Y", "%H:%M", "minute"),
+        "signup": ("%-d %b %Y", "%-H:%M:%S", "second"),
+        "error": ("%-m/%-d/%Y", "%-H:%-M:%-S", "second"),
+    }
+    dcase = " ".join(f"WHEN '{k}' THEN strftime(ts, '{v[0]}')" for k, v in dt_layouts.items())
+    tcase = " ".join(f"WHEN '{k}' THEN strftime(ts, '{v[1]}')" for k, v in dt_layouts.items())
+    pcase = " ".join(f"WHEN '{k}' THEN date_trunc('{v[2]}', ts)" for k, v in dt_layouts.items())
+    upload_parts = """
+SELECT p_partkey AS rec, '0' AS id_cell,
+  CASE p_size % 4 WHEN 0 THEN string_split(p_name, ' ')[1] WHEN 1 THEN string_split(p_name, ' ')[-1]
+       WHEN 2 THEN upper(string_split(p_name, ' ')[1]) || ' Q.' ELSE substring(string_split(p_name, ' ')[1], 1, 4) END AS first_cell,
+  CASE p_size % 4 WHEN 0 THEN string_split(p_name, ' ')[-1] WHEN 1 THEN string_split(p_name, ' ')[1]
+       WHEN 2 THEN string_split(p_name, ' ')[-1] || ' 07' ELSE '' END AS last_cell,
+  '' AS unified_cell
+FROM part"""
+    serial_ts = (
+        "make_timestamp(((CAST(date_cell AS BIGINT) - 25569) * 86400 + (tot // 3600) * 3600 + ((tot % 3600) // 60) * 60) * 1000000)"
+    )
+    return {
+        "punch_ingest": f"""{ing}
+SELECT EmployeeNo, strftime(ts, '%Y-%m-%d %H:%M:%S') AS PunchDateTime,
+  CASE WHEN arg_min(dev, rec) <> '' THEN arg_min(dev, rec) END AS DeviceName,
+  CASE WHEN arg_min(area, rec) <> '' THEN arg_min(area, rec) END AS AreaName,
+  CASE WHEN arg_min(unauth, rec) THEN 'Unauthorized Entry' END AS Status,
+  arg_min(match_method, rec) AS match_method
+FROM kept GROUP BY EmployeeNo, ts""",
+        "ingest_metrics": f"""{ing},
+g AS (SELECT EmployeeNo, ts, count(*) AS n FROM kept GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM g) AS importedRows, (SELECT coalesce(sum(n - 1), 0) FROM g) AS skippedDuplicates,
+       CAST(0 AS BIGINT) AS autoProvisionedUsers, CAST(0 AS BIGINT) AS autoProvisionedDepartments,
+       (SELECT count(*) FILTER (WHERE unauth) FROM lab2) AS unauthorizedRecords""",
+        "facility_exclusion": f"""
+WITH u AS ({EVENT_UPLOAD})
+SELECT {js_trim('device_cell')} AS DeviceName, {js_trim('device_cell')} IN {FACILITIES_SQL} AS excluded, count(*) AS rows
+FROM u GROUP BY 1, 2""",
+        "punch_dedup": f"""{ing}
+SELECT EmployeeNo, strftime(ts, '%Y-%m-%d %H:%M:%S') AS PunchDateTime, count(*) AS copies, arg_min(dev, rec) AS KeptDevice
+FROM kept GROUP BY EmployeeNo, ts HAVING count(*) > 1""",
+        "datetime_parse": f"""
+SELECT event_id, CASE event_type {dcase} END AS date_cell, CASE event_type {tcase} END AS time_cell,
+       strftime(CASE event_type {pcase} END, '%Y-%m-%d %H:%M:%S') AS parsed
+FROM events""",
+        "excel_serial_parse": f"""
+WITH c AS (
+  SELECT event_id, CAST(date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) AS VARCHAR) AS date_cell,
+         '0.' || lpad(CAST(((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 2000000 + 86400) // 172800 AS VARCHAR), 6, '0') AS time_cell
+  FROM events
+), t AS (SELECT *, CAST(floor(CAST(time_cell AS DOUBLE) * 24 * 60 * 60 + 0.5) AS BIGINT) AS tot FROM c)
+SELECT event_id, date_cell, time_cell, strftime({serial_ts}, '%Y-%m-%d %H:%M:%S') AS parsed FROM t""",
+        "name_normalize": f"""
+WITH p AS (SELECT p_partkey, 'NULL ' || upper(p_name) || ' (' || p_brand || ') ' || CAST(p_size AS VARCHAR) || ' x.' AS raw FROM part)
+SELECT p_partkey, raw, {normalize_sql('raw')} AS normalized FROM p""",
+        "name_match": f"""WITH {cascade_sql(upload_parts)}
+SELECT rec AS p_partkey, first_cell, last_cell, EmployeeNo, unauth AS unauthorized, match_method FROM lab""",
+    }
+
+
+def roster_sql() -> dict[str, str]:
+    sync = _sync_ctes()
+    users = f"WITH users AS ({USERS}), depts AS ({DEPTS})"
+    return {
+        "roster_upsert": f"{sync}\nSELECT {USER_COLS} FROM upd UNION ALL SELECT {USER_COLS} FROM ins",
+        "roster_metrics": f"""{sync}
+SELECT CAST(coalesce(sum(n_rows), 0) AS BIGINT) AS importedRows,
+       CAST(coalesce(sum(CASE WHEN ex_hit THEN n_rows ELSE n_rows - 1 END), 0) AS BIGINT) AS skippedDuplicates,
+       count(*) FILTER (WHERE NOT ex_hit) AS autoProvisionedUsers,
+       (SELECT count(*) FROM newd) AS autoProvisionedDepartments,
+       CAST(0 AS BIGINT) AS unauthorizedRecords
+FROM ps""",
+        "department_provision": f"{sync}\nSELECT DepartmentID, DepartmentName FROM alld",
+        "directory": f"{users}\nSELECT u.EmployeeNo, u.FirstName, u.LastName, u.DepartmentID, d.DepartmentName, u.EmpType, u.Role, u.IsActive FROM users u LEFT JOIN depts d USING (DepartmentID)",
+        "directory_strict": f"{users}\nSELECT u.EmployeeNo, u.FirstName, u.LastName, u.DepartmentID, d.DepartmentName, u.EmpType, u.Role, u.IsActive FROM users u JOIN depts d USING (DepartmentID)",
+        "directory_filter": f"""{users},
+f AS (
+  SELECT u.EmployeeNo, coalesce(nullif(u.FirstName, ''), '') AS FirstName, coalesce(nullif(u.LastName, ''), '') AS LastName,
+         u.DepartmentID, coalesce(nullif(d.DepartmentName, ''), 'Unassigned') AS DepartmentName,
+         coalesce(nullif(u.EmpType, ''), 'Regular') AS EmpType, coalesce(nullif(u.Role, ''), 'User') AS Role,
+         coalesce(u.IsActive, FALSE) AS IsActive
+  FROM users u LEFT JOIN depts d USING (DepartmentID)
+)
+SELECT * FROM f WHERE IsActive AND (contains(lower(EmployeeNo), '{Q.DIRECTORY_QUERY}')
+  OR contains(lower(FirstName || ' ' || LastName), '{Q.DIRECTORY_QUERY}') OR contains(lower(DepartmentName), '{Q.DIRECTORY_QUERY}'))""",
+        "departments_list": f"{DEPTS}",
+        "users_create": f"""{users}, req AS ({ADMIN}),
+ok AS (
+  SELECT * FROM req WHERE coalesce(employeeNo, '') <> '' AND coalesce(firstName, '') <> '' AND coalesce(lastName, '') <> ''
+    AND coalesce(departmentId, '') <> '' AND coalesce(role, '') <> '' AND coalesce(password, '') <> ''
+    AND upper({js_trim('employeeNo')}) NOT IN (SELECT upper({js_trim('EmployeeNo')}) FROM users)
+)
+SELECT {USER_COLS} FROM users
+UNION ALL
+SELECT CAST((SELECT max(UserID) FROM users) + row_number() OVER (ORDER BY req_ord) AS INTEGER), upper({js_trim('employeeNo')}),
+       {js_trim('firstName')}, {js_trim('lastName')}, CAST(departmentId AS INTEGER), role, CAST(NULL AS VARCHAR), TRUE
+FROM ok""",
+        "users_update": f"""{users}, req AS ({ADMIN}),
+ch AS (
+  SELECT upper(CAST(s_suppkey AS VARCHAR)) AS k, {js_trim('firstName')} AS f, {js_trim('lastName')} AS l,
+         CAST(departmentId AS INTEGER) AS d, role AS r
+  FROM req WHERE coalesce(firstName, '') <> '' AND coalesce(lastName, '') <> '' AND coalesce(departmentId, '') <> '' AND coalesce(role, '') <> ''
+)
+SELECT u.UserID, u.EmployeeNo, coalesce2.FirstName, coalesce2.LastName, coalesce2.DepartmentID, coalesce2.Role, u.EmpType, u.IsActive
+FROM users u LEFT JOIN ch ON ch.k = upper(u.EmployeeNo),
+LATERAL (SELECT CASE WHEN ch.k IS NOT NULL THEN ch.f ELSE u.FirstName END AS FirstName,
+                CASE WHEN ch.k IS NOT NULL THEN ch.l ELSE u.LastName END AS LastName,
+                CASE WHEN ch.k IS NOT NULL THEN ch.d ELSE u.DepartmentID END AS DepartmentID,
+                CASE WHEN ch.k IS NOT NULL THEN ch.r ELSE u.Role END AS Role) coalesce2""",
+        "users_set_active": f"""{users}, req AS ({ADMIN}),
+ch AS (SELECT upper(CAST(s_suppkey AS VARCHAR)) AS k, coalesce(CASE WHEN s_acctbal > 5000 THEN TRUE WHEN s_acctbal > 0 THEN NULL ELSE FALSE END, FALSE) AS flag FROM req)
+SELECT u.UserID, u.EmployeeNo, u.FirstName, u.LastName, u.DepartmentID, u.Role, u.EmpType,
+       CASE WHEN ch.k IS NOT NULL THEN ch.flag ELSE u.IsActive END AS IsActive
+FROM users u LEFT JOIN ch ON ch.k = upper(u.EmployeeNo)""",
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**report_sql()}
+    return {**report_sql(), **ingest_sql(), **roster_sql()}

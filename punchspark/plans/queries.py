@@ -199,7 +199,8 @@ def excel_serial_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = DT.table(spark, sf_dir, "events")
     serial = F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date"))
     secs = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
-    frac = F.format_string("%.6f", secs / F.lit(86400.0))
+    micro_days = F.floor((secs.cast("bigint") * 2_000_000 + 86400) / F.lit(172800)).cast("bigint")  # half-up, exact
+    frac = F.concat(F.lit("0."), F.lpad(micro_days.cast("string"), 6, "0"))
     cells = ev.select("event_id", serial.cast("string").alias("date_cell"), frac.alias("time_cell"))
     parsed = with_punch_datetime(cells, "date_cell", "time_cell", "parsed")
     return parsed.select("event_id", "date_cell", "time_cell", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss").alias("parsed"))
