@@ -38,11 +38,12 @@ def punch_file_stream(spark: SparkSession, input_dir: str, header: list[str], ma
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .csv(input_dir)
     )
-    return raw.select(
-        "*",
-        F.col("_metadata.file_path").alias("upload_id"),
-        F.struct(F.col("_metadata.file_block_start").alias("blk"), F.monotonically_increasing_id().alias("rec")).alias("row_ord"),
-    )
+    return raw.select("*", F.col("_metadata.file_path").alias("upload_id"), F.col("_metadata.file_block_start").alias("__blk"))
+
+
+def with_batch_row_order(batch: DataFrame) -> DataFrame:
+    """Row order inside a micro-batch (position ids are not allowed on the stream itself)."""
+    return batch.withColumn("row_ord", F.struct(F.col("__blk").alias("blk"), F.monotonically_increasing_id().alias("rec"))).drop("__blk")
 
 
 def drop_cross_file_duplicates(stream: DataFrame, id_col: str, date_col: str, time_col: str | None, delay: str = "1 day") -> DataFrame:
@@ -73,7 +74,7 @@ def start_punch_stream(
         stream = drop_cross_file_duplicates(stream, *cross_file_dedup)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
-        result = ingest_punch_upload(batch, users_loader(batch.sparkSession))
+        result = ingest_punch_upload(with_batch_row_order(batch), users_loader(batch.sparkSession))
         groups = result.groups.persist()
         try:
             append_punches(result.punches.drop("upload_id", "match_method"), punches_path)
