@@ -101,78 +101,72 @@ def with_punch_datetime(
     lo, hi = (1, EXCEL_MAX_SERIAL) if strict_serial else (-693593, EXCEL_MAX_SERIAL)
     stages = [
         # raw cells
-        {p + "d": js_trim(F.coalesce(d, F.lit(""))), p + "present": d.isNotNull() & (d != ""), p + "t": F.coalesce(t_src, F.lit(""))},
+        {
+            p + "d": js_trim(F.coalesce(d, F.lit(""))),
+            p + "present": d.isNotNull() & (d != ""),
+            p + "t": F.coalesce(t_src, F.lit("")),
+            p + "tt": js_trim(F.coalesce(t_src, F.lit(""))),
+        },
         {
             p + "kind": F.when(~c("present"), F.lit(0))
             .when(c("d").rlike(_NUMBER_RE), F.lit(1))
             .when(c("d").contains("-"), F.lit(2))
             .when(c("d").contains("/"), F.lit(3))
             .otherwise(F.lit(4)),
-            p + "dash": c("d").contains("-"),
-            p + "tt": js_trim(c("t")),
-        },
-        {
-            p + "parts": F.split(c("d"), F.when(c("dash"), F.lit("-")).otherwise(F.lit("/"))),
-            p + "clock": F.when(c("t") != "", c("tt")).otherwise(F.lit("00:00:00")),
-            p + "t_is_num": (c("tt") != "") & c("tt").rlike(_NUMBER_RE),
+            p + "parts": F.split(c("d"), F.when(c("d").contains("-"), F.lit("-")).otherwise(F.lit("/"))),
+            p + "tsecs": _time_secs(c("tt")),  # '' parses as 0 = '00:00:00'
+            p + "t_num": F.when((c("tt") != "") & c("tt").rlike(_NUMBER_RE), c("tt").try_cast("double")),
         },
         {
             p + "a": js_int_prefix(_part(c("parts"), 1)),
             p + "b": js_int_prefix(_part(c("parts"), 2)),
             p + "c": js_int_prefix(_part(c("parts"), 3)),
             p + "ymd": F.length(F.coalesce(_part(c("parts"), 1), F.lit(""))) == 4,
-            p + "tsecs": _time_secs(c("tt")),
-            p + "csecs": _time_secs(c("clock")),
             p + "raw": F.when(c("kind") == 1, c("d").try_cast("double")),
-            p + "t_num": F.when(c("t_is_num"), c("tt").try_cast("double")),
             p + "free": F.when(c("kind") == 4, F.coalesce(*[F.try_to_date(c("d"), fmt) for fmt in FREE_TEXT_DATE_FORMATS])),
+            # Math.round(t*24*60*60)
+            p + "tot": F.when(F.abs(c("t_num")) < 1e6, F.floor(c("t_num") * 24 * 60 * 60 + 0.5).cast("bigint")),
         },
-        # text dates: parts by layout (D-M-Y, Y-M-D or M/D/Y), years 0-99 → 1900+
         {
+            # text dates: D-M-Y, Y-M-D or M/D/Y; years 0-99 mean 1900+
             p + "y0": F.when(c("kind") == 3, c("c")).when(c("ymd"), c("a")).otherwise(c("c")),
             p + "m0": F.when(c("kind") == 3, c("a")).otherwise(c("b")) - 1,
             p + "dd": F.when(c("kind") == 3, c("b")).when(c("ymd"), c("c")).otherwise(c("a")),
             # serial: new Date((raw - 25569) * 86400 * 1000), ms truncated toward zero
-            p + "serial_ok": c("raw").isNotNull() & (c("raw") >= lo) & (c("raw") < hi + 1),
-            # Math.round(t*24*60*60)
-            p + "tot": F.when(F.abs(c("t_num")) < 1e6, F.floor(c("t_num") * 24 * 60 * 60 + 0.5).cast("bigint")),
-        },
-        {
-            p + "y": F.when((c("y0") >= 0) & (c("y0") <= 99), c("y0") + 1900).otherwise(c("y0")),
             p + "base_us": F.when(
-                c("serial_ok"), ((c("raw") - F.lit(EXCEL_EPOCH_SERIAL)) * 86400 * 1000).cast("bigint") * 1000
+                c("raw").isNotNull() & (c("raw") >= lo) & (c("raw") < hi + 1),
+                ((c("raw") - F.lit(EXCEL_EPOCH_SERIAL)) * 86400 * 1000).cast("bigint") * 1000,
             ),
-            p + "hrs": F.floor(c("tot") / 3600).cast("bigint"),
-            p + "rem": c("tot") - (c("tot") / 3600).cast("bigint") * 3600,  # JS % keeps the sign
+            # numeric time → whole hours and minutes (seconds dropped; JS % keeps the sign)
+            p + "hm_secs": F.floor(c("tot") / 3600).cast("bigint") * 3600
+            + F.floor((c("tot") - (c("tot") / 3600).cast("bigint") * 3600) / 60).cast("bigint") * 60,
+            p + "free_secs": F.unix_date(c("free")).cast("bigint") * 86400 + c("tsecs"),
         },
         {
-            p + "ok_in": c("y").isNotNull() & c("m0").isNotNull() & c("dd").isNotNull() & c("csecs").isNotNull()
-            & (F.abs(c("y")) < 10**6) & (F.abs(c("m0")) < 10**7) & (F.abs(c("dd")) < 10**8),
+            p + "months": F.when(
+                c("y0").isNotNull() & c("m0").isNotNull() & c("dd").isNotNull() & c("tsecs").isNotNull()
+                & (F.abs(c("y0")) < 10**6) & (F.abs(c("m0")) < 10**7) & (F.abs(c("dd")) < 10**8),
+                F.when((c("y0") >= 0) & (c("y0") <= 99), c("y0") + 1900).otherwise(c("y0")) * 12 + c("m0"),
+            ),
             p + "day0_us": F.floor(c("base_us") / F.lit(US_PER_DAY)).cast("bigint") * US_PER_DAY,
-            p + "mins": F.floor(c("rem") / 60).cast("bigint"),
-        },
-        {
-            p + "months": F.when(c("ok_in"), c("y") * 12 + c("m0")),
         },
         {
             p + "ym": F.floor(c("months") / 12).cast("bigint"),
             p + "mn": F.pmod(c("months"), F.lit(12)),
         },
         {
-            p + "ok_ym": c("ok_in") & (c("ym") >= 1) & (c("ym") <= 9999),
-        },
-        {
-            p + "days": F.when(
-                c("ok_ym"), F.unix_date(F.make_date(c("ym").cast("int"), (c("mn") + 1).cast("int"), F.lit(1))).cast("bigint") + c("dd") - 1
+            p + "text_secs": F.when(
+                (c("ym") >= 1) & (c("ym") <= 9999),
+                (F.unix_date(F.make_date(c("ym").cast("int"), (c("mn") + 1).cast("int"), F.lit(1))).cast("bigint") + c("dd") - 1)
+                * 86400
+                + c("tsecs"),
             ),
-            p + "free_secs": F.unix_date(c("free")).cast("bigint") * 86400 + c("csecs"),
         },
-        {p + "text_secs": c("days") * 86400 + c("csecs")},
         {
             p + "us": F.when(
                 c("kind") == 1,
-                F.when(~c("serial_ok"), F.lit(None).cast("bigint"))
-                .when(c("tot").isNotNull(), c("day0_us") + (c("hrs") * 3600 + c("mins") * 60) * US_PER_SEC)
+                F.when(c("base_us").isNull(), F.lit(None).cast("bigint"))
+                .when(c("tot").isNotNull(), c("day0_us") + c("hm_secs") * US_PER_SEC)
                 .when(c("t") != "", c("day0_us") + c("tsecs") * US_PER_SEC)
                 .otherwise(c("base_us")),
             )

@@ -26,14 +26,17 @@ def broadcast_limit(df: DataFrame) -> int:
     return value if value > 0 else 0
 
 
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    """True when Catalyst's size estimate of ``df`` is within the broadcast limit."""
+    limit = broadcast_limit(df) if limit is None else limit
+    size = estimated_bytes(df)
+    return size is not None and 0 < limit and size <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Hint a broadcast only when the estimated size is within ``limit``.
 
     Beyond it the join stays a shuffle join (and AQE may still switch to a
     broadcast at run time from real shuffle sizes).
     """
-    limit = broadcast_limit(df) if limit is None else limit
-    size = estimated_bytes(df)
-    if size is not None and 0 < limit and size <= limit:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if fits_broadcast(df, limit) else df

@@ -87,8 +87,13 @@ def trigrams(c: Column) -> Column:
 
 
 def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataFrame:
-    """P6-P8 on distinct (norm, first_cell) pairs → (norm, first_cell, matched, method)."""
-    idx = broadcast_if_small(index)
+    """P6-P8 on distinct (norm, first_cell) pairs → (norm, first_cell, matched, method).
+
+    The exact/word-pair hits and the loose hits are computed independently from
+    the distinct names and combined once (exact/words win), so no branch is
+    evaluated twice. Joins are left to the planner's size check (auto broadcast
+    for a small index, shuffle join beyond it).
+    """
     cands = names.select(
         "norm",
         "first_cell",
@@ -96,19 +101,19 @@ def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataF
             F.concat(F.array(F.regexp_replace(F.lower(F.col("norm")), r"\s+", "")), _words_keys(F.col("norm")))
         ).alias("prio", "key"),
     ).where(F.col("norm") != "")
-    hits = cands.join(idx, "key", "inner").where(F.col("emp") != "")
-    by_key = hits.groupBy("norm", "first_cell").agg(F.min_by(F.struct("emp", "prio"), F.col("prio")).alias("hit"))
-    out = names.join(by_key, ["norm", "first_cell"], "left").select(
-        "norm",
-        "first_cell",
-        F.col("hit.emp").alias("matched"),
-        F.when(F.col("hit.prio") == 0, "exact").when(F.col("hit.prio").isNotNull(), "words").alias("method"),
+    hits = (
+        cands.join(index.select("key", "emp"), "key", "inner")
+        .where(F.col("emp") != "")
+        .groupBy("norm", "first_cell")
+        .agg(F.min_by("emp", F.col("prio")).alias("hit_emp"), F.min("prio").alias("hit_prio"))
     )
+    out = names.join(hits, ["norm", "first_cell"], "left")
+    method = F.when(F.col("hit_prio") == 0, "exact").when(F.col("hit_prio").isNotNull(), "words")
     if not loose:
-        return out
+        return out.select("norm", "first_cell", F.col("hit_emp").alias("matched"), method.alias("method"))
     first = F.lower(js_trim(F.col("first_cell")))
     need = (
-        out.where(F.col("matched").isNull() & (F.col("first_cell") != ""))
+        names.where(F.col("first_cell") != "")
         .select(first.alias("needle"))
         .where(F.length("needle") > 2)
         .distinct()
@@ -121,21 +126,17 @@ def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataF
         .groupBy("needle")
         .agg(F.min_by("emp", F.col("pos")).alias("loose_emp"))
     )
-    return (
-        out.withColumn("needle", first)
-        .join(broadcast_if_small(loose_hits), "needle", "left")
-        .select(
-            "norm",
-            "first_cell",
-            F.coalesce(F.col("matched"), F.col("loose_emp")).alias("matched"),
-            F.coalesce(F.col("method"), F.when(F.col("loose_emp").isNotNull(), F.lit("loose"))).alias("method"),
-        )
+    return out.withColumn("needle", first).join(loose_hits, "needle", "left").select(
+        "norm",
+        "first_cell",
+        F.coalesce(F.col("hit_emp"), F.col("loose_emp")).alias("matched"),
+        F.coalesce(method, F.when(F.col("loose_emp").isNotNull(), F.lit("loose"))).alias("method"),
     )
 
 
 def resolve_identity(cells: DataFrame, users: DataFrame, loose: bool = True) -> DataFrame:
     """Adds EmployeeNo, unauthorized flag and match_method to punch cells."""
-    keys = broadcast_if_small(roster_keys(users))
+    keys = broadcast_if_small(roster_keys(users))  # the roster: checked once, reused
     raw_id = upper_trim(F.coalesce(F.col("id_cell"), F.lit("")))
     full = js_trim(F.concat(F.col("first_cell"), F.lit(" "), F.col("last_cell")))
     raw_name = F.when(full != "", full).otherwise(js_trim(F.col("unified_cell")))
@@ -151,7 +152,7 @@ def resolve_identity(cells: DataFrame, users: DataFrame, loose: bool = True) ->
     names = rows.where(~F.col("by_id")).select("norm", "first_cell").distinct()
     matched = match_names(names, name_index(users), loose)
     matched = matched.join(keys.select(F.col("key").alias("matched"), F.lit(True).alias("matched_known")), "matched", "left")
-    rows = rows.join(broadcast_if_small(matched), ["norm", "first_cell"], "left")
+    rows = rows.join(matched, ["norm", "first_cell"], "left")
 
     ok_name = ~F.col("by_id") & F.coalesce(F.col("matched_known"), F.lit(False))
     unauthorized = ~F.col("by_id") & ~ok_name

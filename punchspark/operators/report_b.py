@@ -5,10 +5,10 @@ trimmed ID or 'UNKNOWN', late after 9:00, overtime on *rounded* hours and first
 in precedence, single punches split at 13:00, 'Unauthorized Entry' overrides.
 
 Plan shape: punches are aggregated per (ID, date) first — min, max, count and
-the earliest row's raw ID and status via ``min_by`` on (time, LogID) — all
+the earliest row's user and status via ``min_by`` on (time, LogID) — all
 partial-aggregable, so a hot key ('UNKNOWN', 'NOT PROVIDED') is combined map-side
-and never gathered in one task. The earliest row's raw ID is then left-joined to
-users and departments, which yields the attributes the reference takes from the
+and never gathered in one task. The earliest row's user is then joined to users
+and departments, which yields the attributes the reference takes from the
 group's first row.
 """
 
@@ -27,7 +27,7 @@ from punchspark.functions.timefmt import (
     minute_of_day,
     weekday_name,
 )
-from punchspark.operators.common import broadcast_if_small
+from punchspark.operators.common import broadcast_if_small, fits_broadcast
 from punchspark.operators.report_a import punch_date_range
 
 RECORD_COLUMNS = (
@@ -65,8 +65,22 @@ def all_punches(punches: DataFrame, users: DataFrame, departments: DataFrame) ->
     )
 
 
-def daily_groups(punches: DataFrame, from_date=None, to_date=None, employee_ids: DataFrame | None = None) -> DataFrame:
-    """B2 core: per (trimmed ID, date): first/last punch, count, earliest row's raw ID and status."""
+def _head_key() -> F.Column:
+    """Order of punches within a group as one fixed-width value: (time, LogID)."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("PunchDateTime"))
+    log_id = F.coalesce(F.col("LogID"), F.lit(0)).cast("decimal(38,0)") + F.lit(str(2**63)).cast("decimal(38,0)")
+    return micros.cast("decimal(38,0)") * F.lit(str(10**20)).cast("decimal(38,0)") + log_id
+
+
+def daily_groups(punches: DataFrame, from_date=None, to_date=None, users: DataFrame | None = None) -> DataFrame:
+    """B2 core: per (trimmed ID, date): first/last punch, count, and the earliest row's user and status.
+
+    With ``users`` small enough to broadcast (size-checked), each punch first picks
+    up its UserID (map-side) so the earliest row's attributes are fixed-width
+    values and the aggregate is a partial + final *hash* aggregate. Beyond the
+    broadcast limit the earliest raw ID is carried instead (sort aggregate, no
+    shuffle of raw punches for a join).
+    """
     p = punches.select(
         "LogID",
         "EmployeeNo",
@@ -76,12 +90,25 @@ def daily_groups(punches: DataFrame, from_date=None, to_date=None, employee_ids:
     )
     if from_date or to_date:
         p = _date_bounds(p, from_date, to_date)
-    order = F.struct(F.col("PunchDateTime"), F.col("LogID"))
-    return p.groupBy(group_id(F.col("EmployeeNo")).alias("EmployeeID"), F.to_date("PunchDateTime").alias("day")).agg(
+    keys = [group_id(F.col("EmployeeNo")).alias("EmployeeID"), F.to_date("PunchDateTime").alias("day")]
+    common = [
         F.min("PunchDateTime").alias("first_in"),
         F.max("PunchDateTime").alias("last_out"),
         F.count(F.lit(1)).alias("punch_count"),
-        F.min_by(F.struct(F.col("EmployeeNo").alias("raw_id"), F.col("LogStatus")), order).alias("head"),
+    ]
+    unauth = F.coalesce(F.col("LogStatus") == F.lit(P.UNAUTHORIZED), F.lit(False))
+    if users is not None:
+        ids = users.select("EmployeeNo", "UserID")
+        if fits_broadcast(ids):
+            return p.join(F.broadcast(ids), "EmployeeNo", "left").groupBy(*keys).agg(
+                *common,
+                F.min_by("UserID", _head_key()).alias("head_uid"),
+                F.min_by(unauth, _head_key()).alias("head_unauth"),
+            )
+    order = F.struct(F.col("PunchDateTime"), F.col("LogID"))
+    return p.groupBy(*keys).agg(
+        *common,
+        F.min_by(F.struct(F.col("EmployeeNo").alias("raw_id"), unauth.alias("unauth")), order).alias("head"),
     )
 
 
@@ -96,15 +123,20 @@ def _date_bounds(p: DataFrame, from_date, to_date) -> DataFrame:
 
 def classify_b(groups: DataFrame, users: DataFrame, departments: DataFrame, pol: P.ShiftPolicy = P.POLICY_B) -> DataFrame:
     """Display fallbacks, single-punch rules, status and presentation."""
-    u = users.select(
-        F.col("EmployeeNo").alias("raw_id"), "FirstName", "LastName", "EmpType", "DepartmentID"
-    )
     d = departments.select("DepartmentID", F.col("DepartmentName").alias("DeptName"))
-    g = groups.select("*", F.col("head.raw_id").alias("raw_id"), F.col("head.LogStatus").alias("LogStatus")).drop("head")
-    j = g.join(broadcast_if_small(u), "raw_id", "left").join(broadcast_if_small(d), "DepartmentID", "left")
+    attrs = ["FirstName", "LastName", "EmpType", "DepartmentID"]
+    if "head_uid" in groups.columns:
+        u = users.select(F.col("UserID").alias("head_uid"), *attrs)
+        g = groups.withColumn("LogUnauth", F.col("head_unauth")).drop("head_unauth")
+        j = g.join(broadcast_if_small(u), "head_uid", "left")
+    else:
+        u = users.select(F.col("EmployeeNo").alias("raw_id"), *attrs)
+        g = groups.select("*", F.col("head.raw_id").alias("raw_id"), F.col("head.unauth").alias("LogUnauth")).drop("head")
+        j = g.join(broadcast_if_small(u), "raw_id", "left")
+    j = j.join(broadcast_if_small(d), "DepartmentID", "left")
 
     first, last = F.col("first_in"), F.col("last_out")
-    unauthorized = F.coalesce(F.col("LogStatus") == F.lit(P.UNAUTHORIZED), F.lit(False))
+    unauthorized = F.col("LogUnauth")
     single = first == last
     morning = F.hour(first) < pol.single_punch_noon_hour
     cents = F.greatest(hours_cents(first, last), F.lit(0).cast("bigint"))
@@ -190,7 +222,7 @@ def daily_report_b(
     pol: P.ShiftPolicy = P.POLICY_B,
 ) -> DataFrame:
     """Report B records with B7 filters; date bounds are applied before the aggregate."""
-    groups = daily_groups(punches, from_date, to_date)
+    groups = daily_groups(punches, from_date, to_date, users)
     return filter_b(classify_b(groups, users, departments, pol), department, status, search)
 
 

@@ -125,3 +125,18 @@ def test_shuffle_order_independence(spark, tables):
     a = sorted(map(tuple, A.daily_attendance(punches, users, depts).select(*A.RECORD_COLUMNS).collect()))
     b = sorted(map(tuple, A.daily_attendance(punches.repartition(7), users.repartition(3), depts).select(*A.RECORD_COLUMNS).collect()))
     assert a == b
+
+
+def test_report_b_both_aggregate_paths_agree(spark, tables, tmp_path):
+    """Users read from Parquet have a size estimate → broadcast + hash-aggregate path;
+    in-memory users have none → raw-ID (sort aggregate) path. Same records either way."""
+    punches, users, depts = tables
+    path = str(tmp_path / "users")
+    users.write.parquet(path)
+    parquet_users = spark.read.parquet(path)
+    assert "head_uid" in B.daily_groups(punches, users=parquet_users).columns
+    assert "head" in B.daily_groups(punches, users=users).columns
+    cols = list(B.RECORD_COLUMNS)
+    a = sorted(map(tuple, B.daily_report_b(punches, parquet_users, depts).select(*cols).collect()), key=str)
+    b = sorted(map(tuple, B.daily_report_b(punches, users, depts).select(*cols).collect()), key=str)
+    assert a == b
