@@ -40,3 +40,4 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     broadcast at run time from real shuffle sizes).
     """
     return F.broadcast(df) if fits_broadcast(df, limit) else df
+
