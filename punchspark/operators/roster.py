@@ -37,10 +37,12 @@ def dense_index(df: DataFrame, order: Column, out: str = "idx", partitions: int
     (and lineage is cut).
     """
     ensure_checkpoint_dir(df.sparkSession)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = df.withColumn("__ord", order)
+    # Without an explicit count AQE may coalesce the ranges; merged partitions are
+    # adjacent ranges, so partition order still follows ``order``.
+    ranged = ranged.repartitionByRange(partitions, F.col("__ord")) if partitions else ranged.repartitionByRange(F.col("__ord"))
     staged = (
-        df.withColumn("__ord", order)
-        .repartitionByRange(n, F.col("__ord"))
+        ranged
         .sortWithinPartitions("__ord")
         .withColumn("__mono", F.monotonically_increasing_id())
         .checkpoint(eager=True)
@@ -126,7 +128,7 @@ def provision_departments(departments: DataFrame, rows: DataFrame) -> tuple[Data
     known = departments.select(dept_key(F.col("DepartmentName")).alias("dkey"))
     new = seen.join(broadcast_if_small(known), "dkey", "left_anti")
     top = max_value(departments, "DepartmentID")
-    numbered = dense_index(new, F.col("first_ord"), "rank", partitions=4)
+    numbered = dense_index(new, F.col("first_ord"), "rank")
     new_depts = numbered.select((F.lit(top) + F.col("rank")).cast("int").alias("DepartmentID"), "DepartmentName")
     return departments.select("DepartmentID", "DepartmentName").unionByName(new_depts), new_depts
 
@@ -153,7 +155,11 @@ class RosterSync:
 
 def sync_roster(users: DataFrame, departments: DataFrame, upload: DataFrame) -> RosterSync:
     """R1-R6 in one plan: departments, users upsert, counters."""
-    rows = roster_rows(upload)
+    return sync_roster_rows(users, departments, roster_rows(upload))
+
+
+def sync_roster_rows(users: DataFrame, departments: DataFrame, rows: DataFrame) -> RosterSync:
+    """R4-R6 on resolved roster rows (ordered by ``row_ord``)."""
     all_depts, new_depts = provision_departments(departments, rows)
     rows = rows.withColumn("dkey", dept_key(F.col("dept_name"))).join(
         broadcast_if_small(dept_lookup(all_depts)), "dkey", "left"
