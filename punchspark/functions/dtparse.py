@@ -77,9 +77,38 @@ def _time_secs(time_text: Column) -> Column:
     return F.when(ok, h * 3600 + m * 60 + s)
 
 
-def _stages(df: DataFrame, stages: list[dict[str, Column]]) -> DataFrame:
+def _clock_secs(parts: Column) -> Column:
+    """H:M:S from parsed parts with parseInt(part) || 0 (hours may exceed 23: JS rolls over)."""
+    h, m, sec = (F.coalesce(_int_at(parts, i), F.lit(0).cast("bigint")) for i in (1, 2, 3))
+    ok = (F.abs(h) < 10**9) & (F.abs(m) < 10**10) & (F.abs(sec) < 10**12)
+    return F.when(ok, h * 3600 + m * 60 + sec)
+
+
+def _plain_number(x: Column, allow_minus: bool) -> Column:
+    """JS Number(x) is a finite number, for plain decimal/exponent text (no regex)."""
+    allowed = "0123456789.+e" + ("-" if allow_minus else "")
+    return (x != "") & (F.length(F.translate(F.lower(x), allowed, "")) == 0) & x.try_cast("double").isNotNull()
+
+
+def _int_parts(text: Column, sep: str, signs: str) -> Column:
+    """parseInt of every ``sep``-separated part in one regex pass: '' where a part has no number."""
+    return F.regexp_extract_all(text, F.lit(rf"(?:^|{sep})\s*([{signs}]?\d*)[^{sep[-1]}]*"), 1)
+
+
+def _int_at(parts: Column, i: int) -> Column:
+    return F.try_element_at(parts, F.lit(i)).try_cast("bigint")
+
+
+def codegen_barrier(df: DataFrame, label: str) -> DataFrame:
+    """A metrics node (row count): it is not code-generated, so it splits whole-stage
+    code and stops predicate pushdown, without a shuffle. Keeps generated methods
+    under the JIT's size limit when a long chain of expressions would be fused."""
+    return df.observe(f"{label}_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
+
+
+def _stages(df: DataFrame, stages: list[dict[str, Column] | None]) -> DataFrame:
     for st in stages:
-        df = df.withColumns(st)
+        df = codegen_barrier(df, "punch_parse_split") if st is None else df.withColumns(st)
     return df
 
 
@@ -100,6 +129,7 @@ def with_punch_datetime(
     d = F.col(date_cell)
     lo, hi = (1, EXCEL_MAX_SERIAL) if strict_serial else (-693593, EXCEL_MAX_SERIAL)
     stages = [
+        None,  # keep the parser's generated code apart from whatever produced the cells
         # raw cells
         {
             p + "d": js_trim(F.coalesce(d, F.lit(""))),
@@ -109,24 +139,28 @@ def with_punch_datetime(
         },
         {
             p + "kind": F.when(~c("present"), F.lit(0))
-            .when(c("d").rlike(_NUMBER_RE), F.lit(1))
+            .when(_plain_number(c("d"), allow_minus=False), F.lit(1))
             .when(c("d").contains("-"), F.lit(2))
             .when(c("d").contains("/"), F.lit(3))
             .otherwise(F.lit(4)),
-            p + "parts": F.split(c("d"), F.when(c("d").contains("-"), F.lit("-")).otherwise(F.lit("/"))),
-            p + "tsecs": _time_secs(c("tt")),  # '' parses as 0 = '00:00:00'
-            p + "t_num": F.when((c("tt") != "") & c("tt").rlike(_NUMBER_RE), c("tt").try_cast("double")),
+            # parseInt of each part: '-' parts carry no sign, '/' parts may start with '+'
+            p + "dparts": F.when(c("d").contains("-"), _int_parts(c("d"), "-", "+")).otherwise(_int_parts(c("d"), "/", "+")),
+            p + "first_len": F.length(F.substring_index(c("d"), "-", 1)),
+            p + "tparts": _int_parts(c("tt"), ":", "+-"),
+            p + "t_num": F.when(_plain_number(c("tt"), allow_minus=True), c("tt").try_cast("double")),
         },
         {
-            p + "a": js_int_prefix(_part(c("parts"), 1)),
-            p + "b": js_int_prefix(_part(c("parts"), 2)),
-            p + "c": js_int_prefix(_part(c("parts"), 3)),
-            p + "ymd": F.length(F.coalesce(_part(c("parts"), 1), F.lit(""))) == 4,
+            p + "a": _int_at(c("dparts"), 1),
+            p + "b": _int_at(c("dparts"), 2),
+            p + "c": _int_at(c("dparts"), 3),
+            p + "ymd": c("first_len") == 4,
+            p + "tsecs": _clock_secs(c("tparts")),  # '' parses as 0 = '00:00:00'
             p + "raw": F.when(c("kind") == 1, c("d").try_cast("double")),
             p + "free": F.when(c("kind") == 4, F.coalesce(*[F.try_to_date(c("d"), fmt) for fmt in FREE_TEXT_DATE_FORMATS])),
             # Math.round(t*24*60*60)
             p + "tot": F.when(F.abs(c("t_num")) < 1e6, F.floor(c("t_num") * 24 * 60 * 60 + 0.5).cast("bigint")),
         },
+        None,  # split the generated code here
         {
             # text dates: D-M-Y, Y-M-D or M/D/Y; years 0-99 mean 1900+
             p + "y0": F.when(c("kind") == 3, c("c")).when(c("ymd"), c("a")).otherwise(c("c")),

@@ -41,3 +41,20 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
+
+
+def materialize_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """Checkpoint a derived lookup table, count it, and broadcast it only if the
+    measured row count (× a per-row width bound from the schema) fits the broadcast
+    limit. Derived tables (e.g. distinct names) have no useful size estimate before
+    they run; measuring avoids shuffling the large side of the join for them."""
+    from punchspark.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    rows = done.count()
+    width = 16 + sum(64 if f.dataType.typeName() in ("string", "binary") else 16 for f in done.schema.fields)
+    limit = broadcast_limit(done)
+    if rows <= max_rows and limit > 0 and rows * width <= limit:
+        return F.broadcast(done)
+    return done

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from punchspark import policy as P
 from punchspark.functions.text import js_trim, name_key, normalize_name, upper_trim
-from punchspark.operators.common import broadcast_if_small
+from punchspark.operators.common import broadcast_if_small, materialize_small
 from punchspark.sources.aliases import cells_for, resolve
 
 METHODS = ("id", "exact", "words", "loose", "none")
@@ -87,7 +87,7 @@ def trigrams(c: Column) -> Column:
 
 
 def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataFrame:
-    """P6-P8 on distinct (norm, first_cell) pairs → (norm, first_cell, matched, method).
+    """P6-P8 on distinct names (norm, first_cell, ...) → the same rows plus matched, method.
 
     The exact/word-pair hits and the loose hits are computed independently from
     the distinct names and combined once (exact/words win), so no branch is
@@ -109,11 +109,12 @@ def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataF
     )
     out = names.join(hits, ["norm", "first_cell"], "left")
     method = F.when(F.col("hit_prio") == 0, "exact").when(F.col("hit_prio").isNotNull(), "words")
+    keep = [c for c in names.columns]
     if not loose:
-        return out.select("norm", "first_cell", F.col("hit_emp").alias("matched"), method.alias("method"))
+        return out.select(*keep, F.col("hit_emp").alias("matched"), method.alias("method"))
     first = F.lower(js_trim(F.col("first_cell")))
     need = (
-        names.where(F.col("first_cell") != "")
+        names.select("first_cell").where(F.col("first_cell") != "")
         .select(first.alias("needle"))
         .where(F.length("needle") > 2)
         .distinct()
@@ -127,32 +128,36 @@ def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataF
         .agg(F.min_by("emp", F.col("pos")).alias("loose_emp"))
     )
     return out.withColumn("needle", first).join(loose_hits, "needle", "left").select(
-        "norm",
-        "first_cell",
+        *keep,
         F.coalesce(F.col("hit_emp"), F.col("loose_emp")).alias("matched"),
         F.coalesce(method, F.when(F.col("loose_emp").isNotNull(), F.lit("loose"))).alias("method"),
     )
 
 
 def resolve_identity(cells: DataFrame, users: DataFrame, loose: bool = True) -> DataFrame:
-    """Adds EmployeeNo, unauthorized flag and match_method to punch cells."""
+    """Adds EmployeeNo, unauthorized flag and match_method to punch cells.
+
+    Per row only cheap work happens (ID canonicalisation, roster lookup, the raw
+    name). Name cleaning and the match cascade run once per distinct
+    (raw name, first-name cell); that table is checkpointed, counted, and
+    broadcast back only when its measured size fits — the punch rows are never
+    shuffled for it.
+    """
     keys = broadcast_if_small(roster_keys(users))  # the roster: checked once, reused
     raw_id = upper_trim(F.coalesce(F.col("id_cell"), F.lit("")))
     full = js_trim(F.concat(F.col("first_cell"), F.lit(" "), F.col("last_cell")))
     raw_name = F.when(full != "", full).otherwise(js_trim(F.col("unified_cell")))
-    rows = cells.select(
-        "*",
-        raw_id.alias("raw_id"),
-        normalize_name(raw_name).alias("norm"),
-    )
+    rows = cells.select("*", raw_id.alias("raw_id"), raw_name.alias("raw_name"))
     rows = rows.join(keys.select(F.col("key").alias("raw_id"), F.lit(True).alias("known")), "raw_id", "left")
     dummy = F.col("raw_id").isin(*P.DUMMY_IDS)
     rows = rows.withColumn("by_id", ~dummy & F.coalesce(F.col("known"), F.lit(False)))
 
-    names = rows.where(~F.col("by_id")).select("norm", "first_cell").distinct()
+    names = rows.where(~F.col("by_id")).select("raw_name", "first_cell").distinct()
+    names = names.withColumn("norm", normalize_name(F.col("raw_name")))
     matched = match_names(names, name_index(users), loose)
     matched = matched.join(keys.select(F.col("key").alias("matched"), F.lit(True).alias("matched_known")), "matched", "left")
-    rows = rows.join(matched, ["norm", "first_cell"], "left")
+    matched = materialize_small(matched.select("raw_name", "first_cell", "matched", "method", "matched_known"))
+    rows = rows.join(matched, ["raw_name", "first_cell"], "left")
 
     ok_name = ~F.col("by_id") & F.coalesce(F.col("matched_known"), F.lit(False))
     unauthorized = ~F.col("by_id") & ~ok_name

@@ -28,6 +28,7 @@ from punchspark.functions.timefmt import (
     weekday_name,
 )
 from punchspark.operators.common import broadcast_if_small, fits_broadcast
+from punchspark.functions.dtparse import codegen_barrier
 from punchspark.operators.report_a import punch_date_range
 
 RECORD_COLUMNS = (
@@ -135,13 +136,20 @@ def classify_b(groups: DataFrame, users: DataFrame, departments: DataFrame, pol:
         j = g.join(broadcast_if_small(u), "raw_id", "left")
     j = j.join(broadcast_if_small(d), "DepartmentID", "left")
 
+    # Base values once, as columns (each is used by several outputs).
     first, last = F.col("first_in"), F.col("last_out")
+    j = j.withColumns(
+        {
+            "__single": first == last,
+            "__morning": F.hour(first) < pol.single_punch_noon_hour,
+            "__cents": F.greatest(hours_cents(first, last), F.lit(0).cast("bigint")),
+            "__late": minute_of_day(first) > pol.late_after_minute,
+            "__early": minute_of_day(last) < pol.early_before_minute,
+        }
+    )
     unauthorized = F.col("LogUnauth")
-    single = first == last
-    morning = F.hour(first) < pol.single_punch_noon_hour
-    cents = F.greatest(hours_cents(first, last), F.lit(0).cast("bigint"))
-    late = minute_of_day(first) > pol.late_after_minute
-    early = minute_of_day(last) < pol.early_before_minute
+    single, morning, cents = F.col("__single"), F.col("__morning"), F.col("__cents")
+    late, early = F.col("__late"), F.col("__early")
     over = cents > F.lit(int(round(pol.overtime_hours * 100)))
     multi_status = (
         F.when(over, P.B_OVERTIME)
@@ -223,7 +231,11 @@ def daily_report_b(
 ) -> DataFrame:
     """Report B records with B7 filters; date bounds are applied before the aggregate."""
     groups = daily_groups(punches, from_date, to_date, users)
-    return filter_b(classify_b(groups, users, departments, pol), department, status, search)
+    records = classify_b(groups, users, departments, pol)
+    if any(x and x != "All" for x in (department, status)) or (search or "").strip():
+        # filters on derived columns: evaluate them on the finished rows (no re-inlining)
+        records = codegen_barrier(records, "report_b_filter")
+    return filter_b(records, department, status, search)
 
 
 def daily_punch_list(punches: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punchspark import policy as P
-from punchspark.functions.timefmt import cents_fixed2, cents_to_double, half_up_ratio, js_int_prefix
+from punchspark.functions.timefmt import cents_fixed2, cents_to_double, half_up_ratio, js_int_prefix, minute_of_day
 
 
 def summary_widgets(records: DataFrame) -> DataFrame:
@@ -33,8 +33,11 @@ def _clock_minutes(text: Column) -> Column:
 
 
 def in_time_band(text: Column) -> Column:
-    """Clock-in colour band."""
-    m = _clock_minutes(text)
+    """Clock-in colour band (``text`` a 'HH:mm:ss' column, or minutes via ``in_band_of``)."""
+    return in_band_of(_clock_minutes(text))
+
+
+def in_band_of(m: Column) -> Column:
     out = None
     for lo, hi, label in P.IN_TIME_BANDS:
         cond = (m >= lo) if hi is None else ((m >= lo) & (m <= hi))
@@ -44,7 +47,10 @@ def in_time_band(text: Column) -> Column:
 
 def out_time_band(text: Column) -> Column:
     """D3: clock-out colour band."""
-    m = _clock_minutes(text)
+    return out_band_of(_clock_minutes(text))
+
+
+def out_band_of(m: Column) -> Column:
     out = None
     for lo, hi, label in P.OUT_TIME_BANDS:
         if lo is None:
@@ -75,12 +81,20 @@ def status_severity(status: Column) -> Column:
 
 
 def time_bands(records: DataFrame) -> DataFrame:
-    """D2-D5 on every record, plus the incomplete-row flag."""
-    return records.select(
+    """D2-D5 on every record, plus the incomplete-row flag (clock minutes computed once)."""
+    if "first_in" in records.columns and "last_out" in records.columns:
+        # report-A records carry the instants the texts were formatted from
+        missing = F.col("LastOut").isNull() | F.col("LastOut").isin(P.A_MISSING_CHECKOUT, P.A_NO_HOURS)
+        in_m = minute_of_day(F.col("first_in"))
+        out_m = F.when(~missing, minute_of_day(F.col("last_out")))
+    else:
+        in_m, out_m = _clock_minutes(F.col("FirstIn")), _clock_minutes(F.col("LastOut"))
+    mins = records.select("EmployeeID", "Date", "TotalHours", "hours", "Status", in_m.alias("__in_m"), out_m.alias("__out_m"))
+    return mins.select(
         "EmployeeID",
         "Date",
-        in_time_band(F.col("FirstIn")).alias("in_band"),
-        out_time_band(F.col("LastOut")).alias("out_band"),
+        in_band_of(F.col("__in_m")).alias("in_band"),
+        out_band_of(F.col("__out_m")).alias("out_band"),
         hours_band(F.col("hours"), F.col("TotalHours") == P.A_NO_HOURS).alias("hours_band"),
         status_severity(F.col("Status")).alias("severity"),
         (F.upper(F.col("Status")) == P.A_INCOMPLETE.upper()).alias("flagged"),
