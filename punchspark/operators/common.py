@@ -43,11 +43,14 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 
-def materialize_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Checkpoint a derived lookup table, count it, and broadcast it only if the
-    measured row count (× a per-row width bound from the schema) fits the broadcast
-    limit. Derived tables (e.g. distinct names) have no useful size estimate before
-    they run; measuring avoids shuffling the large side of the join for them."""
+def measured(df: DataFrame, max_rows: int = 2_000_000) -> tuple[DataFrame, int, bool]:
+    """Checkpoint a derived table and count it: (table, rows, fits_broadcast).
+
+    Derived tables (e.g. distinct names) have no useful size estimate before they
+    run. The checkpoint (shared ``spark.checkpoint.dir``) cuts lineage, the count
+    is then cheap, and ``fits_broadcast`` uses the measured rows × a per-row width
+    bound from the schema. Tables derived 1:1 from it inherit the bound.
+    """
     from punchspark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
@@ -55,6 +58,10 @@ def materialize_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     rows = done.count()
     width = 16 + sum(64 if f.dataType.typeName() in ("string", "binary") else 16 for f in done.schema.fields)
     limit = broadcast_limit(done)
-    if rows <= max_rows and limit > 0 and rows * width <= limit:
-        return F.broadcast(done)
-    return done
+    return done, rows, rows <= max_rows and limit > 0 and rows * width <= limit
+
+
+def materialize_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """``measured`` and broadcast-hinted when it fits."""
+    done, _, small = measured(df, max_rows)
+    return F.broadcast(done) if small else done

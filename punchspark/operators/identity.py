@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from punchspark import policy as P
 from punchspark.functions.text import js_trim, name_key, normalize_name, upper_trim
-from punchspark.operators.common import broadcast_if_small, materialize_small
+from punchspark.operators.common import broadcast_if_small, measured
 from punchspark.sources.aliases import cells_for, resolve
 
 METHODS = ("id", "exact", "words", "loose", "none")
@@ -86,14 +86,14 @@ def trigrams(c: Column) -> Column:
     )
 
 
-def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataFrame:
+def match_names(names: DataFrame, index: DataFrame, loose: bool = True, names_small: bool = False) -> DataFrame:
     """P6-P8 on distinct names (norm, first_cell, ...) → the same rows plus matched, method.
 
-    The exact/word-pair hits and the loose hits are computed independently from
-    the distinct names and combined once (exact/words win), so no branch is
-    evaluated twice. Joins are left to the planner's size check (auto broadcast
-    for a small index, shuffle join beyond it).
+    ``names_small`` (a measured bound) lets every name-derived side be broadcast, so
+    the index — the large side — is streamed and never shuffled. The exact/word-pair
+    hits and the loose hits are computed independently and combined once.
     """
+    small = (lambda d: F.broadcast(d)) if names_small else (lambda d: d)
     cands = names.select(
         "norm",
         "first_cell",
@@ -102,7 +102,8 @@ def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataF
         ).alias("prio", "key"),
     ).where(F.col("norm") != "")
     hits = (
-        cands.join(index.select("key", "emp"), "key", "inner")
+        index.select("key", "emp")
+        .join(small(cands), "key", "inner")
         .where(F.col("emp") != "")
         .groupBy("norm", "first_cell")
         .agg(F.min_by("emp", F.col("prio")).alias("hit_emp"), F.min("prio").alias("hit_prio"))
@@ -122,12 +123,12 @@ def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataF
     )
     grams = index.select("key", "emp", "pos", F.explode(trigrams(F.col("key"))).alias("gram"))
     loose_hits = (
-        need.join(grams, "gram", "inner")
+        grams.join(small(need), "gram", "inner")
         .where(F.col("key").contains(F.col("needle")))
         .groupBy("needle")
         .agg(F.min_by("emp", F.col("pos")).alias("loose_emp"))
     )
-    return out.withColumn("needle", first).join(loose_hits, "needle", "left").select(
+    return out.withColumn("needle", first).join(small(loose_hits), "needle", "left").select(
         *keep,
         F.coalesce(F.col("hit_emp"), F.col("loose_emp")).alias("matched"),
         F.coalesce(method, F.when(F.col("loose_emp").isNotNull(), F.lit("loose"))).alias("method"),
@@ -139,9 +140,9 @@ def resolve_identity(cells: DataFrame, users: DataFrame, loose: bool = True) ->
 
     Per row only cheap work happens (ID canonicalisation, roster lookup, the raw
     name). Name cleaning and the match cascade run once per distinct
-    (raw name, first-name cell); that table is checkpointed, counted, and
-    broadcast back only when its measured size fits — the punch rows are never
-    shuffled for it.
+    (raw name, first-name cell); that table is checkpointed and counted, and the
+    match results (one row per name) are broadcast back only when that measured
+    size fits — then the punch rows are never shuffled for it.
     """
     keys = broadcast_if_small(roster_keys(users))  # the roster: checked once, reused
     raw_id = upper_trim(F.coalesce(F.col("id_cell"), F.lit("")))
@@ -153,11 +154,14 @@ def resolve_identity(cells: DataFrame, users: DataFrame, loose: bool = True) ->
     rows = rows.withColumn("by_id", ~dummy & F.coalesce(F.col("known"), F.lit(False)))
 
     names = rows.where(~F.col("by_id")).select("raw_name", "first_cell").distinct()
-    names = names.withColumn("norm", normalize_name(F.col("raw_name")))
-    matched = match_names(names, name_index(users), loose)
+    names, _, names_small = measured(names.withColumn("norm", normalize_name(F.col("raw_name"))))
+    # The index is used twice; exchange reuse computes it once. Its size follows the
+    # roster (a base table), so the planner's own estimate decides broadcasting.
+    matched = match_names(names, name_index(users), loose, names_small)
     matched = matched.join(keys.select(F.col("key").alias("matched"), F.lit(True).alias("matched_known")), "matched", "left")
-    matched = materialize_small(matched.select("raw_name", "first_cell", "matched", "method", "matched_known"))
-    rows = rows.join(matched, ["raw_name", "first_cell"], "left")
+    matched = matched.select("raw_name", "first_cell", "matched", "method", "matched_known")
+    # one row per distinct name: the measured bound of ``names`` holds for it
+    rows = rows.join(F.broadcast(matched) if names_small else matched, ["raw_name", "first_cell"], "left")
 
     ok_name = ~F.col("by_id") & F.coalesce(F.col("matched_known"), F.lit(False))
     unauthorized = ~F.col("by_id") & ~ok_name
