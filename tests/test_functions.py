@@ -99,3 +99,17 @@ def test_clock_helpers(spark):
     df = spark.createDataFrame([("9:15", 555, dt.datetime(2026, 1, 5, 0, 5))], "t string, m int, ts timestamp_ntz")
     r = df.select(time_to_minutes("t").alias("a"), minutes_to_time("m").alias("b"), format_ampm("ts").alias("c")).first()
     assert (r["a"], r["b"], r["c"]) == (555, "9:15 AM", "12:05 AM")
+
+
+def test_merge_typed_date_and_india_stamp(spark):
+    from punchspark.functions.dtparse import merge_date_time
+    from punchspark.functions.timefmt import india_stamp
+
+    df = spark.createDataFrame(
+        [(dt.date(2026, 5, 25), "9:15:07"), (dt.date(2026, 5, 25), None), (dt.date(2026, 5, 25), "25:00")],
+        "d date, t string",
+    )
+    got = [r["x"] for r in df.select(merge_date_time("d", "t").alias("x")).collect()]
+    assert got == [dt.datetime(2026, 5, 25, 9, 15, 7), dt.datetime(2026, 5, 25), dt.datetime(2026, 5, 26, 1, 0)]
+    inst = spark.createDataFrame([(dt.datetime(2026, 1, 5, 18, 45),)], "u timestamp_ntz").select(F.col("u").cast("timestamp").alias("u"))
+    assert inst.select(india_stamp("u").alias("s")).first()["s"] == "2026-01-06 00:15:00"

@@ -20,3 +20,17 @@ def test_file_stream_ingests_each_upload(spark, tmp_dir):
     assert got.count() == 3
     m = spark.read.parquet(met).agg({"importedRows": "sum", "skippedDuplicates": "sum", "unauthorizedRecords": "sum"}).first()
     assert (m[0], m[1], m[2]) in ((3, 1, 1),) or sorted([m[0], m[1], m[2]]) == [1, 1, 3]
+
+
+def test_cross_file_dedup_within_watermark(spark, tmp_dir):
+    inp = os.path.join(tmp_dir, "in2")
+    os.makedirs(inp)
+    header = ["Staff ID", "Date", "Time", "DeviceName", "AreaName"]
+    for name in ("a.csv", "b.csv"):  # the same export uploaded twice
+        with open(os.path.join(inp, name), "w") as fh:
+            fh.write(",".join(header) + "\nEMP001,2026-05-25,09:00,MAIN,L\nEMP001,2026-05-25,18:00,MAIN,L\n")
+    users = users_df(spark, [(1, "EMP001", "John", "Smith", 1, "User", None, True)])
+    out, met, ck = (os.path.join(tmp_dir, x) for x in ("p2", "m2", "c2"))
+    q = start_punch_stream(spark, inp, header, lambda s: users, out, met, ck, cross_file_dedup=("Staff ID", "Date", "Time"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(out).count() == 2
