@@ -46,7 +46,8 @@ def punch_date_range(punches: DataFrame, start, end, ts_col: str = "PunchDateTim
     lo = dt.datetime.combine(s, dt.time())
     hi = dt.datetime.combine(e + dt.timedelta(days=1), dt.time())
     ts = F.col(ts_col)
-    cond = (ts >= F.lit(lo).cast("timestamp_ntz")) & (ts < F.lit(hi).cast("timestamp_ntz"))
+    # string literals: wall-clock bounds independent of any time zone
+    cond = (ts >= F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz")) & (ts < F.lit(hi.isoformat(sep=" ")).cast("timestamp_ntz"))
     if "punch_date" in punches.columns:  # partition pruning on stored tables
         cond = cond & F.col("punch_date").between(F.lit(s), F.lit(e))
     return punches.where(cond)

@@ -30,7 +30,7 @@ def js_number(c: str) -> str:
 CENTS = "((date_diff('microsecond', fi, lo) * 100 + 1800000000) // 3600000000)"
 
 USERS = """
-SELECT c_custkey + 1 AS UserID, CAST(c_custkey AS VARCHAR) AS EmployeeNo, '' AS FirstName, c_name AS LastName,
+SELECT CAST(c_custkey + 1 AS INTEGER) AS UserID, CAST(c_custkey AS VARCHAR) AS EmployeeNo, '' AS FirstName, c_name AS LastName,
        c_nationkey AS DepartmentID, 'User' AS Role, c_mktsegment AS EmpType, c_acctbal >= 0 AS IsActive
 FROM customer"""
 DEPTS = "SELECT n_nationkey AS DepartmentID, n_name AS DepartmentName FROM nation"
@@ -354,7 +354,7 @@ kept AS (SELECT * FROM lab2 WHERE dev NOT IN {FACILITIES_SQL} AND ts IS NOT NULL
 
 
 SUPPLIER_USERS = """
-SELECT s_suppkey + 1 AS UserID, CAST(s_suppkey AS VARCHAR) AS EmployeeNo, '' AS FirstName, s_name AS LastName,
+SELECT CAST(s_suppkey + 1 AS INTEGER) AS UserID, CAST(s_suppkey AS VARCHAR) AS EmployeeNo, '' AS FirstName, s_name AS LastName,
        s_nationkey AS DepartmentID, 'User' AS Role, CAST(NULL AS VARCHAR) AS EmpType, s_acctbal >= 0 AS IsActive
 FROM supplier"""
 
@@ -372,7 +372,7 @@ rows AS (
 kept AS (SELECT * FROM rows WHERE staff <> ''),
 seen AS (SELECT lower({js_trim('dept_name')}) AS dkey, arg_min(dept_name, ord) AS DepartmentName, min(ord) AS first_ord FROM kept GROUP BY 1),
 newd AS (
-  SELECT (SELECT coalesce(max(DepartmentID), 0) FROM dep) + row_number() OVER (ORDER BY first_ord) AS DepartmentID, DepartmentName
+  SELECT CAST((SELECT coalesce(max(DepartmentID), 0) FROM dep) + row_number() OVER (ORDER BY first_ord) AS INTEGER) AS DepartmentID, DepartmentName
   FROM seen WHERE dkey NOT IN (SELECT lower({js_trim('DepartmentName')}) FROM dep)
 ),
 alld AS (SELECT DepartmentID, DepartmentName FROM dep UNION ALL SELECT DepartmentID, DepartmentName FROM newd),
@@ -445,7 +445,7 @@ SELECT EmployeeNo, strftime(ts, '%Y-%m-%d %H:%M:%S') AS PunchDateTime,
 FROM kept GROUP BY EmployeeNo, ts""",
         "ingest_metrics": f"""{ing},
 g AS (SELECT EmployeeNo, ts, count(*) AS n FROM kept GROUP BY 1, 2)
-SELECT (SELECT count(*) FROM g) AS importedRows, (SELECT coalesce(sum(n - 1), 0) FROM g) AS skippedDuplicates,
+SELECT (SELECT count(*) FROM g) AS importedRows, CAST((SELECT coalesce(sum(n - 1), 0) FROM g) AS BIGINT) AS skippedDuplicates,
        CAST(0 AS BIGINT) AS autoProvisionedUsers, CAST(0 AS BIGINT) AS autoProvisionedDepartments,
        (SELECT count(*) FILTER (WHERE unauth) FROM lab2) AS unauthorizedRecords""",
         "facility_exclusion": f"""
