@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punchspark.functions.text import col_of, js_trim
-from punchspark.functions.timefmt import js_int_or_zero, js_int_prefix
+from punchspark.functions.timefmt import js_int_or_zero
 from punchspark.policy import EXCEL_EPOCH_SERIAL, EXCEL_MAX_SERIAL
 
 # Accepted free-text date formats (tried in this order).
@@ -48,7 +48,6 @@ US_PER_DAY = 86_400 * US_PER_SEC
 # Epoch-second bounds of 0001-01-01 and 9999-12-31 23:59:59.
 _MIN_EPOCH_SEC = -62_135_596_800
 _MAX_EPOCH_SEC = 253_402_300_799
-_NUMBER_RE = r"^[+]?(\d+\.?\d*|\.\d+)([eE][+]?\d+)?$"
 
 
 def epoch_ntz() -> Column:

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from punchspark.operators import report_b as B
 from punchspark.sources import sinks
@@ -62,9 +60,3 @@ def export_report(
         return {"success": True, "message": "PDF export operation logged successfully."}
     raise ExportError("Unsupported export format.")
 
-
-def filters_json(**filters) -> str:
-    return json.dumps({k: v for k, v in filters.items() if v is not None})
-
-
-__all__ = ["export_report", "ExportError", "SUPPORTED", "filters_json", "F"]
