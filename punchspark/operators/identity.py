@@ -4,10 +4,10 @@ Order of the cascade for a row whose badge ID is a dummy or not on the roster:
   exact normalised name → word pairs (w1w2, w2w1, w1wN, wNw1) → loose containment
   of the raw first-name cell in an index key (first key by index position).
 
-Scale notes: matching runs on the *distinct* (normalised name, first-name cell)
-pairs, not on rows — a person punches many times, and a hot name (e.g. every
-unread card of one person) is reduced by a partial aggregate before any
-shuffle. The loose step is an equi-join on trigrams (a key containing a name of
+Scale notes: name cleaning and matching run on the *distinct* (raw name,
+first-name cell) pairs of the rows that need them, not on rows — a person
+punches many times, and a hot name (e.g. every unread card of one person) is
+reduced by a partial aggregate before any shuffle. The loose step is an equi-join on trigrams (a key containing a name of
 length ≥ 3 contains its first trigram), verified with ``contains`` — exact, no
 candidate cap, no cross join.
 """
