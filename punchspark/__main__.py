@@ -6,6 +6,8 @@
   python -m punchspark dashboard  --warehouse W --out DIR [--start D --end D --department ID --employee TEXT --status S]
   python -m punchspark export     --warehouse W --out DIR --format csv [--from D --to D --department NAME --status S --search TEXT]
   python -m punchspark departments --warehouse W
+  python -m punchspark users      --warehouse W --action create|update|active --input requests.csv
+  python -m punchspark stream     --warehouse W --input DIR --header "Staff ID,Date,Time,DeviceName"
 
 The cluster's session settings (master, spark.checkpoint.dir, sizing) come from
 spark-submit; without a master a local session is used.
@@ -18,6 +20,7 @@ import json
 import os
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _session() -> SparkSession:
@@ -31,7 +34,9 @@ def _session() -> SparkSession:
 
 def main(argv: list[str] | None = None) -> dict:
     ap = argparse.ArgumentParser(prog="punchspark")
-    ap.add_argument("command", choices=["init", "roster", "punches", "dashboard", "export", "departments"])
+    ap.add_argument("command", choices=["init", "roster", "punches", "dashboard", "export", "departments", "users", "stream"])
+    ap.add_argument("--action", choices=["create", "update", "active"])
+    ap.add_argument("--header")
     ap.add_argument("--warehouse", required=True)
     ap.add_argument("--input")
     ap.add_argument("--out")
@@ -52,7 +57,7 @@ def main(argv: list[str] | None = None) -> dict:
     from punchspark.plans.dashboard import dashboard_bundle
     from punchspark.plans.export import export_report
     from punchspark.plans.upload import ingest_punch_files, sync_roster_files
-    from punchspark.sources import tables
+    from punchspark.sources import tables, uploads
     from punchspark.sources.tables import DEPARTMENTS_SCHEMA, USERS_SCHEMA
 
     wh = a.warehouse
@@ -67,6 +72,34 @@ def main(argv: list[str] | None = None) -> dict:
         rows = ingest_punch_files(spark, a.input, wh).collect()  # one counter row per upload layout
         keys = ("importedRows", "skippedDuplicates", "autoProvisionedUsers", "autoProvisionedDepartments", "unauthorizedRecords")
         return {k: int(sum(r[k] for r in rows)) for k in keys}
+    if a.command == "users":
+        # requests: one CSV row per request, in file order (columns as the admin API fields)
+        req = uploads.read_csv_layout(spark, [a.input]).withColumn("req_ord", F.col("row_ord"))
+        users = tables.users(spark, wh)
+        if a.action == "create":
+            new_users, rejects = R.create_users(users, req)
+            tables.write_new_version(new_users, wh, "users")
+            path = tables.write_new_version(rejects.drop("req_ord"), wh, "user_request_rejects")
+            return {"rejects": path, "rejected": spark.read.parquet(path).count()}
+        if a.action == "update":
+            tables.write_new_version(R.update_users(users, req), wh, "users")
+        else:
+            tables.write_new_version(R.set_active(users, req.withColumn("isActive", F.col("isActive").cast("boolean"))), wh, "users")
+        return {"action": a.action}
+    if a.command == "stream":
+        from punchspark.streaming.punch_stream import start_punch_stream
+
+        q = start_punch_stream(
+            spark,
+            a.input,
+            [h.strip() for h in a.header.split(",")],
+            lambda s: tables.users(s, wh),
+            os.path.join(wh, "punches"),
+            os.path.join(wh, "ingest_metrics"),
+            os.path.join(wh, "_stream_checkpoint"),
+        )
+        q.awaitTermination()
+        return {"stream": "done"}
     punches, users, departments = tables.punches(spark, wh), tables.users(spark, wh), tables.departments(spark, wh)
     if a.command == "departments":
         return {"departments": [r.asDict() for r in R.departments_list(departments).collect()]}  # a short list

@@ -27,3 +27,28 @@ def test_cli_end_to_end(spark, tmp_dir):
     assert rows[0].endswith('"Not Checked Out","Early Departure"')
     names = [x["DepartmentName"] for x in main(["departments", "--warehouse", wh])["departments"]]
     assert names == ["HR", "IT", "Ops"]
+
+
+def test_cli_users_and_stream(spark, tmp_dir):
+    wh = os.path.join(tmp_dir, "wh")
+    main(["init", "--warehouse", wh, "--departments", "IT"])
+    req = os.path.join(tmp_dir, "req.csv")
+    with open(req, "w") as fh:
+        fh.write("employeeNo,firstName,lastName,departmentId,role,password\n e7 ,Ann,Lee,1,User,pw\nE8,,Roe,1,User,pw\n")
+    out = main(["users", "--warehouse", wh, "--action", "create", "--input", req])
+    assert out["rejected"] == 1
+    assert [r["employeeNo"] for r in spark.read.parquet(out["rejects"]).collect()] == ["E8"]
+    act = os.path.join(tmp_dir, "act.csv")
+    with open(act, "w") as fh:
+        fh.write("employeeNo,isActive\nE7,false\n")
+    main(["users", "--warehouse", wh, "--action", "active", "--input", act])
+    from punchspark.sources import tables
+
+    u = {r["EmployeeNo"]: r for r in tables.users(spark, wh).collect()}
+    assert u["E7"]["IsActive"] is False and u["E7"]["FirstName"] == "Ann"
+    sin = os.path.join(tmp_dir, "sin")
+    os.makedirs(sin)
+    with open(os.path.join(sin, "a.csv"), "w") as fh:
+        fh.write("Staff ID,Date,Time,DeviceName\nE7,2026-05-25,09:00,G\nE7,2026-05-25,18:00,G\n")
+    assert main(["stream", "--warehouse", wh, "--input", sin, "--header", "Staff ID,Date,Time,DeviceName"]) == {"stream": "done"}
+    assert tables.punches(spark, wh).count() == 2
