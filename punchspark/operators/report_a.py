@@ -91,9 +91,9 @@ def active_punches(punches: DataFrame, users: DataFrame, departments: DataFrame)
         "FirstName",
         "LastName",
         F.col("DepartmentName"),
+        "EmpType",
         F.to_date("PunchDateTime").alias("LogDate"),
         F.date_format("PunchDateTime", "HH:mm:ss").alias("LogTime"),
-        "DeviceName",
     )
 
 

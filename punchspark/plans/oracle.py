@@ -169,9 +169,8 @@ SELECT Date AS date, {_half_up('sum(hours_cents)', 'count(hours_cents)')} / 100.
 FROM r WHERE Status <> 'Incomplete Record' GROUP BY Date""",
         "active_punches": f"""
 WITH users AS ({USERS}), depts AS ({DEPTS}), punches AS ({PUNCHES})
-SELECT p.EmployeeNo, u.FirstName, u.LastName, d.DepartmentName,
-       strftime(CAST(p.PunchDateTime AS DATE), '%Y-%m-%d') AS LogDate, strftime(p.PunchDateTime, '%H:%M:%S') AS LogTime,
-       p.DeviceName
+SELECT p.EmployeeNo, u.FirstName, u.LastName, d.DepartmentName, u.EmpType,
+       strftime(CAST(p.PunchDateTime AS DATE), '%Y-%m-%d') AS LogDate, strftime(p.PunchDateTime, '%H:%M:%S') AS LogTime
 FROM punches p JOIN users u ON u.EmployeeNo = p.EmployeeNo JOIN depts d ON d.DepartmentID = u.DepartmentID
 WHERE u.IsActive""",
         "summary_widgets": f"""

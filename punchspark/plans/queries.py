@@ -61,7 +61,7 @@ def active_punches(spark: SparkSession, sf_dir: str) -> DataFrame:
     punches, users, departments = engine_tables(spark, sf_dir)
     out = A.active_punches(punches, users, departments)
     return out.select(
-        "EmployeeNo", "FirstName", "LastName", "DepartmentName", F.date_format("LogDate", "yyyy-MM-dd").alias("LogDate"), "LogTime", "DeviceName"
+        "EmployeeNo", "FirstName", "LastName", "DepartmentName", "EmpType", F.date_format("LogDate", "yyyy-MM-dd").alias("LogDate"), "LogTime"
     )
 
 
