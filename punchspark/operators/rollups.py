@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punchspark import policy as P
+from punchspark.functions.text import js_trim
 from punchspark.functions.timefmt import cents_fixed2, cents_to_double, half_up_ratio, js_int_prefix, minute_of_day
 
 
@@ -143,7 +144,7 @@ def sort_key(column: str) -> Column:
         return F.coalesce(F.col("hours"), F.lit(0.0))
     if column == "Date":
         return F.col("Date")
-    return F.lower(F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))))
+    return F.lower(js_trim(F.coalesce(F.col(column).cast("string"), F.lit(""))))
 
 
 def sort_records(records: DataFrame, column: str | None = None, direction: str = "asc") -> DataFrame:
