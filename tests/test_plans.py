@@ -75,6 +75,11 @@ def test_upload_plans_end_to_end(spark, tmp_dir):
     os.makedirs(pdir)
     with open(os.path.join(pdir, "p1.csv"), "w") as fh:
         fh.write("Staff ID,Date,Time,DeviceName\nE1,2026-05-25,09:00,G\nE1,2026-05-25,09:00,G\nE9,2026-05-25,10:00,G\n")
-    met = ingest_punch_files(spark, pdir, wh).first()
-    assert (met["importedRows"], met["skippedDuplicates"], met["unauthorizedRecords"]) == (2, 1, 1)
-    assert tables.punches(spark, wh).count() == 2
+    from punchspark.sources.workbook import write_xlsx
+
+    write_xlsx(os.path.join(pdir, "p2.xlsx"), ["PersonNo", "PersonFirstName", "PersonLastName", "DATE", "TIME", "DeviceName"], [["0", "John", "Smith", 45992, 0.385417, "G"]])
+    met = ingest_punch_files(spark, pdir, wh).collect()
+    tot = {k: sum(r[k] for r in met) for k in ("importedRows", "skippedDuplicates", "unauthorizedRecords")}
+    assert tot == {"importedRows": 3, "skippedDuplicates": 1, "unauthorizedRecords": 1}
+    stored = {(r["EmployeeNo"], r["PunchDateTime"].strftime("%Y-%m-%d %H:%M")) for r in tables.punches(spark, wh).collect()}
+    assert ("E2", "2025-12-01 09:15") in stored and len(stored) == 3
