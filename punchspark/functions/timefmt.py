@@ -20,11 +20,13 @@ def format_24h(ts: Column | str) -> Column:
 
 
 def minute_of_day(ts: Column | str) -> Column:
+    """hour * 60 + minute (seconds truncated)."""
     ts = col_of(ts)
     return (F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
 
 
 def weekday_name(d: Column | str) -> Column:
+    """English weekday name."""
     return F.date_format(col_of(d), "EEEE")
 
 

@@ -74,6 +74,7 @@ def name_index(users: DataFrame) -> DataFrame:
 
 
 def _words_keys(norm: Column) -> Column:
+    """w1w2, w2w1, w1wN, wNw1 when the cleaned name has at least two words."""
     w = F.filter(F.split(norm, " "), lambda x: F.length(x) > 0)
     first, second, last = (F.lower(F.element_at(w, i)) for i in (1, 2, -1))
     pairs = F.array(F.concat(first, second), F.concat(second, first), F.concat(first, last), F.concat(last, first))
@@ -149,6 +150,7 @@ def resolve_identity(cells: DataFrame, users: DataFrame, loose: bool = True) ->
     full = js_trim(F.concat(F.col("first_cell"), F.lit(" "), F.col("last_cell")))
     raw_name = F.when(full != "", full).otherwise(js_trim(F.col("unified_cell")))
     rows = cells.select("*", raw_id.alias("raw_id"), raw_name.alias("raw_name"))
+    # A non-dummy ID on the roster is kept as is
     rows = rows.join(keys.select(F.col("key").alias("raw_id"), F.lit(True).alias("known")), "raw_id", "left")
     dummy = F.col("raw_id").isin(*P.DUMMY_IDS)
     rows = rows.withColumn("by_id", ~dummy & F.coalesce(F.col("known"), F.lit(False)))

@@ -128,6 +128,7 @@ def classify_a(days: DataFrame, pol: P.ShiftPolicy = P.POLICY_A) -> DataFrame:
     late = minute_of_day(first) > pol.late_after_minute
     early = minute_of_day(last) < pol.early_before_minute
     over = span_micros(first, last) > F.lit(int(pol.overtime_hours * 3_600_000_000))
+    # Incomplete, then early/late combinations, then unrounded overtime
     status = (
         F.when(single, P.A_INCOMPLETE)
         .when(early & late, P.A_LATE_EARLY)

@@ -158,6 +158,7 @@ def classify_b(groups: DataFrame, users: DataFrame, departments: DataFrame, pol:
         .when(early, P.B_EARLY)
         .otherwise(P.B_COMPLIANT)
     )
+    # B5 (multi_status above): rounded overtime first, then late/early; B4: single punch split at noon
     status = (
         F.when(unauthorized, F.lit(P.UNAUTHORIZED))
         .when(single & morning, F.lit(P.B_EARLY))

@@ -85,6 +85,7 @@ def roster_rows(upload: DataFrame) -> DataFrame:
     last = resolve(cells, P.ROSTER_LAST_ALIASES)
     unified = resolve(cells, P.UNIFIED_NAME_ALIASES)
 
+    # R2: names follow which name headers the file has (explicit, unified, or neither)
     clean_first = js_trim(F.coalesce(first.value, F.lit("")))
     explicit_first = F.when((clean_first == "") | (F.upper(clean_first) == "NULL"), F.lit("")).otherwise(clean_first)
     explicit_last = null_text_to_empty(F.coalesce(last.value, F.lit("")))

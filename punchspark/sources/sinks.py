@@ -30,7 +30,8 @@ def report_csv_frame(report_b: DataFrame) -> DataFrame:
 
 
 def write_report_csv(report_b: DataFrame, path: str) -> None:
-    """Every value double-quoted, '"' doubled, null → "". (Spark also quotes the header.)"""
+    """Every value double-quoted, '"' doubled, null → "" (F8 cell escaping via writer options).
+    (Spark also quotes the header.)"""
     (
         report_csv_frame(report_b)
         .write.mode("overwrite")
