@@ -13,15 +13,20 @@ from punchspark.sources import sinks, tables, uploads
 from punchspark.sources.workbook import read_workbooks
 
 
+def _has_files(spark: SparkSession, path: str, glob: str) -> bool:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
+    return not files.isEmpty()
+
+
 def upload_frames(spark: SparkSession, path: str) -> list[DataFrame]:
-    """CSV layouts (one frame per header) plus the workbooks (one long frame)."""
+    """CSV layouts (one frame per header) plus the workbooks (one long frame).
+
+    Listing goes through Spark, so ``path`` may be on any Hadoop file system.
+    """
     frames: list[DataFrame] = []
-    has_csv = any(f.lower().endswith(".csv") for f in os.listdir(path)) if os.path.isdir(path) else path.endswith(".csv")
-    has_xlsx = any(f.lower().endswith(".xlsx") for f in os.listdir(path)) if os.path.isdir(path) else path.endswith(".xlsx")
-    if has_csv:
-        csv_path = os.path.join(path, "*.csv") if os.path.isdir(path) else path
-        frames += uploads.read_csv_uploads(spark, csv_path)
-    if has_xlsx:
+    if _has_files(spark, path, "*.csv"):
+        frames += uploads.read_csv_uploads(spark, path)
+    if _has_files(spark, path, "*.xlsx"):
         frames.append(read_workbooks(spark, path))
     return frames
 

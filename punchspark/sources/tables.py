@@ -8,7 +8,6 @@ overwrite a path that is being read.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,18 +42,22 @@ PUNCHES_SCHEMA = T.StructType(
 )
 
 
-def table_path(warehouse: str, name: str) -> str:
-    """Current version of a table: the newest version folder, or the folder itself."""
-    base = os.path.join(warehouse, name)
-    pointer = os.path.join(base, "_CURRENT")
-    if os.path.exists(pointer):
-        with open(pointer) as fh:
-            return os.path.join(base, fh.read().strip())
-    return base
+def _pointer(warehouse: str, name: str) -> str:
+    return f"{warehouse.rstrip('/')}/{name}/_CURRENT"
+
+
+def table_path(spark: SparkSession, warehouse: str, name: str) -> str:
+    """Current version of a table: the version named in its pointer, or the folder itself."""
+    base = f"{warehouse.rstrip('/')}/{name}"
+    try:
+        row = spark.read.text(_pointer(warehouse, name)).first()
+    except Exception:  # noqa: BLE001 - no pointer yet: an unversioned table
+        row = None
+    return f"{base}/{row['value'].strip()}" if row else base
 
 
 def read_table(spark: SparkSession, warehouse: str, name: str, schema: T.StructType) -> DataFrame:
-    df = spark.read.option("mergeSchema", True).parquet(table_path(warehouse, name))
+    df = spark.read.option("mergeSchema", True).parquet(table_path(spark, warehouse, name))
     return with_missing_columns(df, schema)
 
 
@@ -71,13 +74,15 @@ def punches(spark: SparkSession, warehouse: str) -> DataFrame:
 
 
 def write_new_version(df: DataFrame, warehouse: str, name: str) -> str:
-    """Write ``df`` as a new version folder, then switch the table's pointer to it."""
-    base = os.path.join(warehouse, name)
+    """Write ``df`` as a new version folder, then point the table at it.
+
+    Readers of the previous version are never disturbed (its folder is kept); the
+    pointer is a one-line text table written through Spark, so any cluster file
+    system works.
+    """
+    base = f"{warehouse.rstrip('/')}/{name}"
     version = f"v-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(os.path.join(base, version))
-    os.makedirs(base, exist_ok=True)
-    tmp = os.path.join(base, f"_CURRENT.{version}")
-    with open(tmp, "w") as fh:
-        fh.write(version)
-    os.replace(tmp, os.path.join(base, "_CURRENT"))
-    return os.path.join(base, version)
+    df.write.mode("error").parquet(f"{base}/{version}")
+    spark = df.sparkSession
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(warehouse, name))
+    return f"{base}/{version}"

@@ -53,9 +53,12 @@ def _read_header_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"upload_id": list(pdf["path"]), "header": out})
 
 
-def upload_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per file: (upload_id, header array). Only the first line of each file is read."""
-    files = spark.read.format("binaryFile").load(paths).select("path")
+def upload_headers(spark: SparkSession, paths: str | list[str], glob: str = "*.csv") -> DataFrame:
+    """One row per file: (upload_id, header array). Only the first line of each file is read.
+
+    Files are listed by Spark (any Hadoop file system); ``content`` is never loaded.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths).select("path")
     return files.mapInPandas(_read_header_lines, HEADER_SCHEMA)
 
 
