@@ -9,9 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punchspark.functions.dtparse import with_punch_datetime
+from punchspark.functions.text import normalize_name
+from punchspark.operators import identity as ID
+from punchspark.operators import ingest as I
 from punchspark.operators import report_a as A
 from punchspark.operators import report_b as B
+from punchspark.operators import roster as R
 from punchspark.operators import rollups as D
+from punchspark.plans import driver_tables as DT
 from punchspark.plans.driver_tables import engine_tables
 
 # Parameters of the filtered variants (fixed so the oracle can use the same).
@@ -104,33 +110,10 @@ def export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*B_OUT)
 
 
-REGISTRY = {
-    "daily_attendance": daily_attendance,
-    "daily_attendance_filtered": daily_attendance_filtered,
-    "daily_attendance_by_status": daily_attendance_by_status,
-    "status_distribution": status_distribution,
-    "daily_trend": daily_trend,
-    "active_punches": active_punches,
-    "summary_widgets": summary_widgets,
-    "time_bands": time_bands,
-    "employee_compliance": employee_compliance,
-    "records_page": records_page,
-    "punch_timeline": punch_timeline,
-    "export_daily": export_daily,
-    "export_filtered": export_filtered,
-}
-
-
 # ---------------------------------------------------------------------------
 # Ingestion (P*) over a punch upload derived from events, roster named from part
 # ---------------------------------------------------------------------------
 
-from punchspark.operators import ingest as I  # noqa: E402
-from punchspark.operators import identity as ID  # noqa: E402
-from punchspark.operators import roster as R  # noqa: E402
-from punchspark.functions.text import normalize_name  # noqa: E402
-from punchspark.functions.dtparse import with_punch_datetime  # noqa: E402
-from punchspark.plans import driver_tables as DT  # noqa: E402
 
 
 def _ingest(spark: SparkSession, sf_dir: str) -> I.IngestResult:
@@ -324,25 +307,36 @@ def users_set_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.set_active(users, req)
 
 
-REGISTRY.update(
-    {
-        "punch_ingest": punch_ingest,
-        "ingest_metrics": ingest_metrics,
-        "facility_exclusion": facility_exclusion,
-        "punch_dedup": punch_dedup,
-        "datetime_parse": datetime_parse,
-        "excel_serial_parse": excel_serial_parse,
-        "name_normalize": name_normalize,
-        "name_match": name_match,
-        "roster_upsert": roster_upsert,
-        "roster_metrics": roster_metrics,
-        "department_provision": department_provision,
-        "directory": directory,
-        "directory_strict": directory_strict,
-        "directory_filter": directory_filter,
-        "departments_list": departments_list,
-        "users_create": users_create,
-        "users_update": users_update,
-        "users_set_active": users_set_active,
-    }
-)
+REGISTRY = {
+    "daily_attendance": daily_attendance,
+    "daily_attendance_filtered": daily_attendance_filtered,
+    "daily_attendance_by_status": daily_attendance_by_status,
+    "status_distribution": status_distribution,
+    "daily_trend": daily_trend,
+    "active_punches": active_punches,
+    "summary_widgets": summary_widgets,
+    "time_bands": time_bands,
+    "employee_compliance": employee_compliance,
+    "records_page": records_page,
+    "punch_timeline": punch_timeline,
+    "export_daily": export_daily,
+    "export_filtered": export_filtered,
+    "punch_ingest": punch_ingest,
+    "ingest_metrics": ingest_metrics,
+    "facility_exclusion": facility_exclusion,
+    "punch_dedup": punch_dedup,
+    "datetime_parse": datetime_parse,
+    "excel_serial_parse": excel_serial_parse,
+    "name_normalize": name_normalize,
+    "name_match": name_match,
+    "roster_upsert": roster_upsert,
+    "roster_metrics": roster_metrics,
+    "department_provision": department_provision,
+    "directory": directory,
+    "directory_strict": directory_strict,
+    "directory_filter": directory_filter,
+    "departments_list": departments_list,
+    "users_create": users_create,
+    "users_update": users_update,
+    "users_set_active": users_set_active,
+}
