@@ -64,10 +64,10 @@ def dense_index(df: DataFrame, order: Column, out: str = "idx", partitions: int
     )
 
 
-def max_value(df: DataFrame, column: str) -> int:
-    """A single scalar (the current top identity value), 0 for an empty table."""
-    v = df.agg(F.max(column)).first()[0]
-    return int(v) if v is not None else 0
+def top_value(df: DataFrame, column: str) -> Column:
+    """The current top identity value (0 for an empty table) as a scalar subquery:
+    evaluated inside the consuming query, no driver-side action, no join."""
+    return df.agg(F.coalesce(F.max(column), F.lit(0)).cast("bigint")).scalar()
 
 
 # ---------------------------------------------------------------------------
@@ -128,9 +128,9 @@ def provision_departments(departments: DataFrame, rows: DataFrame) -> tuple[Data
     )
     known = departments.select(dept_key(F.col("DepartmentName")).alias("dkey"))
     new = seen.join(broadcast_if_small(known), "dkey", "left_anti")
-    top = max_value(departments, "DepartmentID")
+    top = top_value(departments, "DepartmentID")
     numbered = dense_index(new, F.col("first_ord"), "rank")
-    new_depts = numbered.select((F.lit(top) + F.col("rank")).cast("int").alias("DepartmentID"), "DepartmentName")
+    new_depts = numbered.select((top + F.col("rank")).cast("int").alias("DepartmentID"), "DepartmentName")
     return departments.select("DepartmentID", "DepartmentName").unionByName(new_depts), new_depts
 
 
@@ -186,11 +186,11 @@ def sync_roster_rows(users: DataFrame, departments: DataFrame, rows: DataFrame)
         "IsActive",
     )
     fresh = per_staff.where(F.col("exists").isNull())
-    top = max_value(users, "UserID")
+    top = top_value(users, "UserID")
     inserted = (
         dense_index(fresh, F.col("first_ord"), "rank")
         .select(
-            (F.lit(top) + F.col("rank")).cast("int").alias("UserID"),
+            (top + F.col("rank")).cast("int").alias("UserID"),
             F.col("staff").alias("EmployeeNo"),
             F.col("v.first").alias("FirstName"),
             F.col("v.last").alias("LastName"),
@@ -248,11 +248,11 @@ def create_users(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     )
     req = req.withColumn("reason", reason)
     ok = req.where(F.col("reason").isNull())
-    top = max_value(users, "UserID")
+    top = top_value(users, "UserID")
     new = (
         dense_index(ok, F.col("req_ord"), "rank")
         .select(
-            (F.lit(top) + F.col("rank")).cast("int").alias("UserID"),
+            (top + F.col("rank")).cast("int").alias("UserID"),
             F.col("staff").alias("EmployeeNo"),
             js_trim(F.col("firstName")).alias("FirstName"),
             js_trim(F.col("lastName")).alias("LastName"),
