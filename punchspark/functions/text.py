@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS_EDGES = r"^\s+|\s+$"
+# The whitespace class of JavaScript's \s and trim() (ASCII whitespace, no-break
+# space, BOM and the Unicode space separators), written for Java regex.
+JS_WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_WS_EDGES = rf"^{JS_WS}+|{JS_WS}+$"
 
 
 def col_of(c: Column | str) -> Column:
@@ -42,18 +45,18 @@ def normalize_name(c: Column | str) -> Column:
     """Clean a badge-reader name: drop leading 'NULL ' / trailing ' NULL', (...) parts,
     digits, punctuation; collapse spaces; drop one-letter words."""
     x = js_trim(F.coalesce(col_of(c), F.lit("")))
-    x = F.regexp_replace(x, r"(?i)^null\s+", "")
-    x = F.regexp_replace(x, r"(?i)\s+null$", "")
+    x = F.regexp_replace(x, rf"(?i)^null{JS_WS}+", "")
+    x = F.regexp_replace(x, rf"(?i){JS_WS}+null$", "")
     x = F.regexp_replace(x, r"\(.*?\)", "")
     x = F.regexp_replace(x, r"\d+", "")
     x = F.regexp_replace(x, r"[.,/#!$%^&*;:{}=\-_`~?]", " ")
-    x = js_trim(F.regexp_replace(x, r"\s+", " "))
+    x = js_trim(F.regexp_replace(x, rf"{JS_WS}+", " "))
     return F.array_join(F.filter(F.split(x, " "), lambda w: F.length(w) > 1), " ")
 
 
 def name_key(c: Column | str) -> Column:
     """Lower-case, all whitespace removed (the name index key form)."""
-    return F.regexp_replace(F.lower(js_trim(F.coalesce(col_of(c), F.lit("")))), r"\s+", "")
+    return F.regexp_replace(F.lower(js_trim(F.coalesce(col_of(c), F.lit("")))), rf"{JS_WS}+", "")
 
 
 def contains_ci(haystack: Column, needle: str) -> Column:

@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 from punchspark.functions.text import falsy_to_null
 
 
+# JavaScript's \s also covers the BOM (U+FEFF), which Python's does not.
+_JS_WS = re.compile(r"[\s\ufeff]")
+
+
 def header_key(name: str) -> str:
-    return re.sub(r"\s", "", name.lower())
+    return _JS_WS.sub("", name.lower())
 
 
 class WideCells:

@@ -83,3 +83,18 @@ def test_append_punches_partitioned_and_read_back(spark, tmp_dir):
     assert parts == ["punch_date=2026-01-05", "punch_date=2026-01-06"]
     tables.write_new_version(users_df(spark, [(1, "E1", "A", "B", 1, "User", None, True)]), wh, "users")
     assert tables.users(spark, wh).count() == 1
+
+
+def test_bom_header_and_unicode_spaces(spark, tmp_dir):
+    """Excel writes a byte-order mark before the first header; JS whitespace rules ignore it,
+    and treat no-break spaces in names as spaces."""
+    d = os.path.join(tmp_dir, "bom")
+    os.makedirs(d)
+    with open(os.path.join(d, "a.csv"), "w", encoding="utf-8-sig") as fh:
+        fh.write("PersonNo,PersonFirstName,PersonLastName,Date,Time\nEMP001,x,y,2026-05-25,09:00\n0,John , Smith,2026-05-25,10:00\n")
+    users = users_df(spark, [(1, "EMP001", "John", "Smith", 1, "User", None, True)])
+    stored = []
+    for f in uploads.read_csv_uploads(spark, d):
+        stored += ingest_punch_upload(f, users).punches.collect()
+    got = sorted((r["EmployeeNo"], r["match_method"]) for r in stored)
+    assert got == [("EMP001", "exact"), ("EMP001", "id")]
