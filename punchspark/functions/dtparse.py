@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punchspark.functions.text import col_of, js_trim
+from punchspark.functions.text import JS_WS, col_of, js_trim
 from punchspark.functions.timefmt import js_int_or_zero
 from punchspark.policy import EXCEL_EPOCH_SERIAL, EXCEL_MAX_SERIAL
 
@@ -91,7 +91,7 @@ def _plain_number(x: Column, allow_minus: bool) -> Column:
 
 def _int_parts(text: Column, sep: str, signs: str) -> Column:
     """parseInt of every ``sep``-separated part in one regex pass: '' where a part has no number."""
-    return F.regexp_extract_all(text, F.lit(rf"(?:^|{sep})\s*([{signs}]?\d*)[^{sep[-1]}]*"), 1)
+    return F.regexp_extract_all(text, F.lit(rf"(?:^|{sep}){JS_WS}*([{signs}]?\d*)[^{sep[-1]}]*"), 1)
 
 
 def _int_at(parts: Column, i: int) -> Column:

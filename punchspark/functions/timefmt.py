@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from punchspark.functions.text import col_of
+from punchspark.functions.text import JS_WS, col_of
 
 MICROS_PER_HOUR = 3_600_000_000
 
@@ -90,7 +90,7 @@ def minutes_to_time(mins: Column | str) -> Column:
 
 def js_int_prefix(text: Column) -> Column:
     """parseInt(text, 10): leading integer, null when there is none (or it overflows bigint)."""
-    digits = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
+    digits = F.regexp_extract(text, rf"^{JS_WS}*([+-]?\d+)", 1)
     return F.when(digits != "", digits.try_cast("bigint"))
 
 
