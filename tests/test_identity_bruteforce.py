@@ -101,3 +101,37 @@ def test_identity_matches_brute_force(spark):
     got = resolve_identity(punch_cells(up), udf).orderBy("row_ord").collect()
     expected = brute(users, rows)
     assert [(r["EmployeeNo"], r["match_method"]) for r in got] == expected
+
+
+JS_WS_PY = "[\\s\ufeff]"  # JavaScript \s also covers the BOM
+
+
+def normalize_js(s: str) -> str:
+    s = re.sub(rf"^{JS_WS_PY}+|{JS_WS_PY}+$", "", s)
+    s = re.sub(rf"(?i)^null{JS_WS_PY}+", "", s)
+    s = re.sub(rf"(?i){JS_WS_PY}+null$", "", s)
+    s = re.sub(r"\(.*?\)", "", s)
+    s = re.sub(r"\d+", "", s)
+    s = re.sub(r"[.,/#!$%^&*;:{}=\-_`~?]", " ", s)
+    s = re.sub(rf"{JS_WS_PY}+", " ", s)
+    s = re.sub(rf"^{JS_WS_PY}+|{JS_WS_PY}+$", "", s)
+    return " ".join(w for w in s.split(" ") if len(w) > 1)
+
+
+def test_normalize_name_matches_brute_force(spark):
+    from punchspark.functions.text import normalize_name
+
+    rnd = random.Random(3)
+    alphabet = list("abcXYZ") + list("0123456789") + list(".,/#!$%^&*;:{}=-_`~?()'") + [" ", " ", "\t", "\u00a0", "\ufeff", "\u3000", "\u00e9"]
+    texts = []
+    for _ in range(400):
+        s = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 18)))
+        if rnd.random() < 0.2:
+            s = rnd.choice(["NULL ", "null\u00a0", " Null  "]) + s
+        if rnd.random() < 0.2:
+            s = s + rnd.choice([" NULL", "\tnull", " nUlL "])
+        texts.append(s)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", normalize_name("t").alias("n")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == normalize_js(t), repr(t)
