@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,9 @@ def measured(df: DataFrame, max_rows: int = 2_000_000) -> tuple[DataFrame, int,
     from punchspark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # the checkpoint write reads it, not a recompute
+    done = kept.checkpoint(eager=True)
+    kept.unpersist()
     rows = done.count()
     width = 16 + sum(64 if f.dataType.typeName() in ("string", "binary") else 16 for f in done.schema.fields)
     limit = broadcast_limit(done)

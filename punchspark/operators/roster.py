@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +42,10 @@ def dense_index(df: DataFrame, order: Column, out: str = "idx", partitions: int
     # Without an explicit count AQE may coalesce the ranges; merged partitions are
     # adjacent ranges, so partition order still follows ``order``.
     ranged = ranged.repartitionByRange(partitions, F.col("__ord")) if partitions else ranged.repartitionByRange(F.col("__ord"))
-    staged = (
-        ranged
-        .sortWithinPartitions("__ord")
-        .withColumn("__mono", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
-    )
+    prepared = ranged.sortWithinPartitions("__ord").withColumn("__mono", F.monotonically_increasing_id())
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)  # the checkpoint write reads it, not a recompute
+    staged = prepared.checkpoint(eager=True)
+    prepared.unpersist()
     pid = F.shiftright(F.col("__mono"), 33)
     counts = staged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
