@@ -44,6 +44,19 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (lineage cut, survives
+    executor loss). Persisted first, so writing the checkpoint reads the cached blocks
+    instead of recomputing the plan."""
+    from punchspark.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    done = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return done
+
+
 def measured(df: DataFrame, max_rows: int = 2_000_000) -> tuple[DataFrame, int, bool]:
     """Checkpoint a derived table and count it: (table, rows, fits_broadcast).
 
@@ -52,12 +65,7 @@ def measured(df: DataFrame, max_rows: int = 2_000_000) -> tuple[DataFrame, int,
     is then cheap, and ``fits_broadcast`` uses the measured rows × a per-row width
     bound from the schema. Tables derived 1:1 from it inherit the bound.
     """
-    from punchspark.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)  # the checkpoint write reads it, not a recompute
-    done = kept.checkpoint(eager=True)
-    kept.unpersist()
+    done = checkpointed(df)
     rows = done.count()
     width = 16 + sum(64 if f.dataType.typeName() in ("string", "binary") else 16 for f in done.schema.fields)
     limit = broadcast_limit(done)

@@ -11,14 +11,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punchspark import policy as P
 from punchspark.functions.text import js_trim, null_text_to_empty, upper_trim
-from punchspark.operators.common import broadcast_if_small
-from punchspark.session import ensure_checkpoint_dir
+from punchspark.operators.common import broadcast_if_small, checkpointed
 from punchspark.sources.aliases import cells_for, resolve
 
 
@@ -37,15 +35,11 @@ def dense_index(df: DataFrame, order: Column, out: str = "idx", partitions: int
     checkpointed to the shared checkpoint folder so both passes see the same rows
     (and lineage is cut).
     """
-    ensure_checkpoint_dir(df.sparkSession)
     ranged = df.withColumn("__ord", order)
     # Without an explicit count AQE may coalesce the ranges; merged partitions are
     # adjacent ranges, so partition order still follows ``order``.
     ranged = ranged.repartitionByRange(partitions, F.col("__ord")) if partitions else ranged.repartitionByRange(F.col("__ord"))
-    prepared = ranged.sortWithinPartitions("__ord").withColumn("__mono", F.monotonically_increasing_id())
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)  # the checkpoint write reads it, not a recompute
-    staged = prepared.checkpoint(eager=True)
-    prepared.unpersist()
+    staged = checkpointed(ranged.sortWithinPartitions("__ord").withColumn("__mono", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("__mono"), 33)
     counts = staged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punchspark.operators.common import checkpointed
 from punchspark.operators.ingest import IngestResult, ingest_punch_upload
 from punchspark.operators.roster import roster_rows, sync_roster_rows
 from punchspark.sources import sinks, tables, uploads
@@ -40,7 +41,7 @@ def ingest_punch_files(spark: SparkSession, path: str, warehouse: str) -> DataFr
     metrics = []
     for frame in upload_frames(spark, path):
         result = ingest_punch_upload(frame, users)
-        done = IngestResult(result.groups.checkpoint(eager=True))  # one pass over the upload, lineage cut
+        done = IngestResult(checkpointed(result.groups))  # one pass over the upload, lineage cut
         sinks.append_punches(done.punches, os.path.join(warehouse, "punches"))
         metrics.append(done.metrics)
     out = metrics[0]
@@ -59,7 +60,7 @@ def sync_roster_files(spark: SparkSession, path: str, warehouse: str) -> DataFra
         r = roster_rows(f).withColumn("row_ord", F.struct(F.col("upload_id").alias("file"), F.col("row_ord").alias("pos")))
         rows = r if rows is None else rows.unionByName(r)
     result = sync_roster_rows(users, departments, rows)
-    metrics = result.metrics.checkpoint(eager=True)
+    metrics = checkpointed(result.metrics)
     tables.write_new_version(result.departments, warehouse, "departments")
     tables.write_new_version(result.users, warehouse, "users")
     return metrics.withColumn("uploads", F.lit(len(frames)))
