@@ -6,7 +6,9 @@ the same ingestion plan as a batch upload (identity → facility → parse → d
 within the file → label) against the roster read for that batch, appends the
 punches (partitioned by date) and the counters. ``trigger(availableNow=True)``
 processes what is there and stops; progress lives in the checkpoint folder, so a
-restarted or failed job resumes without re-appending committed files.
+restarted job resumes from the last committed batch. Lost executors are covered by
+Spark's task retry and output commit protocol; if the driver dies between a batch's
+append and its commit, that batch is appended again (foreachBatch is at-least-once).
 
 Optional cross-file duplicate removal runs before ``foreachBatch`` with a
 watermark. Watermarks reject TIMESTAMP_NTZ, so a TIMESTAMP copy is made for it.
