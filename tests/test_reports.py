@@ -140,3 +140,10 @@ def test_report_b_both_aggregate_paths_agree(spark, tables, tmp_path):
     a = sorted(map(tuple, B.daily_report_b(punches, parquet_users, depts).select(*cols).collect()), key=str)
     b = sorted(map(tuple, B.daily_report_b(punches, users, depts).select(*cols).collect()), key=str)
     assert a == b
+
+
+def test_employee_search_escapes_wildcards(spark):
+    users = users_df(spark, [(1, "A_1", "x", "y", 1, "User", None, True), (2, "AB1", "x", "y", 1, "User", None, True)])
+    assert sorted(r["EmployeeNo"] for r in A.by_employee(users, "a_1").collect()) == ["A_1"]
+    assert sorted(r["EmployeeNo"] for r in A.by_employee(users, "a_1", raw=True).collect()) == ["AB1", "A_1"]
+    assert A.by_employee(users, "  ").count() == 2
