@@ -10,6 +10,7 @@ from punchspark.llm.bpe import encode
 from punchspark.llm.decontaminate import decontaminate
 from punchspark.llm.exact_dedup import exact_dedup
 from punchspark.llm.near_dedup import near_dedup
+from punchspark.llm.suffix_dedup import suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digest=True)
     return done.withColumnRenamed("id", "doc_id")
@@ -47,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe": op3_bpe,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
