@@ -5,7 +5,10 @@ samples give band keys; documents that share a band key are candidates. The same
 are folded into an odd sketch: a bitmap of ``SKETCH_BITS`` parities, each sample toggling
 one bit. The population count of the XOR of two sketches is at most twice the number of
 samples in which they differ, so a count above ``MAX_ODD`` rules a pair out before any set
-is read. Pairs that remain are confirmed on their full shingle sets.
+is read. A second odd sketch folds the whole shingle set: its XOR count is at most the size
+of the symmetric difference, which a link bounds by the set sizes, so this test is precise
+for sets up to a few thousand shingles and never rules out a link. Pairs that remain are
+confirmed on their full shingle sets.
 
 No pairs are emitted wholesale within a group of candidates:
 
@@ -45,6 +48,9 @@ PERCENT = 85
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
+SET_BITS = 1024
+SIGN_ROWS = 1024
+"""Sets signed at a time, which bounds the bitmaps in a worker's memory."""
 MAX_ODD = 2 * int(SAMPLES * (100 - PERCENT) / 100 + 6 * (SAMPLES * PERCENT * (100 - PERCENT) / 10_000) ** 0.5)
 
 
@@ -101,7 +107,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, odd sketches as 64-bit words) of sets that aren't empty."""
+    """(band keys, both odd sketches as 64-bit words) of sets that aren't empty."""
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
     least = np.empty((SAMPLES, len(sets)), np.uint64)
@@ -109,12 +115,16 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         least[i] = np.minimum.reduceat(flat * _BY_SAMPLE[i], starts)
     least = mixed(least ^ np.arange(SAMPLES, dtype=np.uint64)[:, None])
     bands = mixed((least.reshape(BANDS, ROWS, -1) * _BY_ROW[None, :, None]).sum(axis=1, dtype=np.uint64)).T
-    sketch = np.zeros((len(sets), SKETCH_BITS // 64), np.uint64)
-    rows = np.arange(len(sets))
-    for i in range(SAMPLES):
-        bit = least[i] % np.uint64(SKETCH_BITS)
-        sketch[rows, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
-    return bands, sketch
+    places = (least % np.uint64(SKETCH_BITS)).astype(np.int64) + np.arange(len(sets)) * SKETCH_BITS
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    whole = (flat % np.uint64(SET_BITS)).astype(np.int64) + owner * SET_BITS
+    return bands, np.concatenate([_parities(places.ravel(), SKETCH_BITS, len(sets)), _parities(whole, SET_BITS, len(sets))], axis=1)
+
+
+def _parities(places: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """n bitmaps of parities, as 64-bit words, of the places toggled."""
+    odd = (np.bincount(places, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.uint64)
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -128,9 +138,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in blocks(batches, "text"):
         sets = shingle_sets(part.column("text"))
         full = [k for k, s in enumerate(sets) if len(s)]
-        bands, sketch = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), SKETCH_BITS // 64), np.uint64)
-        if full:
-            bands[full], sketch[full] = signatures([sets[k] for k in full])
+        bands, sketch = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), (SKETCH_BITS + SET_BITS) // 64), np.uint64)
+        for k in range(0, len(full), SIGN_ROWS):
+            own = full[k : k + SIGN_ROWS]
+            bands[own], sketch[own] = signatures([sets[j] for j in own])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.arange(at, at + len(sets))),
@@ -169,16 +180,19 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _odd_bits(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+def _able() -> Column:
+    """What sizes and odd sketches of a pair's sides a and b leave possible."""
+    odd = [F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range((SKETCH_BITS + SET_BITS) // 64)]
+    samples, whole = (sum(part[1:], part[0]) for part in (odd[: SKETCH_BITS // 64], odd[SKETCH_BITS // 64 :]))
+    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    return sizes & (samples <= MAX_ODD) & ((100 + PERCENT) * whole <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
 
 
 def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and odd sketches leave possible, with the classes of both."""
     side = lambda s: reps.select(F.col("node").alias(s), F.col("class").alias(f"class_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return both.where(sizes & (_odd_bits("sketch_a", "sketch_b") <= MAX_ODD)).select("a", "b", "class_a", "class_b")
+    return both.where(_able()).select("a", "b", "class_a", "class_b")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -217,12 +231,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_groups = labelled.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
     rest = labelled.join(open_groups, ["band", "key"], "left_semi").join(reps.select("node", "n_shingles", "sketch"), "node")
     side = lambda s: rest.select("band", "key", F.col("node").alias(s), F.col("component").alias(f"component_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    able = (
-        (F.col("a") < F.col("b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        & (_odd_bits("sketch_a", "sketch_b") <= MAX_ODD)
-    )
+    able = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _able()
     across = side("a").join(side("b"), ["band", "key"]).where(able).select("a", "b").distinct()
     across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     named = lambda s: reps.select(F.col("node").alias(s), F.col("class").alias(f"class_{s}"))
