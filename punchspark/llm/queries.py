@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from punchspark.llm.bpe import encode
 from punchspark.llm.decontaminate import decontaminate
 from punchspark.llm.exact_dedup import exact_dedup
+from punchspark.llm.line_dedup import line_dedup
 from punchspark.llm.near_dedup import near_dedup
+from punchspark.llm.sharding import shard
 from punchspark.llm.suffix_dedup import suffix_dedup
+from punchspark.llm.warc import archive
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -28,6 +31,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumnRenamed("id", "doc_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = near_dedup(table(spark, sf_dir, "documents"))
     return done.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -54,6 +70,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe": op3_bpe,
+    "op4_warc": op4_warc,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_sharding": op6_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_decontamination": op10_decontamination,
