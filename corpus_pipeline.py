@@ -1,12 +1,62 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Order: quality classifier, exact dedup, near-dedup, benchmark decontamination, BPE encoding.
+Every stage works on all rows that the one before it kept, and returns the columns of
+``documents``; the last returns the token digests of each remaining document.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from punchspark.llm.bpe import encode
+from punchspark.llm.decontaminate import drop_contaminated
+from punchspark.llm.exact_dedup import drop_copies
+from punchspark.llm.near_dedup import drop_near_copies
+from punchspark.llm.quality import drop_rejected
+from punchspark.llm.queries import TOKENIZER, table
+from punchspark.session import ensure_checkpoint_dir
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode(docs, public_tokenizers.path(TOKENIZER), digest=True).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("bpe", bpe),
+]
+
+#: The classifier and the BPE cannot be put in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

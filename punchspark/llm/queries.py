@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punchspark.llm import quality, toxicity
 from punchspark.llm.bpe import encode
 from punchspark.llm.decontaminate import decontaminate
 from punchspark.llm.exact_dedup import exact_dedup
@@ -22,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = toxicity.tag(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    score = F.col("toxicity.score")
+    return done.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        score.alias("score"),
+        (score >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("toxicity.spans").cast("long").alias("n_spans"),
+    )
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -54,6 +68,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = quality.classify(docs.select(*quality.COLUMNS), quality.train(docs, table(spark, sf_dir, "labels")))
+    return done.select("doc_id", toxicity.held_out().alias("held_out"), "quality.text_score", "quality.meta_score", "quality.score", "quality.kept")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -68,6 +88,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_toxicity_crf": op1_toxicity_crf,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
@@ -75,6 +96,7 @@ REGISTRY = {
     "op6_sharding": op6_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_cotraining": op9_quality_cotraining,
     "op10_decontamination": op10_decontamination,
 }
 
