@@ -101,6 +101,19 @@ REGISTRY = {
 }
 
 ORACLES = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+        b AS (
+            SELECT page_id, payload, max(page_id) OVER (PARTITION BY payload) AS best,
+                   list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       (((('0x' || substr(h, 5 * (i // 4)::INTEGER + 1, 5))::INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)) AS symbols
+            FROM p
+        )
+        SELECT page_id, strlen(payload) AS payload_bytes, array_to_string(symbols, '') AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+        FROM b
+    """,
     "op8_exact_dedup": """
         WITH n AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm

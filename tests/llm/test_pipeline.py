@@ -38,3 +38,18 @@ def test_registry():
 
     names = [q for q in e.queries() if q.startswith("op")]
     assert [int(q[2:].split("_")[0]) for q in names] == list(range(1, 11)) and "pipeline" in e.queries()
+
+
+def test_oracles(spark):
+    import duckdb
+
+    import __spark_entry__ as e
+    from punchspark.llm.queries import ORACLES
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        df = e.queries()[name](spark, sf)
+        want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr), name
