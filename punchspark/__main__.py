@@ -10,7 +10,7 @@
   python -m punchspark stream     --warehouse W --input DIR --header "Staff ID,Date,Time,DeviceName"
 
 The cluster's session settings (master, spark.checkpoint.dir, sizing) come from
-spark-submit; without a master a local session is used.
+spark-submit and are taken as they are. Uploads with quoted line breaks need --multi-line.
 """
 
 from __future__ import annotations
@@ -24,12 +24,8 @@ from pyspark.sql import functions as F
 
 
 def _session() -> SparkSession:
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        return active
-    from punchspark.session import local_session
-
-    return local_session()
+    """The session as submitted: master, partitions and the like are never overridden."""
+    return SparkSession.getActiveSession() or SparkSession.builder.appName("punchspark").getOrCreate()
 
 
 def main(argv: list[str] | None = None) -> dict:
@@ -50,6 +46,7 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("--from", dest="from_date")
     ap.add_argument("--to", dest="to_date")
     ap.add_argument("--search")
+    ap.add_argument("--multi-line", action="store_true")
     a = ap.parse_args(argv)
     spark = _session()
 
@@ -67,14 +64,14 @@ def main(argv: list[str] | None = None) -> dict:
         tables.write_new_version(spark.createDataFrame([], USERS_SCHEMA), wh, "users")
         return {"departments": len(names)}
     if a.command == "roster":
-        return sync_roster_files(spark, a.input, wh).first().asDict()
+        return sync_roster_files(spark, a.input, wh, a.multi_line).first().asDict()
     if a.command == "punches":
-        rows = ingest_punch_files(spark, a.input, wh).collect()  # one counter row per upload layout
+        rows = ingest_punch_files(spark, a.input, wh, a.multi_line).collect()  # one counter row per upload layout
         keys = ("importedRows", "skippedDuplicates", "autoProvisionedUsers", "autoProvisionedDepartments", "unauthorizedRecords")
         return {k: int(sum(r[k] for r in rows)) for k in keys}
     if a.command == "users":
         # requests: one CSV row per request, in file order (columns as the admin API fields)
-        req = uploads.read_csv_layout(spark, [a.input]).withColumn("req_ord", F.col("row_ord"))
+        req = uploads.read_csv_layout(spark, [a.input], a.multi_line).withColumn("req_ord", F.col("row_ord"))
         users = tables.users(spark, wh)
         if a.action == "create":
             new_users, rejects = R.create_users(users, req)

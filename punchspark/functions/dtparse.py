@@ -13,7 +13,8 @@ Rules (reference semantics):
   Text date with '/': always M/D/Y.
   Time 'H:M[:S]' (parseInt per part, unparseable → 0); missing → 00:00:00.
   Out-of-range parts roll over (25/12/2025 → 2027-01-12); years 0-99 mean 1900+.
-* Other text: one of FREE_TEXT_DATE_FORMATS plus the time parts.
+* Other text: one of FREE_TEXT_DATE_FORMATS plus a clock time H:M[:S], AM or PM allowed;
+  a time that is no clock time makes the row unparseable.
 * Anything else (empty, unparseable) → null, and the row is dropped by the caller.
 
 Documented deviations: results outside years 1..9999 are null; a free-text date uses
@@ -40,7 +41,7 @@ FREE_TEXT_DATE_FORMATS = (
     "MMM d, yyyy",
     "MMMM d, yyyy",
     "yyyy.MM.dd",
-    "dd.MM.yyyy",
+    "MM.dd.yyyy",
 )
 
 US_PER_SEC = 1_000_000
@@ -83,6 +84,15 @@ def _clock_secs(parts: Column) -> Column:
     return F.when(ok, h * 3600 + m * 60 + sec)
 
 
+def _free_clock(text: Column, clock: Column, parts: Column) -> Column:
+    """Seconds of a clock time beside a free-text date: 24 hours, or 12 with AM or PM; no time is midnight."""
+    h, m, s = (F.coalesce(_int_at(parts, i), F.lit(0).cast("bigint")) for i in (1, 2, 3))
+    half = clock.endswith("M")
+    hours = F.when(half, h % 12 + F.when(clock.endswith("PM"), 12).otherwise(0)).otherwise(h)
+    ok = (clock != "") & (m < 60) & (s < 60) & F.when(half, (h >= 1) & (h <= 12)).otherwise(h < 24)
+    return F.when(text == "", F.lit(0).cast("bigint")).when(ok, hours * 3600 + m * 60 + s)
+
+
 def _plain_number(x: Column, allow_minus: bool) -> Column:
     """JS Number(x) is a finite number, for plain decimal/exponent text (no regex)."""
     allowed = "0123456789.+e" + ("-" if allow_minus else "")
@@ -145,7 +155,8 @@ def with_punch_datetime(
             # parseInt of each part: '-' parts carry no sign, '/' parts may start with '+'
             p + "dparts": F.when(c("d").contains("-"), _int_parts(c("d"), "-", "+")).otherwise(_int_parts(c("d"), "/", "+")),
             p + "first_len": F.length(F.substring_index(c("d"), "-", 1)),
-            p + "tparts": _int_parts(c("tt"), ":", "+-"),
+            p + "tparts": _int_parts(F.when(c("tt").startswith(":"), F.concat(F.lit("0"), c("tt"))).otherwise(c("tt")), ":", "+-"),
+            p + "clock": F.regexp_extract(F.upper(c("tt")), r"^\d{1,2}:\d{1,2}(?::\d{1,2})?\s*(AM|PM)?$", 0),
             p + "t_num": F.when(_plain_number(c("tt"), allow_minus=True), c("tt").try_cast("double")),
         },
         {
@@ -173,7 +184,7 @@ def with_punch_datetime(
             # numeric time → whole hours and minutes (seconds dropped; JS % keeps the sign)
             p + "hm_secs": F.floor(c("tot") / 3600).cast("bigint") * 3600
             + F.floor((c("tot") - (c("tot") / 3600).cast("bigint") * 3600) / 60).cast("bigint") * 60,
-            p + "free_secs": F.unix_date(c("free")).cast("bigint") * 86400 + c("tsecs"),
+            p + "free_secs": F.unix_date(c("free")).cast("bigint") * 86400 + _free_clock(c("tt"), c("clock"), c("tparts")),
         },
         {
             p + "months": F.when(

@@ -26,11 +26,6 @@ def falsy_to_null(c: Column | str) -> Column:
     return F.when(c != F.lit(""), c)
 
 
-def first_truthy(*cols: Column | str) -> Column:
-    """JS `a || b || c` over string cells (untrimmed, like the reference)."""
-    return F.coalesce(*[falsy_to_null(c) for c in cols])
-
-
 def null_text_to_empty(c: Column | str) -> Column:
     """Trimmed value, '' when missing or equal to the text NULL (any case)."""
     t = js_trim(F.coalesce(col_of(c), F.lit("")))
@@ -59,11 +54,6 @@ def name_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(js_trim(F.coalesce(col_of(c), F.lit("")))), rf"{JS_WS}+", "")
 
 
-def contains_ci(haystack: Column, needle: str) -> Column:
-    """Case-insensitive substring test with a literal needle."""
-    return F.lower(F.coalesce(haystack, F.lit(""))).contains(needle.lower())
-
-
 def like_escape(text: str) -> str:
     """Escape LIKE wildcards so a search text matches literally."""
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +22,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 def broadcast_limit(df: DataFrame) -> int:
     raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_BROADCAST_LIMIT))
-    try:
-        value = int(str(raw).lower().rstrip("b"))
-    except ValueError:
-        value = DEFAULT_BROADCAST_LIMIT
-    return value if value > 0 else 0
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", str(raw).strip().lower()).groups()
+    return max(0, int(number) << (10 * " kmgtp".index(unit or " ")))
 
 
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
@@ -43,7 +42,6 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (lineage cut, survives
     executor loss). Persisted first, so writing the checkpoint reads the cached blocks
@@ -70,9 +68,3 @@ def measured(df: DataFrame, max_rows: int = 2_000_000) -> tuple[DataFrame, int,
     width = 16 + sum(64 if f.dataType.typeName() in ("string", "binary") else 16 for f in done.schema.fields)
     limit = broadcast_limit(done)
     return done, rows, rows <= max_rows and limit > 0 and rows * width <= limit
-
-
-def materialize_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """``measured`` and broadcast-hinted when it fits."""
-    done, _, small = measured(df, max_rows)
-    return F.broadcast(done) if small else done

@@ -201,7 +201,3 @@ def daily_trend(records: DataFrame) -> DataFrame:
     )
     avg = F.when(F.col("n") > 0, half_up_ratio(F.col("s"), F.col("n"))).otherwise(F.lit(0).cast("bigint"))
     return agg.select("date", cents_to_double(avg).alias("avgHours"))
-
-
-def hours_or_zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))

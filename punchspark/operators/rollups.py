@@ -33,11 +33,6 @@ def _clock_minutes(text: Column) -> Column:
     return F.when(ok, js_int_prefix(parts[0]) * 60 + js_int_prefix(parts[1]))
 
 
-def in_time_band(text: Column) -> Column:
-    """Clock-in colour band (``text`` a 'HH:mm:ss' column, or minutes via ``in_band_of``)."""
-    return in_band_of(_clock_minutes(text))
-
-
 def in_band_of(m: Column) -> Column:
     out = None
     for lo, hi, label in P.IN_TIME_BANDS:
@@ -46,11 +41,6 @@ def in_band_of(m: Column) -> Column:
     return out.otherwise(F.lit(""))
 
 
-def out_time_band(text: Column) -> Column:
-    """D3: clock-out colour band."""
-    return out_band_of(_clock_minutes(text))
-
-
 def out_band_of(m: Column) -> Column:
     out = None
     for lo, hi, label in P.OUT_TIME_BANDS:

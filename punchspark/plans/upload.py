@@ -14,32 +14,29 @@ from punchspark.sources import sinks, tables, uploads
 from punchspark.sources.workbook import read_workbooks
 
 
-def _has_files(spark: SparkSession, path: str, glob: str) -> bool:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
-    return not files.isEmpty()
+def upload_frames(spark: SparkSession, path: str, multi_line: bool = False) -> list[DataFrame]:
+    """The CSV uploads and the workbooks under ``path``, each a long frame.
 
-
-def upload_frames(spark: SparkSession, path: str) -> list[DataFrame]:
-    """CSV layouts (one frame per header) plus the workbooks (one long frame).
-
-    Listing goes through Spark, so ``path`` may be on any Hadoop file system.
+    Listing goes through Spark, so ``path`` may be on any Hadoop file system. A file that is
+    neither is an error, and so is a folder without uploads.
     """
-    frames: list[DataFrame] = []
-    if _has_files(spark, path, "*.csv"):
-        frames += uploads.read_csv_uploads(spark, path)
-    if _has_files(spark, path, "*.xlsx"):
-        frames.append(read_workbooks(spark, path))
-    return frames
+    kind = F.lower(F.regexp_extract("upload_id", r"\.([^./]+)$", 1))
+    kinds = {r.kind: r.one for r in uploads.files_under(spark, path).groupBy(kind.alias("kind")).agg(F.min("upload_id").alias("one")).collect()}
+    other = [one for kind, one in kinds.items() if kind not in ("csv", "xlsx")]
+    if other or not kinds:
+        raise ValueError(f"not an upload (.csv or .xlsx): {other[0]}" if other else f"no uploads under {path}")
+    frames = [uploads.read_csv_uploads(spark, path, multi_line)] if "csv" in kinds else []
+    return frames + ([read_workbooks(spark, path)] if "xlsx" in kinds else [])
 
 
-def ingest_punch_files(spark: SparkSession, path: str, warehouse: str) -> DataFrame:
+def ingest_punch_files(spark: SparkSession, path: str, warehouse: str, multi_line: bool = False) -> DataFrame:
     """Ingest every upload under ``path`` against the current roster; append the punches.
 
-    Returns the counters per upload layout (one row each).
+    Returns the counters per kind of upload (one row each).
     """
     users = tables.users(spark, warehouse)
     metrics = []
-    for frame in upload_frames(spark, path):
+    for frame in upload_frames(spark, path, multi_line):
         result = ingest_punch_upload(frame, users)
         done = IngestResult(checkpointed(result.groups))  # one pass over the upload, lineage cut
         sinks.append_punches(done.punches, os.path.join(warehouse, "punches"))
@@ -50,10 +47,10 @@ def ingest_punch_files(spark: SparkSession, path: str, warehouse: str) -> DataFr
     return out
 
 
-def sync_roster_files(spark: SparkSession, path: str, warehouse: str) -> DataFrame:
+def sync_roster_files(spark: SparkSession, path: str, warehouse: str, multi_line: bool = False) -> DataFrame:
     """Sync roster uploads into new versions of the users and departments tables."""
     users, departments = tables.users(spark, warehouse), tables.departments(spark, warehouse)
-    frames = upload_frames(spark, path)
+    frames = upload_frames(spark, path, multi_line)
     # Headers are resolved per layout; files are then taken in path order, rows in file order.
     rows = None
     for f in frames:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder of the cluster")
     path = tempfile.mkdtemp(prefix="punchspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
@@ -55,7 +56,7 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 128 * 1024 * 10
     before AQE coalesces small ones; AQE splits skewed partitions (hot IDs such as
     'NOT PROVIDED') in joins; scan splits stay at the same target.
     """
-    parts = max(200, min(100_000, input_bytes // target_partition_bytes))
+    parts = max(200, input_bytes // target_partition_bytes)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

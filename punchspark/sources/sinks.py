@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,19 @@ from punchspark.policy import REPORT_CSV_HEADER
 PUNCH_COLUMNS = ("EmployeeNo", "PunchDateTime", "DeviceName", "AreaName", "Status")
 
 
-def append_punches(df: DataFrame, path: str) -> None:
-    """Bulk append, partitioned by punch date (date filters prune partitions)."""
+def append_punches(df: DataFrame, path: str, load: str | None = None) -> None:
+    """Bulk append, partitioned by punch date (date filters prune partitions) and load.
+
+    A load that is written again under its own name replaces itself, so a replay adds nothing.
+    Rows are rebalanced by date first: about one file per date, hot dates split.
+    """
     (
         df.select(*PUNCH_COLUMNS)
-        .withColumn("punch_date", F.to_date("PunchDateTime"))
-        .write.mode("append")
-        .partitionBy("punch_date")
+        .withColumns({"punch_date": F.to_date("PunchDateTime"), "load": F.lit(load or f"load-{uuid.uuid4().hex}")})
+        .hint("rebalance", "punch_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("punch_date", "load")
         .parquet(path)
     )
 
@@ -34,7 +42,7 @@ def write_report_csv(report_b: DataFrame, path: str) -> None:
     (Spark also quotes the header.)"""
     (
         report_csv_frame(report_b)
-        .write.mode("overwrite")
+        .write.mode("errorifexists")
         .option("header", True)
         .option("quoteAll", True)
         .option("escape", '"')

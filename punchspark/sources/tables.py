@@ -8,9 +8,11 @@ overwrite a path that is being read.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
 from punchspark.sources.uploads import with_missing_columns
@@ -43,22 +45,24 @@ PUNCHES_SCHEMA = T.StructType(
 
 
 def _pointer(warehouse: str, name: str) -> str:
-    return f"{warehouse.rstrip('/')}/{name}/_CURRENT"
+    return f"{warehouse.rstrip('/')}/{name}/_VERSIONS"
 
 
 def table_path(spark: SparkSession, warehouse: str, name: str) -> str:
-    """Current version of a table: the version named in its pointer, or the folder itself."""
+    """Current version of a table: the newest of its pointers, or the folder itself if it has none."""
     base = f"{warehouse.rstrip('/')}/{name}"
     try:
-        row = spark.read.text(_pointer(warehouse, name)).first()
-    except Exception:  # noqa: BLE001 - no pointer yet: an unversioned table
-        row = None
-    return f"{base}/{row['value'].strip()}" if row else base
+        newest = spark.read.text(_pointer(warehouse, name)).agg({"value": "max"}).first()[0]
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = None  # an unversioned table
+    return f"{base}/{newest.split()[1]}" if newest else base
 
 
 def read_table(spark: SparkSession, warehouse: str, name: str, schema: T.StructType) -> DataFrame:
-    df = spark.read.option("mergeSchema", True).parquet(table_path(spark, warehouse, name))
-    return with_missing_columns(df, schema)
+    """The table under its declared schema: columns that old files lack are null, and no file footer is read to plan."""
+    return with_missing_columns(spark.read.schema(schema).parquet(table_path(spark, warehouse, name)), schema)
 
 
 def departments(spark: SparkSession, warehouse: str) -> DataFrame:
@@ -76,13 +80,13 @@ def punches(spark: SparkSession, warehouse: str) -> DataFrame:
 def write_new_version(df: DataFrame, warehouse: str, name: str) -> str:
     """Write ``df`` as a new version folder, then point the table at it.
 
-    Readers of the previous version are never disturbed (its folder is kept); the
-    pointer is a one-line text table written through Spark, so any cluster file
-    system works.
+    Readers of the previous version are never disturbed (its folder is kept). Pointers
+    are lines (time, version) that are only ever added, so there is a current version at
+    any moment; they are written through Spark, so any cluster file system works.
     """
     base = f"{warehouse.rstrip('/')}/{name}"
     version = f"v-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(f"{base}/{version}")
     spark = df.sparkSession
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(warehouse, name))
+    spark.createDataFrame([(f"{time.time_ns():020d} {version}",)], "value string").coalesce(1).write.mode("append").text(_pointer(warehouse, name))
     return f"{base}/{version}"

@@ -1,8 +1,7 @@
 """Upload files: header checks (S4), CSV reading (S1) and schema healing.
 
-Uploads carry their own header row and the layout differs between files, so a
-directory is read per header layout and the layouts are unioned by name after
-alias resolution. Row order within a file (``row_ord``) is taken straight after
+Uploads carry their own header row and the layout differs between files, so records
+are read without one and keyed by the header of their file. Read errors are raised. Row order within a file (``row_ord``) is taken straight after
 the scan, before any shuffle: (block start offset, position in the task), which
 sorts rows of one file in file order even when Spark packs several splits into
 one task.
@@ -10,56 +9,47 @@ one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from punchspark.functions.text import JS_WS
+from punchspark.operators.common import measured
 from punchspark.policy import REQUIRED_UPLOAD_HEADERS
 
-HEADER_SCHEMA = T.StructType(
-    [T.StructField("upload_id", T.StringType()), T.StructField("header", T.ArrayType(T.StringType()))]
-)
+CSV_GLOB = "*.[cC][sS][vV]"
 
 
-def _local_path(uri: str) -> str:
-    return uri[len("file:") :] if uri.startswith("file:") else uri
+def files_under(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(upload_id) of every file, listed by Spark (any Hadoop file system); contents aren't read."""
+    return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("upload_id"))
 
 
-def _read_header_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Executor side: read only the first line of each file."""
-    import csv
+def csv_records(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Every record of every CSV file, the header included: (upload_id, row_ord, values).
 
-    for pdf in batches:
-        out = []
-        for path in pdf["path"]:
-            first = ""
-            try:
-                if "://" in path and not path.startswith("file:"):
-                    import pyarrow.fs as pafs
+    Files have layouts of their own, so all are read without a header under one schema, as
+    wide as the line with most commas.
+    """
+    text = spark.read.option("pathGlobFilter", CSV_GLOB).text(paths)
+    width = text.agg(F.max(F.length("value") - F.length(F.translate("value", ",", ""))).alias("commas")).first().commas
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range((width or 0) + 1)])
+    reader = spark.read.schema(schema).option("pathGlobFilter", CSV_GLOB).option("header", False)
+    raw = reader.option("escape", '"').option("multiLine", multi_line).option("encoding", "UTF-8").csv(paths)
+    return with_row_order(raw.select(F.array(*raw.columns).alias("values"), "_metadata"))
 
-                    fs, p = pafs.FileSystem.from_uri(path)
-                    with fs.open_input_stream(p) as fh:
-                        first = fh.readline().decode("utf-8-sig")
-                else:
-                    with open(_local_path(path), encoding="utf-8-sig", newline="") as fh:
-                        first = fh.readline()
-            except (OSError, UnicodeDecodeError):
-                first = ""
-            row = next(csv.reader([first]), []) if first.strip() else []
-            out.append(row)
-        yield pd.DataFrame({"upload_id": list(pdf["path"]), "header": out})
 
+def header_records(records: DataFrame) -> DataFrame:
+    """(upload_id, header, head_ord): the first record of each file."""
+    return records.groupBy("upload_id").agg(F.min_by("values", "row_ord").alias("header"), F.min("row_ord").alias("head_ord"))
 
-def upload_headers(spark: SparkSession, paths: str | list[str], glob: str = "*.csv") -> DataFrame:
-    """One row per file: (upload_id, header array). Only the first line of each file is read.
 
-    Files are listed by Spark (any Hadoop file system); ``content`` is never loaded.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths).select("path")
-    return files.mapInPandas(_read_header_lines, HEADER_SCHEMA)
+def upload_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row per CSV file: (upload_id, header array); a file without a record has an empty one."""
+    files = files_under(spark, paths).where(F.lower("upload_id").endswith(".csv"))
+    headers = files.join(header_records(csv_records(spark, paths)), "upload_id", "left")
+    names = F.transform(F.filter("header", lambda h: h.isNotNull()), lambda h: F.regexp_replace(h, "^\ufeff", ""))
+    return headers.select("upload_id", F.coalesce(names, F.array().cast("array<string>")).alias("header"))
 
 
 def check_uploads(headers: DataFrame, required: tuple[str, ...] = REQUIRED_UPLOAD_HEADERS) -> DataFrame:
@@ -98,16 +88,20 @@ def read_csv_layout(spark: SparkSession, files: list[str], multi_line: bool = Fa
     return with_row_order(df)
 
 
-def read_csv_uploads(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> list[DataFrame]:
-    """S1 over a directory of mixed layouts: one DataFrame per distinct header.
+def read_csv_uploads(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
+    """S1 over files of mixed layouts: (upload_id, row_ord, cells), cells keyed by normalised header.
 
-    The header table has one row per file (metadata-sized), so it is the only
-    thing brought to the driver.
+    Each file's first record names its cells; of headers that normalise alike the leftmost
+    wins. The headers (a row per file) are joined to the records, by broadcast when small.
     """
-    layouts: dict[tuple, list[str]] = {}
-    for r in upload_headers(spark, paths).collect():
-        layouts.setdefault(tuple(r["header"] or ()), []).append(r["upload_id"])
-    return [read_csv_layout(spark, files, multi_line) for header, files in layouts.items() if header]
+    records = csv_records(spark, paths, multi_line)
+    keys = F.transform("header", lambda h: F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), JS_WS, ""))
+    headers = header_records(records).select("upload_id", "head_ord", keys.alias("keys"))
+    first = F.transform("keys", lambda k, i: F.when((k != "") & (F.array_position(F.col("keys"), k) == i + 1), k))
+    headers, _, small = measured(headers.select("upload_id", "head_ord", first.alias("keys")))
+    rows = records.join(F.broadcast(headers) if small else headers, "upload_id").where(F.col("row_ord") != F.col("head_ord"))
+    cells = F.map_from_entries(F.filter(F.arrays_zip("keys", "values"), lambda z: z["keys"].isNotNull()))
+    return rows.select("upload_id", "row_ord", cells.alias("cells"))
 
 
 def with_missing_columns(df: DataFrame, schema: T.StructType) -> DataFrame:

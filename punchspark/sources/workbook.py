@@ -20,11 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from punchspark.policy import TIME_ALIASES
 from punchspark.sources.aliases import header_key
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 REL_NS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
+TIME_KEYS = frozenset(header_key(a) for a in TIME_ALIASES)
+
 ROW_SCHEMA = T.StructType(
     [
         T.StructField("upload_id", T.StringType()),
@@ -53,6 +56,10 @@ def _number_text(v: str) -> str:
     return repr(x)
 
 
+class Falsy(str):
+    """Text of a numeric 0 or a false: as good as blank, except as a time of day."""
+
+
 def _first_sheet_rows(data: bytes) -> list[list[str]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
@@ -75,7 +82,9 @@ def _first_sheet_rows(data: bytes) -> list[list[str]]:
     rows: list[list[str]] = []
     for row in sheet.iter(f"{{{NS['m']}}}row"):
         vals: dict[int, str] = {}
+        at = -1
         for c in row.findall("m:c", NS):
+            at = _col_index(c.get("r")) if c.get("r") else at + 1  # the reference is optional
             kind = c.get("t", "n")
             v = c.find("m:v", NS)
             if kind == "inlineStr":
@@ -85,22 +94,28 @@ def _first_sheet_rows(data: bytes) -> list[list[str]]:
             elif kind == "s":
                 text = shared[int(v.text)]
             elif kind == "b":
-                text = "true" if v.text == "1" else "false"
+                text = "true" if v.text == "1" else Falsy("false")
             elif kind in ("str", "e"):
                 text = v.text or ""
             else:
                 text = _number_text(v.text or "")
-            vals[_col_index(c.get("r"))] = text
+                text = Falsy(text) if text == "0" else text
+            vals[at] = text
         if vals:
             width = max(vals) + 1
             rows.append([vals.get(i, "") for i in range(width)])
     return rows
 
 
+def _cell(key: str, value: str) -> str:
+    return "" if isinstance(value, Falsy) and key not in TIME_KEYS else str(value)
+
+
 def _explode_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One frame per workbook, so that a batch of files never stands in memory as rows."""
     for pdf in batches:
-        out_id, out_ord, out_cells = [], [], []
         for path, content in zip(pdf["path"], pdf["content"]):
+            out_id, out_ord, out_cells = [], [], []
             rows = _first_sheet_rows(bytes(content))
             if not rows:
                 continue
@@ -115,16 +130,16 @@ def _explode_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             for n, r in enumerate(rows[1:], start=1):
                 if all(x == "" for x in r):
                     continue
-                cells = {k: (r[i] if i < len(r) else "") for i, k in keys.items()}
+                cells = {k: _cell(k, r[i]) if i < len(r) else "" for i, k in keys.items()}
                 out_id.append(path)
                 out_ord.append({"blk": 0, "rec": n})
                 out_cells.append(cells)
-        yield pd.DataFrame({"upload_id": out_id, "row_ord": out_ord, "cells": out_cells})
+            yield pd.DataFrame({"upload_id": out_id, "row_ord": out_ord, "cells": out_cells})
 
 
 def read_workbooks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Long rows (upload_id, row_ord, cells) from the first sheet of every .xlsx."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(paths).select("path", "content")
     return files.mapInPandas(_explode_workbooks, ROW_SCHEMA)
 
 

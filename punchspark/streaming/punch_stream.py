@@ -7,24 +7,28 @@ within the file → label) against the roster read for that batch, appends the
 punches (partitioned by date) and the counters. ``trigger(availableNow=True)``
 processes what is there and stops; progress lives in the checkpoint folder, so a
 restarted job resumes from the last committed batch. Lost executors are covered by
-Spark's task retry and output commit protocol; if the driver dies between a batch's
-append and its commit, that batch is appended again (foreachBatch is at-least-once).
+Spark's task retry and output commit protocol. A batch is written as a load named after
+its files, which replaces itself, so a batch that is replayed after a crash adds nothing.
+A file whose header does not match the layout fails the stream: columns are read by position.
 
-Optional cross-file duplicate removal runs before ``foreachBatch`` with a
-watermark. Watermarks reject TIMESTAMP_NTZ, so a TIMESTAMP copy is made for it.
+With ``cross_file_dedup`` a punch (resolved ID, time) that is stored already, or comes
+twice in a batch, is not stored again, however late it arrives.
 """
 
 from __future__ import annotations
 
+import copy
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from punchspark.functions.dtparse import with_punch_datetime
 from punchspark.operators.ingest import ingest_punch_upload
 from punchspark.sources.sinks import append_punches
+from punchspark.sources.tables import PUNCHES_SCHEMA
 
 
 def layout_schema(header: list[str]) -> T.StructType:
@@ -36,6 +40,7 @@ def punch_file_stream(spark: SparkSession, input_dir: str, header: list[str], ma
     raw = (
         spark.readStream.schema(layout_schema(header))
         .option("header", True)
+        .option("enforceSchema", False)
         .option("escape", '"')
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .csv(input_dir)
@@ -48,15 +53,23 @@ def with_batch_row_order(batch: DataFrame) -> DataFrame:
     return batch.withColumn("row_ord", F.struct(F.col("__blk").alias("blk"), F.monotonically_increasing_id().alias("rec"))).drop("__blk")
 
 
-def drop_cross_file_duplicates(stream: DataFrame, id_col: str, date_col: str, time_col: str | None, delay: str = "1 day") -> DataFrame:
-    """Optional: drop repeats of (ID, time) across files within a watermark."""
-    parsed = with_punch_datetime(stream, date_col, time_col, "__wm_ntz")
-    wm = parsed.withColumn("__wm", F.to_timestamp(F.date_format("__wm_ntz", "yyyy-MM-dd HH:mm:ss")))
-    return (
-        wm.withWatermark("__wm", delay)
-        .dropDuplicatesWithinWatermark([id_col, "__wm"])
-        .drop("__wm", "__wm_ntz")
-    )
+def new_punches(punches: DataFrame, path: str, load: str) -> DataFrame:
+    """Punches of a batch whose (EmployeeNo, PunchDateTime) no other load has stored, once each."""
+    keys = ["EmployeeNo", "PunchDateTime"]
+    fresh = punches.dropDuplicates(keys)
+    try:
+        stored = punches.sparkSession.read.schema(copy.deepcopy(PUNCHES_SCHEMA).add("load", "string")).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return fresh
+    return fresh.join(stored.where(F.col("load") != load).select(*keys), keys, "left_anti")
+
+
+def load_name(batch: DataFrame) -> str:
+    """A name made from the batch's files, of which there are at most ``max_files_per_trigger``."""
+    files = sorted(r[0] for r in batch.select("upload_id").distinct().collect())
+    return f"stream-{hashlib.md5(' '.join(files).encode()).hexdigest()}"
 
 
 def start_punch_stream(
@@ -68,19 +81,19 @@ def start_punch_stream(
     metrics_path: str,
     checkpoint_dir: str,
     available_now: bool = True,
-    cross_file_dedup: tuple[str, str, str | None] | None = None,
+    cross_file_dedup: bool = False,
 ):
     """Start the stream; returns the StreamingQuery."""
     stream = punch_file_stream(spark, input_dir, header)
-    if cross_file_dedup:
-        stream = drop_cross_file_duplicates(stream, *cross_file_dedup)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
+        load = load_name(batch)
         result = ingest_punch_upload(with_batch_row_order(batch), users_loader(batch.sparkSession))
         groups = result.groups.persist()
         try:
-            append_punches(result.punches.drop("upload_id", "match_method"), punches_path)
-            result.metrics.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(metrics_path)
+            punches = result.punches.drop("match_method")
+            append_punches(new_punches(punches, punches_path, load) if cross_file_dedup else punches, punches_path, load)
+            result.metrics.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(f"{metrics_path}/load={load}")
         finally:
             groups.unpersist()
 

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 from punchspark.__main__ import main
 
@@ -52,3 +54,10 @@ def test_cli_users_and_stream(spark, tmp_dir):
         fh.write("Staff ID,Date,Time,DeviceName\nE7,2026-05-25,09:00,G\nE7,2026-05-25,18:00,G\n")
     assert main(["stream", "--warehouse", wh, "--input", sin, "--header", "Staff ID,Date,Time,DeviceName"]) == {"stream": "done"}
     assert tables.punches(spark, wh).count() == 2
+
+
+def test_submitted_settings_are_kept(tmp_dir):
+    code = "from punchspark.__main__ import _session as s; x = s(); print('GOT', x.sparkContext.master, x.conf.get('spark.sql.shuffle.partitions'))"
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=400 --conf spark.ui.enabled=false pyspark-shell"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert "GOT local[2] 400" in done.stdout

@@ -1,4 +1,4 @@
-"""The driver contract: entry() runs, every query has an oracle, and all match at sf0.001."""
+"""The driver contract: entry() runs, every query of the engine has an oracle, and all match at sf0.001."""
 
 import os
 import sys
@@ -16,8 +16,10 @@ def test_entry_and_all_oracles(spark):
     from __spark_entry__ import entry, oracle_sql, queries
 
     assert entry(spark).count() > 0
-    qs, sqls = queries(), oracle_sql()
-    assert set(qs) == set(sqls)
+    from punchspark.plans.queries import REGISTRY
+
+    qs, sqls = {k: v for k, v in queries().items() if k in REGISTRY}, oracle_sql()
+    assert set(qs) == set(REGISTRY) <= set(sqls) <= set(queries())
     con = duckdb.connect()
     for t in TABLES:
         if os.path.exists(f"{SF}/{t}.parquet"):

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import punches_df, users_df, depts_df
@@ -25,10 +26,7 @@ def test_mixed_layout_csv_uploads_and_header_check(spark, tmp_dir):
     assert chk["c.csv"] == (True, [])
     assert chk["a.csv"][0] is False and "EmployeeID" in chk["a.csv"][1]
     users = users_df(spark, [(1, "EMP001", "John", "Smith", 1, "User", None, True)])
-    frames = uploads.read_csv_uploads(spark, d)
-    stored = []
-    for f in frames:
-        stored += ingest_punch_upload(f, users).punches.collect()
+    stored = ingest_punch_upload(uploads.read_csv_uploads(spark, d), users).punches.collect()
     assert len(stored) == 3 and all(r["EmployeeNo"] == "EMP001" for r in stored)
 
 
@@ -93,8 +91,56 @@ def test_bom_header_and_unicode_spaces(spark, tmp_dir):
     with open(os.path.join(d, "a.csv"), "w", encoding="utf-8-sig") as fh:
         fh.write("PersonNo,PersonFirstName,PersonLastName,Date,Time\nEMP001,x,y,2026-05-25,09:00\n0,John , Smith,2026-05-25,10:00\n")
     users = users_df(spark, [(1, "EMP001", "John", "Smith", 1, "User", None, True)])
-    stored = []
-    for f in uploads.read_csv_uploads(spark, d):
-        stored += ingest_punch_upload(f, users).punches.collect()
+    stored = ingest_punch_upload(uploads.read_csv_uploads(spark, d), users).punches.collect()
     got = sorted((r["EmployeeNo"], r["match_method"]) for r in stored)
     assert got == [("EMP001", "exact"), ("EMP001", "id")]
+
+
+def test_no_row_of_an_odd_upload_is_lost(spark, tmp_dir):
+    """Latin-1 bytes, upper-case extension, headers that differ in case, repeated and blank headers, quoted line breaks."""
+    from punchspark.plans.upload import upload_frames
+
+    d = os.path.join(tmp_dir, "odd")
+    os.makedirs(d)
+    with open(os.path.join(d, "latin.csv"), "wb") as fh:
+        fh.write("PersonNo,Name,Date,Time,Gerät\nE1,x,2026-05-25,09:00,Ä\n".encode("latin-1"))
+    write(os.path.join(d, "UP.CSV"), "PersonNo,Date,DATE,Time,,Time\nE1,2026-05-25,1999-01-01,10:00,?,23:59\nE1,2026-05-26,,11:00\n")
+    write(os.path.join(d, "lines.csv"), 'PersonNo,Name,Date,Time\nE1,"a\nb",2026-05-27,12:00\n')
+    users = users_df(spark, [(1, "E1", "John", "Smith", 1, "User", None, True)])
+    (frame,) = upload_frames(spark, d, multi_line=True)
+    got = sorted(str(r["PunchDateTime"]) for r in ingest_punch_upload(frame, users).punches.collect())
+    assert got == ["2026-05-25 09:00:00", "2026-05-25 10:00:00", "2026-05-26 11:00:00", "2026-05-27 12:00:00"]
+    write(os.path.join(d, "notes.txt"), "x")
+    for path in (d, os.path.join(tmp_dir, "none")):
+        os.makedirs(path, exist_ok=True)
+        with pytest.raises(ValueError):
+            upload_frames(spark, path)
+
+
+def test_workbook_zero_is_blank_except_as_a_time(spark, tmp_dir):
+    header = ["PersonNo", "Staff ID", "Date", "Time"]
+    write_xlsx(os.path.join(tmp_dir, "w.XLSX"), header, [[0, "EMP001", 45992, 0], [0, "", 45992, 0.5], [0, "EMP001", 0, 0.5]])
+    cells = [r["cells"] for r in read_workbooks(spark, tmp_dir).collect()]
+    assert [c["personno"] for c in cells] == ["", "", ""] and cells[0]["time"] == "0" and cells[2]["date"] == ""
+    users = users_df(spark, [(1, "EMP001", "John", "Smith", 1, "User", None, True)])
+    got = ingest_punch_upload(read_workbooks(spark, tmp_dir), users).punches.collect()
+    assert sorted((r["EmployeeNo"], str(r["PunchDateTime"])) for r in got) == [("EMP001", "2025-12-01 00:00:00"), ("NOT PROVIDED", "2025-12-01 12:00:00")]
+
+
+def test_table_stays_readable_between_pointer_steps(spark, tmp_dir):
+    wh = os.path.join(tmp_dir, "wh")
+    one = users_df(spark, [(1, "E1", "A", "B", 1, "User", None, True)])
+    tables.write_new_version(one, wh, "users")
+    one.union(one).write.parquet(os.path.join(wh, "users", "v-crashed"))  # written, never pointed at
+    assert tables.users(spark, wh).count() == 1
+    tables.write_new_version(one.union(one), wh, "users")
+    assert tables.users(spark, wh).count() == 2
+
+
+def test_appends_write_about_one_file_per_date_and_replays_add_nothing(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "p")
+    many = spark.range(2000).selectExpr("id as LogID", "'E' as EmployeeNo", "timestamp_ntz'2026-01-01 09:00:00' + make_dt_interval(cast(id % 10 as int)) as PunchDateTime", "'' as DeviceName", "'' as AreaName", "'' as Status").repartition(32)
+    for _ in range(2):
+        sinks.append_punches(many, path, "upload-1")
+    assert spark.read.parquet(path).count() == 2000
+    assert sum(f.endswith(".parquet") for _, _, fs in os.walk(path) for f in fs) <= 20

@@ -1,5 +1,8 @@
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from helpers import users_df
 from punchspark.streaming.punch_stream import start_punch_stream
 
@@ -22,7 +25,7 @@ def test_file_stream_ingests_each_upload(spark, tmp_dir):
     assert (m[0], m[1], m[2]) in ((3, 1, 1),) or sorted([m[0], m[1], m[2]]) == [1, 1, 3]
 
 
-def test_cross_file_dedup_within_watermark(spark, tmp_dir):
+def test_cross_file_dedup(spark, tmp_dir):
     inp = os.path.join(tmp_dir, "in2")
     os.makedirs(inp)
     header = ["Staff ID", "Date", "Time", "DeviceName", "AreaName"]
@@ -31,6 +34,48 @@ def test_cross_file_dedup_within_watermark(spark, tmp_dir):
             fh.write(",".join(header) + "\nEMP001,2026-05-25,09:00,MAIN,L\nEMP001,2026-05-25,18:00,MAIN,L\n")
     users = users_df(spark, [(1, "EMP001", "John", "Smith", 1, "User", None, True)])
     out, met, ck = (os.path.join(tmp_dir, x) for x in ("p2", "m2", "c2"))
-    q = start_punch_stream(spark, inp, header, lambda s: users, out, met, ck, cross_file_dedup=("Staff ID", "Date", "Time"))
+    q = start_punch_stream(spark, inp, header, lambda s: users, out, met, ck, cross_file_dedup=True)
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_late_uploads_are_stored_and_replays_are_not(spark, tmp_dir):
+    inp = os.path.join(tmp_dir, "in3")
+    os.makedirs(inp)
+    header = ["Staff ID", "Date", "Time", "DeviceName", "AreaName"]
+    users = users_df(spark, [(1, "EMP001", "John", "Smith", 1, "User", None, True)])
+    out, met = (os.path.join(tmp_dir, x) for x in ("p3", "m3"))
+
+    def upload(name, month, ck):
+        if name:
+            with open(os.path.join(inp, name), "w") as fh:
+                fh.write(",".join(header) + f"\nEMP001,2026-{month}-25,09:00,MAIN,L\nEMP001,2026-{month}-25,18:00,MAIN,L\n")
+        start_punch_stream(spark, inp, header, lambda s: users, out, met, os.path.join(tmp_dir, ck), cross_file_dedup=True).awaitTermination(120)
+        return spark.read.parquet(out).count()
+
+    assert upload("may.csv", "05", "c3") == 2
+    assert upload("april.csv", "04", "c3") == 4
+    assert upload(None, None, "c3-new") == 4  # both files again, in one batch
+
+
+def test_replayed_batch_replaces_itself(spark, tmp_dir):
+    inp = os.path.join(tmp_dir, "in4")
+    os.makedirs(inp)
+    header = ["Staff ID", "Date", "Time", "DeviceName", "AreaName"]
+    with open(os.path.join(inp, "a.csv"), "w") as fh:
+        fh.write(",".join(header) + "\nEMP001,2026-05-25,09:00,MAIN,L\n")
+    users = users_df(spark, [(1, "EMP001", "John", "Smith", 1, "User", None, True)])
+    for ck in ("c4", "c4-lost"):  # a lost checkpoint replays the batch
+        start_punch_stream(spark, inp, header, lambda s: users, os.path.join(tmp_dir, "p4"), os.path.join(tmp_dir, "m4"), os.path.join(tmp_dir, ck)).awaitTermination(120)
+    assert spark.read.parquet(os.path.join(tmp_dir, "p4")).count() == 1
+
+
+def test_swapped_header_is_rejected(spark, tmp_dir):
+    inp = os.path.join(tmp_dir, "in5")
+    os.makedirs(inp)
+    with open(os.path.join(inp, "a.csv"), "w") as fh:
+        fh.write("Staff ID,Date,Time,AreaName,DeviceName\nEMP001,2026-05-25,09:00,Lobby,SERVER ROOM-IN\n")
+    users = users_df(spark, [(1, "EMP001", "John", "Smith", 1, "User", None, True)])
+    q = start_punch_stream(spark, inp, ["Staff ID", "Date", "Time", "DeviceName", "AreaName"], lambda s: users, *(os.path.join(tmp_dir, x) for x in ("p5", "m5", "c5")))
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination(120)
