@@ -105,8 +105,8 @@ ORACLES = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
         b AS (
             SELECT page_id, payload, max(page_id) OVER (PARTITION BY payload) AS best,
-                   list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                       (((('0x' || substr(h, 5 * (i // 4)::INTEGER + 1, 5))::INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)) AS symbols
+                   [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       (((('0x' || substr(h, 5 * (i // 4)::INTEGER + 1, 5))::INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1) FOR i IN range(32)] AS symbols
             FROM p
         )
         SELECT page_id, strlen(payload) AS payload_bytes, array_to_string(symbols, '') AS payload_digest,
