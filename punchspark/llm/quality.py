@@ -33,6 +33,8 @@ LABELLED_ROWS, POOL_ROWS = 6000, 6000
 ROUNDS, PER_ROUND, SURE = 4, 200, 0.95
 KEEP_SCORE = 0.3
 META_SLOTS = 64
+VIEW_BYTES = 1 << 20
+"""Bytes of text whose features are made at a time; counting bytes takes many times that in memory."""
 
 
 def text_view(texts: pa.Array) -> np.ndarray:
@@ -123,7 +125,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in blocks(batches, "text"):
+    for part in blocks(batches, "text", VIEW_BYTES):
         text = text_view(part.column("text")).astype(np.float32)
         meta = meta_view(part.column("lang"), part.column("source"), part.column("n_chars")).astype(np.float32)
         yield pa.RecordBatch.from_arrays(
@@ -170,7 +172,7 @@ def classify(docs: DataFrame, views: Views | None) -> DataFrame:
             arrays = [pa.array(s, t, from_pandas=True) for s, t in ((text, pa.large_string()), (lang, pa.string()), (source, pa.string()), (n_chars, pa.float64()))]
             arrays[3] = arrays[3].cast(pa.int64())
             whole = pa.RecordBatch.from_arrays(arrays, ["text", "lang", "source", "n_chars"])
-            parts = [shared.value.scores((text_view(p.column("text")), meta_view(*(p.column(c) for c in ("lang", "source", "n_chars"))))) for p in blocks(iter([whole]), "text")]
+            parts = [shared.value.scores((text_view(p.column("text")), meta_view(*(p.column(c) for c in ("lang", "source", "n_chars"))))) for p in blocks(iter([whole]), "text", VIEW_BYTES)]
             yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 3)), columns=["text_score", "meta_score", "score"])
 
     own = run(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))

@@ -42,6 +42,7 @@ THRESHOLD = 0.3
 SLOTS = 1 << 16
 OWN_KINDS, KINDS = 4, 6
 SEGMENT, WARM = 1024, 128
+TAG_BYTES = 2 << 20
 WINDOW = 8
 SPAN_MARGINAL = 0.5
 RATIO = 10
@@ -296,7 +297,7 @@ def tag(docs: DataFrame, field: Field, text_col: str = "text", with_spans: bool
         for texts in batches:
             whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
             parts = []
-            for part in blocks(iter([whole]), "text"):
+            for part in blocks(iter([whole]), "text", TAG_BYTES):
                 words, bounds = mapped_words(part.column("text"), WORD_TABLE)
                 p = shared.value.marginals(shared.value.emissions(words, bounds), bounds)
                 total = np.concatenate([[0], np.cumsum(p)])
