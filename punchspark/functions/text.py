@@ -57,3 +57,8 @@ def name_key(c: Column | str) -> Column:
 def like_escape(text: str) -> str:
     """Escape LIKE wildcards so a search text matches literally."""
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def csv_cell(c: Column | str) -> Column:
+    """F8: a quoted CSV cell, '"' doubled, null as an empty one."""
+    return F.concat(F.lit('"'), F.replace(F.coalesce(col_of(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))

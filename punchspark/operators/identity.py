@@ -4,12 +4,12 @@ Order of the cascade for a row whose badge ID is a dummy or not on the roster:
   exact normalised name → word pairs (w1w2, w2w1, w1wN, wNw1) → loose containment
   of the raw first-name cell in an index key (first key by index position).
 
-Scale notes: name cleaning and matching run on the *distinct* (raw name,
-first-name cell) pairs of the rows that need them, not on rows — a person
-punches many times, and a hot name (e.g. every unread card of one person) is
-reduced by a partial aggregate before any shuffle. The loose step is an equi-join on trigrams (a key containing a name of
-length ≥ 3 contains its first trigram), verified with ``contains`` — exact, no
-candidate cap, no cross join.
+Scale notes: rows resolved by their ID never meet the name match. The others are
+reduced by a partial aggregate to *distinct* (raw name, first-name cell) pairs, so a hot
+name (every unread card of one person) is combined before any shuffle, and each pair
+probes one lookup by equality: index keys, and every substring of an index key, each
+with the one employee it stands for. A probe meets one lookup row at most, so there are
+no candidates to verify, no candidate cap and no cross join.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from punchspark import policy as P
 from punchspark.functions.text import js_trim, name_key, normalize_name, upper_trim
-from punchspark.operators.common import broadcast_if_small, measured
+from punchspark.operators.common import broadcast_if_small
 from punchspark.sources.aliases import cells_for, resolve
 
 METHODS = ("id", "exact", "words", "loose", "none")
@@ -81,102 +81,83 @@ def _words_keys(norm: Column) -> Column:
     return F.when(F.size(w) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
-def trigrams(c: Column) -> Column:
-    return F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3))
-    )
+#: Shortest first-name cell that the loose step looks for.
+LOOSE_MIN_LENGTH = 3
+
+
+def substrings(c: Column, lengths: Column) -> Column:
+    """Distinct substrings of ``c`` of the given lengths."""
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(c)), at)))
+
 
+def _needle() -> Column:
+    """P8's text: the lower-cased first-name cell when it is long enough, else null."""
+    cell = F.lower(js_trim(F.col("first_cell")))
+    return F.when((F.col("first_cell") != "") & (F.length(cell) >= LOOSE_MIN_LENGTH), cell)
 
-def match_names(names: DataFrame, index: DataFrame, loose: bool = True, names_small: bool = False) -> DataFrame:
-    """P6-P8 on distinct names (norm, first_cell, ...) → the same rows plus matched, method.
 
-    ``names_small`` (a measured bound) lets every name-derived side be broadcast, so
-    the index — the large side — is streamed and never shuffled. The exact/word-pair
-    hits and the loose hits are computed independently and combined once.
+def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataFrame:
+    """P6-P8 on distinct names (raw_name, first_cell, norm) → raw_name, first_cell, matched, method.
+
+    Each name explodes into at most six probes (priority, kind, key); the lookups hold one row
+    per (kind, key), so the join is 1:1 and the best hit is a minimum per name.
     """
-    small = (lambda d: F.broadcast(d)) if names_small else (lambda d: d)
-    cands = names.select(
-        "norm",
-        "first_cell",
-        F.posexplode(
-            F.concat(F.array(F.regexp_replace(F.lower(F.col("norm")), r"\s+", "")), _words_keys(F.col("norm")))
-        ).alias("prio", "key"),
-    ).where(F.col("norm") != "")
-    hits = (
-        index.select("key", "emp")
-        .join(small(cands), "key", "inner")
-        .where(F.col("emp") != "")
-        .groupBy("norm", "first_cell")
-        .agg(F.min_by("emp", F.col("prio")).alias("hit_emp"), F.min("prio").alias("hit_prio"))
-    )
-    out = names.join(hits, ["norm", "first_cell"], "left")
-    method = F.when(F.col("hit_prio") == 0, "exact").when(F.col("hit_prio").isNotNull(), "words")
-    keep = [c for c in names.columns]
-    if not loose:
-        return out.select(*keep, F.col("hit_emp").alias("matched"), method.alias("method"))
-    first = F.lower(js_trim(F.col("first_cell")))
-    need = (
-        names.select("first_cell").where(F.col("first_cell") != "")
-        .select(first.alias("needle"))
-        .where(F.length("needle") > 2)
-        .distinct()
-        .select("needle", F.substring("needle", 1, 3).alias("gram"))
-    )
-    grams = index.select("key", "emp", "pos", F.explode(trigrams(F.col("key"))).alias("gram"))
-    loose_hits = (
-        grams.join(small(need), "gram", "inner")
-        .where(F.col("key").contains(F.col("needle")))
-        .groupBy("needle")
-        .agg(F.min_by("emp", F.col("pos")).alias("loose_emp"))
-    )
-    return out.withColumn("needle", first).join(small(loose_hits), "needle", "left").select(
-        *keep,
-        F.coalesce(F.col("hit_emp"), F.col("loose_emp")).alias("matched"),
-        F.coalesce(method, F.when(F.col("loose_emp").isNotNull(), F.lit("loose"))).alias("method"),
-    )
+    whole = F.regexp_replace(F.lower(F.col("norm")), r"\s+", "")
+    keys = F.when(F.col("norm") != "", F.concat(F.array(whole), _words_keys(F.col("norm")))).otherwise(F.array().cast("array<string>"))
+    probes = F.transform(keys, lambda k, i: F.struct(i.alias("prio"), F.lit("key").alias("kind"), k.alias("key")))
+    lookup = index.select(F.lit("key").alias("kind"), "key", "emp").where(F.col("emp") != "")
+    if loose:
+        last = F.struct(F.lit(len(METHODS)).alias("prio"), F.lit("part").alias("kind"), _needle().alias("key"))
+        probes = F.concat(probes, F.array(last))
+        # The count keeps the distinct names below as they are, so their exchange is reused.
+        sought = names.agg(F.collect_set(F.length(_needle())).alias("lengths"), F.count(F.lit(1))).select("lengths")
+        parts = index.withColumn("lengths", sought.scalar())
+        parts = parts.select("emp", "pos", F.explode(substrings(F.col("key"), F.col("lengths"))).alias("key"))
+        parts = parts.groupBy("key").agg(F.min_by("emp", "pos").alias("emp"))
+        lookup = lookup.unionAll(parts.select(F.lit("part").alias("kind"), "key", "emp"))
+    probed = names.select("raw_name", "first_cell", F.inline_outer(probes))
+    hit = F.when(F.col("emp").isNotNull(), F.struct("prio", "emp"))
+    best = probed.join(lookup, ["kind", "key"], "left").groupBy("raw_name", "first_cell").agg(F.min(hit).alias("hit"))
+    prio = F.col("hit.prio")
+    method = F.when(prio == 0, "exact").when(prio < len(METHODS), "words").when(prio.isNotNull(), "loose")
+    return best.select("raw_name", "first_cell", F.col("hit.emp").alias("matched"), method.alias("method"))
 
 
 def resolve_identity(cells: DataFrame, users: DataFrame, loose: bool = True) -> DataFrame:
     """Adds EmployeeNo, unauthorized flag and match_method to punch cells.
 
-    Per row only cheap work happens (ID canonicalisation, roster lookup, the raw
-    name). Name cleaning and the match cascade run once per distinct
-    (raw name, first-name cell); that table is checkpointed and counted, and the
-    match results (one row per name) are broadcast back only when that measured
-    size fits — then the punch rows are never shuffled for it.
+    Rows with an ID on the roster are done with the roster lookup and are not shuffled by
+    name. The others join the match results (one row per distinct name) by name; a hot name
+    is split by the adaptive skew join, and small results are broadcast at run time.
     """
     keys = broadcast_if_small(roster_keys(users))  # the roster: checked once, reused
     raw_id = upper_trim(F.coalesce(F.col("id_cell"), F.lit("")))
     full = js_trim(F.concat(F.col("first_cell"), F.lit(" "), F.col("last_cell")))
     raw_name = F.when(full != "", full).otherwise(js_trim(F.col("unified_cell")))
-    rows = cells.select("*", raw_id.alias("raw_id"), raw_name.alias("raw_name"))
-    # A non-dummy ID on the roster is kept as is
+    rows = cells.select("*", raw_id.alias("raw_id"))
     rows = rows.join(keys.select(F.col("key").alias("raw_id"), F.lit(True).alias("known")), "raw_id", "left")
-    dummy = F.col("raw_id").isin(*P.DUMMY_IDS)
-    rows = rows.withColumn("by_id", ~dummy & F.coalesce(F.col("known"), F.lit(False)))
-
-    names = rows.where(~F.col("by_id")).select("raw_name", "first_cell").distinct()
-    names, _, names_small = measured(names.withColumn("norm", normalize_name(F.col("raw_name"))))
-    # The index is used twice; exchange reuse computes it once. Its size follows the
-    # roster (a base table), so the planner's own estimate decides broadcasting.
-    matched = match_names(names, name_index(users), loose, names_small)
-    matched = matched.join(keys.select(F.col("key").alias("matched"), F.lit(True).alias("matched_known")), "matched", "left")
-    matched = matched.select("raw_name", "first_cell", "matched", "method", "matched_known")
-    # one row per distinct name: the measured bound of ``names`` holds for it
-    rows = rows.join(F.broadcast(matched) if names_small else matched, ["raw_name", "first_cell"], "left")
+    # A non-dummy ID on the roster is kept as is
+    by_id = ~F.col("raw_id").isin(*P.DUMMY_IDS) & F.coalesce(F.col("known"), F.lit(False))
+    done = rows.where(by_id).select(
+        *cells.columns, F.col("raw_id").alias("EmployeeNo"), F.lit(False).alias("unauthorized"), F.lit("id").alias("match_method")
+    )
 
-    ok_name = ~F.col("by_id") & F.coalesce(F.col("matched_known"), F.lit(False))
-    unauthorized = ~F.col("by_id") & ~ok_name
+    rest = rows.where(~by_id).withColumn("raw_name", raw_name)
+    names = rest.select("raw_name", "first_cell").distinct().withColumn("norm", normalize_name(F.col("raw_name")))
+    matched = match_names(names, name_index(users), loose)
+    matched = matched.join(keys.select(F.col("key").alias("matched"), F.lit(True).alias("matched_known")), "matched", "left")
+    rest = rest.join(matched, ["raw_name", "first_cell"], "left")
+    ok_name = F.coalesce(F.col("matched_known"), F.lit(False))
     emp = (
-        F.when(F.col("by_id"), F.col("raw_id"))
-        .when(ok_name, F.col("matched"))
+        F.when(ok_name, F.col("matched"))
         .when(F.col("raw_id") == "", F.lit(P.NOT_PROVIDED))
         .otherwise(F.col("raw_id"))
     )
-    method = F.when(F.col("by_id"), F.lit("id")).when(ok_name, F.col("method")).otherwise(F.lit("none"))
-    return rows.select(
-        *[c for c in cells.columns],
+    rest = rest.select(
+        *cells.columns,
         emp.alias("EmployeeNo"),
-        unauthorized.alias("unauthorized"),
-        method.alias("match_method"),
+        (~ok_name).alias("unauthorized"),
+        F.when(ok_name, F.col("method")).otherwise(F.lit("none")).alias("match_method"),
     )
+    return done.unionAll(rest)

@@ -116,10 +116,28 @@ def daily_groups(punches: DataFrame, from_date=None, to_date=None, users: DataFr
 def _date_bounds(p: DataFrame, from_date, to_date) -> DataFrame:
     if from_date and to_date:
         return punch_date_range(p, from_date, to_date)
-    day = F.to_date("PunchDateTime")
-    if from_date:
-        return p.where(day >= F.lit(str(from_date)).cast("date"))
-    return p.where(day <= F.lit(str(to_date)).cast("date"))
+    days = [F.to_date("PunchDateTime")] + [F.col(c) for c in ("punch_date",) if c in p.columns]
+    for day in days:  # the stored date prunes partitions
+        p = p.where(day >= F.lit(str(from_date)).cast("date")) if from_date else p.where(day <= F.lit(str(to_date)).cast("date"))
+    return p
+
+
+def _same(c: F.Column, value: str) -> F.Column:
+    """Equal ignoring case and outer white space."""
+    return F.lower(js_trim(F.coalesce(c, F.lit("")))) == value.strip().lower()
+
+
+def of_department(punches: DataFrame, users: DataFrame, departments: DataFrame, department: str | None) -> DataFrame:
+    """B7 below the aggregate: punches of the groups that can be of ``department``.
+
+    Only a user's punch brings a group into a named department; whole groups are kept, so
+    the aggregate is unchanged. The default name also holds people without a user.
+    """
+    if not department or department == "All" or department.strip().lower() == P.B_DEFAULT_DEPARTMENT.lower():
+        return punches
+    named = broadcast_if_small(departments.where(_same(F.col("DepartmentName"), department)).select("DepartmentID"))
+    ids = users.join(named, "DepartmentID", "left_semi").select(group_id(F.col("EmployeeNo")).alias("__id")).distinct()
+    return punches.join(broadcast_if_small(ids), group_id(F.col("EmployeeNo")) == F.col("__id"), "left_semi")
 
 
 def classify_b(groups: DataFrame, users: DataFrame, departments: DataFrame, pol: P.ShiftPolicy = P.POLICY_B) -> DataFrame:
@@ -207,9 +225,9 @@ def filter_b(records: DataFrame, department: str | None = None, status: str | No
     """B7 (post-aggregate part): department name and status equal ignoring case/space; search in Name or ID."""
     out = records
     if department and department != "All":
-        out = out.where(F.lower(js_trim(F.coalesce(F.col("Department"), F.lit("")))) == department.strip().lower())
+        out = out.where(_same(F.col("Department"), department))
     if status and status != "All":
-        out = out.where(F.lower(js_trim(F.coalesce(F.col("Status"), F.lit("")))) == status.strip().lower())
+        out = out.where(_same(F.col("Status"), status))
     if search and search.strip():
         s = search.strip().lower()
         out = out.where(
@@ -230,8 +248,8 @@ def daily_report_b(
     search: str | None = None,
     pol: P.ShiftPolicy = P.POLICY_B,
 ) -> DataFrame:
-    """Report B records with B7 filters; date bounds are applied before the aggregate."""
-    groups = daily_groups(punches, from_date, to_date, users)
+    """Report B records with B7 filters; dates and department reach below the aggregate."""
+    groups = daily_groups(of_department(punches, users, departments, department), from_date, to_date, users)
     records = classify_b(groups, users, departments, pol)
     if any(x and x != "All" for x in (department, status)) or (search or "").strip():
         # filters on derived columns: evaluate them on the finished rows (no re-inlining)
@@ -239,11 +257,15 @@ def daily_report_b(
     return filter_b(records, department, status, search)
 
 
-def daily_punch_list(punches: DataFrame) -> DataFrame:
-    """B2/B6 punch list in long form: one row per punch (no per-group collection)."""
-    return punches.select(
+def daily_punch_list(punches: DataFrame, from_date=None, to_date=None, records: DataFrame | None = None) -> DataFrame:
+    """B2/B6 punch list in long form: one row per punch, in the order of (EmployeeID,
+    PunchDateTime, LogID). ``records`` (a filtered report B) keeps the punches of its days."""
+    p = _date_bounds(punches, from_date, to_date) if from_date or to_date else punches
+    out = p.select(
         group_id(F.col("EmployeeNo")).alias("EmployeeID"),
         F.date_format("PunchDateTime", "yyyy-MM-dd").alias("rawDate"),
         "PunchDateTime",
+        "LogID",
         format_ampm("PunchDateTime").alias("Punch"),
     )
+    return out if records is None else out.join(records.select("EmployeeID", "rawDate"), ["EmployeeID", "rawDate"], "left_semi")

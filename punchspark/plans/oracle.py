@@ -40,6 +40,15 @@ SELECT event_id AS LogID, CAST(user_id AS VARCHAR) AS EmployeeNo, ts AS PunchDat
 FROM events"""
 
 
+ROUGH_PUNCHES = """
+SELECT event_id AS LogID,
+       CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN '  ' WHEN event_id % 23 = 0 THEN 'q"' || CAST(user_id AS VARCHAR)
+            WHEN event_id % 29 = 0 THEN ' ' || CAST(user_id AS VARCHAR) || ' ' ELSE CAST(user_id AS VARCHAR) END AS EmployeeNo,
+       date_trunc('hour', ts) AS PunchDateTime, event_type AS DeviceName, props AS AreaName,
+       CASE WHEN event_type = 'error' THEN 'Unauthorized Entry' END AS Status
+FROM events"""
+
+
 def records_a(where_punch: str = "TRUE", where_user: str = "TRUE", where_status: str = "TRUE") -> str:
     return f"""
 WITH users AS ({USERS}), depts AS ({DEPTS}), punches AS ({PUNCHES}),
@@ -92,9 +101,9 @@ def _records_filtered() -> str:
     return records_a(wp, wu)
 
 
-def records_b() -> str:
+def records_b(punches: str = PUNCHES, where: str = "TRUE") -> str:
     return f"""
-WITH users AS ({USERS}), depts AS ({DEPTS}), punches AS ({PUNCHES}),
+WITH users AS ({USERS}), depts AS ({DEPTS}), punches AS (SELECT * FROM ({punches}) WHERE {where}),
 g AS (
   SELECT CASE WHEN coalesce(EmployeeNo, '') = '' THEN 'UNKNOWN' ELSE {js_trim('EmployeeNo')} END AS EmployeeID,
          CAST(PunchDateTime AS DATE) AS day,
@@ -143,6 +152,10 @@ SELECT EmployeeID, fname AS FirstName, lname AS LastName,
 FROM k"""
 
 
+# The fields of the CSV report and the names an upload header must have.
+CSV_FIELDS = ("EmployeeID", "FirstName", "LastName", "Department", "Date", "Weekday", "FirstIn", "LastOut", "TotalHours", "Status")
+REQUIRED_HEADERS = ("EmployeeID", "Name", "Department", "Timestamp")
+
 B_COLS = (
     "EmployeeID, FirstName, LastName, Name, Department, EmpType, Date, rawDate, Weekday, FirstIn, LastOut, "
     "TotalHours, Status, rawFirstInMins, rawLastOutMins, hours, punch_count"
@@ -530,5 +543,75 @@ FROM users u LEFT JOIN ch ON ch.k = upper(u.EmployeeNo)""",
     }
 
 
+def small_sql() -> dict[str, str]:
+    ra, rough = records_a(), ROUGH_PUNCHES
+    within = f"CAST(PunchDateTime AS DATE) BETWEEN DATE '{Q.FILTER_START}' AND DATE '{Q.FILTER_END}'"
+    group = f"CASE WHEN coalesce(EmployeeNo, '') = '' THEN 'UNKNOWN' ELSE {js_trim('EmployeeNo')} END"
+    cells = [f"'\"' || replace(coalesce(CAST({c} AS VARCHAR), ''), '\"', '\"\"') || '\"'" for c in CSV_FIELDS]
+    needs = ", ".join(f"CASE WHEN p_size % 7 = 0 OR p_size % 5 = {i} THEN '{h}' END" for i, h in enumerate(REQUIRED_HEADERS))
+    stamp = "strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S')"
+    reports = report_sql()
+    return {
+        "all_punches": f"""
+WITH users AS ({USERS}), depts AS ({DEPTS}), punches AS ({rough})
+SELECT LogID, p.EmployeeNo, strftime(PunchDateTime, '%Y-%m-%d %H:%M:%S') AS PunchDateTime, Status AS LogStatus,
+       FirstName, LastName, EmpType, DepartmentName AS Department
+FROM punches p LEFT JOIN users u ON u.EmployeeNo = p.EmployeeNo LEFT JOIN depts d ON d.DepartmentID = u.DepartmentID""",
+        "export_rough": f"SELECT {B_COLS} FROM ({records_b(rough)})",
+        "punch_list": f"""
+WITH days AS (SELECT EmployeeID, rawDate FROM ({records_b(rough, within)}) WHERE Status = 'Unauthorized Entry'),
+p AS (
+  SELECT {group} AS EmployeeID, strftime(PunchDateTime, '%Y-%m-%d') AS rawDate,
+         strftime(PunchDateTime, '%Y-%m-%d %H:%M:%S') AS PunchDateTime, LogID, strftime(PunchDateTime, '%-I:%M %p') AS Punch
+  FROM ({rough}) WHERE {within}
+)
+SELECT p.* FROM p SEMI JOIN days USING (EmployeeID, rawDate)""",
+        "report_csv_lines": f"SELECT {" || ',' || ".join(cells)} AS line FROM ({records_b(rough)})",
+        "header_check": f"""
+WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS upload_id, concat_ws(',', {needs}) AS missing FROM part)
+SELECT upload_id, missing = '' AS valid, missing FROM m""",
+        "missing_columns": f"""
+SELECT UserID, EmployeeNo, FirstName, LastName, CAST(DepartmentID AS INTEGER) AS DepartmentID, CAST(NULL AS VARCHAR) AS Role,
+       CAST(NULL AS VARCHAR) AS EmpType, IsActive FROM ({USERS})""",
+        "export_audit": f"""
+SELECT '[' || {stamp} || '] USER: User ' || user_id || ' (ADID: ' || user_id || ') | ACTION: Export ' || upper(event_type)
+       || ' | FILTERS: {{"format":"' || event_type || '","search":"' || user_id || '"}}' AS value
+FROM events""",
+        "session_audit": f"""
+SELECT '[' || {stamp} || '] ACTION: ' || upper(event_type) || ' | User ID: ' || user_id || ' | Name: User ' || user_id
+       || ' | Role: User' || CASE WHEN event_type = 'error' THEN ' | Status: FAILED' ELSE '' END AS value
+FROM events""",
+        "merge_datetime": """
+WITH c AS (
+  SELECT event_id, ts,
+         CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat(event_id % 24, ':', event_id % 60)
+              ELSE concat(event_id % 24, ':', event_id % 60, ':7') END AS time_cell,
+         date_trunc('day', ts) + to_seconds((event_id % 24) * 3600 + (event_id % 60) * 60 + CASE event_id % 4 WHEN 3 THEN 7 ELSE 0 END) AS m
+  FROM events
+)
+SELECT event_id, time_cell, strftime(CASE WHEN coalesce(time_cell, '') = '' THEN ts ELSE m END, '%Y-%m-%d %H:%M:%S') AS merged FROM c""",
+        "daily_ordered": f"SELECT {A_COLS} FROM ({ra}) ORDER BY Date DESC, EmployeeID",
+        "dashboard_bundle": f"""
+SELECT 'trend' AS chart, date AS label, CAST(avgHours AS DOUBLE) AS value FROM ({reports['daily_trend']})
+UNION ALL SELECT 'distribution', Status, CAST(Count AS DOUBLE) FROM ({reports['status_distribution']})
+UNION ALL SELECT 'employee', EmployeeID, CAST(CompliancePct AS DOUBLE) FROM ({reports['employee_compliance']})""",
+        "trend_bands": f"""
+SELECT date, avgHours, CASE WHEN avgHours >= 10 THEN 'info' WHEN avgHours >= 9 THEN 'success' WHEN avgHours >= 8 THEN 'warning' ELSE 'danger' END AS band
+FROM ({reports['daily_trend']})""",
+        "page_totals": f"SELECT count(*) AS total, CAST(ceil(count(*) / {Q.PAGE_SIZE}.0) AS BIGINT) AS pages FROM ({ra})",
+        "clock_texts": f"""
+WITH c AS (
+  SELECT event_id, {stamp} AS india,
+         CASE event_id % 4 WHEN 0 THEN strftime(ts, '%-H:%M') WHEN 1 THEN strftime(ts, '%-H') WHEN 2 THEN strftime(ts, 'x:%M') END AS text,
+         CASE event_id % 4 WHEN 0 THEN hour(ts) * 60 + minute(ts) WHEN 1 THEN hour(ts) * 60 WHEN 2 THEN minute(ts) ELSE 0 END AS minutes
+  FROM events
+)
+SELECT event_id, text, minutes, india,
+       concat(CASE WHEN (minutes // 60) % 12 = 0 THEN 12 ELSE (minutes // 60) % 12 END, ':', lpad(CAST(minutes % 60 AS VARCHAR), 2, '0'),
+              CASE WHEN minutes >= 720 THEN ' PM' ELSE ' AM' END) AS clock
+FROM c""",
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**report_sql(), **ingest_sql(), **roster_sql()}
+    return {**report_sql(), **ingest_sql(), **roster_sql(), **small_sql()}

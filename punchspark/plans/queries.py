@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punchspark.functions.dtparse import with_punch_datetime
+from punchspark import policy as P
+from punchspark.functions.dtparse import merge_date_time, with_punch_datetime
 from punchspark.functions.text import normalize_name
+from punchspark.functions.timefmt import india_stamp, minutes_to_time, time_to_minutes
 from punchspark.operators import identity as ID
 from punchspark.operators import ingest as I
 from punchspark.operators import report_a as A
@@ -18,7 +20,11 @@ from punchspark.operators import report_b as B
 from punchspark.operators import roster as R
 from punchspark.operators import rollups as D
 from punchspark.plans import driver_tables as DT
+from punchspark.plans.dashboard import dashboard_bundle as bundle
 from punchspark.plans.driver_tables import engine_tables
+from punchspark.sources import sinks
+from punchspark.sources.tables import USERS_SCHEMA
+from punchspark.sources.uploads import check_uploads, with_missing_columns
 
 # Parameters of the filtered variants (fixed so the oracle can use the same).
 FILTER_START = "2024-01-05"
@@ -307,7 +313,141 @@ def users_set_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.set_active(users, req)
 
 
+# ---------------------------------------------------------------------------
+# Report B over rough punches, and the smaller operators
+# ---------------------------------------------------------------------------
+
+ROUGH_STATUS = P.UNAUTHORIZED
+
+
+def _rough(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    _, users, departments = engine_tables(spark, sf_dir)
+    return DT.rough_punches_from_events(DT.table(spark, sf_dir, "events")), users, departments
+
+
+def all_punches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: every punch with its user and department."""
+    out = B.all_punches(*_rough(spark, sf_dir))
+    shown = F.date_format("PunchDateTime", "yyyy-MM-dd HH:mm:ss").alias("PunchDateTime")
+    return out.select("LogID", "EmployeeNo", shown, "LogStatus", "FirstName", "LastName", "EmpType", "Department")
+
+
+def export_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2-B6 with every fallback: unknown IDs, people without a user, unauthorized entries, ties."""
+    return B.daily_report_b(*_rough(spark, sf_dir)).select(*B_OUT)
+
+
+def punch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The punches of the days that a filtered report shows."""
+    punches, users, departments = _rough(spark, sf_dir)
+    dates = {"from_date": FILTER_START, "to_date": FILTER_END}
+    records = B.daily_report_b(punches, users, departments, status=ROUGH_STATUS, **dates)
+    out = B.daily_punch_list(punches, records=records, **dates)
+    return out.withColumn("PunchDateTime", F.date_format("PunchDateTime", "yyyy-MM-dd HH:mm:ss"))
+
+
+def report_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as CSV lines."""
+    return sinks.report_csv_lines(B.daily_report_b(*_rough(spark, sf_dir)))
+
+
+def header_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 over one upload header per part: by size it lacks a required name or has them in lower case."""
+    size = F.col("p_size")
+    names = F.array(*[F.lit(h) for h in P.REQUIRED_UPLOAD_HEADERS])
+    kept = F.filter(names, lambda h, i: i != size % 5)
+    header = F.when(size % 7 == 0, F.transform(kept, F.lower)).otherwise(kept)
+    uploads = DT.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("upload_id"), F.concat(F.array("p_brand"), header).alias("header"))
+    return check_uploads(uploads).withColumn("missing", F.concat_ws(",", "missing"))
+
+
+def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of an older table without EmpType and Role."""
+    _, users, _ = engine_tables(spark, sf_dir)
+    return with_missing_columns(users.drop("EmpType", "Role"), USERS_SCHEMA)
+
+
+def export_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export line per event."""
+    uid = F.col("user_id").cast("string")
+    filters = F.create_map(F.lit("format"), F.col("event_type"), F.lit("search"), uid)
+    events = DT.table(spark, sf_dir, "events").select(
+        india_stamp("ts").alias("ts"), F.concat(F.lit("User "), uid).alias("name"), uid.alias("username"), F.col("event_type").alias("format"), filters.alias("filters")
+    )
+    return sinks.export_audit_lines(events)
+
+
+def session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session line per event; 'error' events carry a status."""
+    uid = F.col("user_id").cast("string")
+    events = DT.table(spark, sf_dir, "events").select(
+        india_stamp("ts").alias("ts"),
+        F.upper("event_type").alias("action"),
+        uid.alias("user_id"),
+        F.concat(F.lit("User "), uid).alias("name"),
+        F.lit(P.DEFAULT_ROLE).alias("role"),
+        F.when(F.col("event_type") == "error", F.lit("FAILED")).alias("status"),
+    )
+    return sinks.session_audit_lines(events)
+
+
+def merge_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed date and a time text (absent, empty, with and without seconds)."""
+    e = F.col("event_id")
+    hm = F.concat((e % 24).cast("string"), F.lit(":"), (e % 60).cast("string"))
+    text = F.when(e % 4 == 0, None).when(e % 4 == 1, F.lit("")).when(e % 4 == 2, hm).otherwise(F.concat(hm, F.lit(":7")))
+    out = DT.table(spark, sf_dir, "events").select("event_id", text.alias("time_cell"), merge_date_time("ts", text).alias("merged"))
+    return out.withColumn("merged", F.date_format("merged", "yyyy-MM-dd HH:mm:ss"))
+
+
+def daily_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report A in display order."""
+    return A.order_daily(records_a(spark, sf_dir)).select(*A_OUT)
+
+
+def dashboard_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The charts of one dashboard as (chart, label, value)."""
+    d = bundle(*engine_tables(spark, sf_dir), keep=False)
+    parts = (("trend", d.trend, "date", "avgHours"), ("distribution", d.distribution, "Status", "Count"), ("employee", d.employees, "EmployeeID", "CompliancePct"))
+    trend, *others = (t.select(F.lit(n).alias("chart"), F.col(k).alias("label"), F.col(v).cast("double").alias("value")) for n, t, k, v in parts)
+    for o in others:
+        trend = trend.unionAll(o)
+    return trend
+
+
+def trend_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4 on trend points."""
+    return D.trend_bands(A.daily_trend(records_a(spark, sf_dir)))
+
+
+def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and pages."""
+    return D.page_totals(records_a(spark, sf_dir), PAGE_SIZE)
+
+
+def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clock texts (whole, hour only, no number, absent) to minutes and back, and the India stamp."""
+    e = F.col("event_id")
+    text = F.when(e % 4 == 0, F.date_format("ts", "H:mm")).when(e % 4 == 1, F.date_format("ts", "H")).when(e % 4 == 2, F.date_format("ts", "'x':mm"))
+    out = DT.table(spark, sf_dir, "events").select("event_id", text.alias("text"), time_to_minutes(text).alias("minutes"), india_stamp("ts").alias("india"))
+    return out.withColumn("clock", minutes_to_time("minutes"))
+
+
 REGISTRY = {
+    "all_punches": all_punches,
+    "export_rough": export_rough,
+    "punch_list": punch_list,
+    "report_csv_lines": report_csv_lines,
+    "header_check": header_check,
+    "missing_columns": missing_columns,
+    "export_audit": export_audit,
+    "session_audit": session_audit,
+    "merge_datetime": merge_datetime,
+    "daily_ordered": daily_ordered,
+    "dashboard_bundle": dashboard_bundle,
+    "trend_bands": trend_bands,
+    "page_totals": page_totals,
+    "clock_texts": clock_texts,
     "daily_attendance": daily_attendance,
     "daily_attendance_filtered": daily_attendance_filtered,
     "daily_attendance_by_status": daily_attendance_by_status,

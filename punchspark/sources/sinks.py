@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punchspark.functions.text import csv_cell
 from punchspark.policy import REPORT_CSV_HEADER
 
 PUNCH_COLUMNS = ("EmployeeNo", "PunchDateTime", "DeviceName", "AreaName", "Status")
@@ -16,11 +17,14 @@ def append_punches(df: DataFrame, path: str, load: str | None = None) -> None:
     """Bulk append, partitioned by punch date (date filters prune partitions) and load.
 
     A load that is written again under its own name replaces itself, so a replay adds nothing.
+    LogID is a hash of (load, ID, time), which ingestion leaves unique within a load: it is the
+    same on a replay and settles the order of punches at one instant, though not by arrival.
     Rows are rebalanced by date first: about one file per date, hot dates split.
     """
+    load = load or f"load-{uuid.uuid4().hex}"
     (
-        df.select(*PUNCH_COLUMNS)
-        .withColumns({"punch_date": F.to_date("PunchDateTime"), "load": F.lit(load or f"load-{uuid.uuid4().hex}")})
+        df.select(F.xxhash64(F.lit(load), "EmployeeNo", "PunchDateTime").alias("LogID"), *PUNCH_COLUMNS)
+        .withColumns({"punch_date": F.to_date("PunchDateTime"), "load": F.lit(load)})
         .hint("rebalance", "punch_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -37,6 +41,12 @@ def report_csv_frame(report_b: DataFrame) -> DataFrame:
     return report_b.select(*[F.col(src).cast("string").alias(dst) for src, dst in zip(REPORT_FIELDS, REPORT_CSV_HEADER)])
 
 
+def report_csv_lines(report_b: DataFrame) -> DataFrame:
+    """S7/F8 as text: one CSV line per record, every cell quoted."""
+    frame = report_csv_frame(report_b)
+    return frame.select(F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in frame.columns]).alias("line"))
+
+
 def write_report_csv(report_b: DataFrame, path: str) -> None:
     """Every value double-quoted, '"' doubled, null → "" (F8 cell escaping via writer options).
     (Spark also quotes the header.)"""

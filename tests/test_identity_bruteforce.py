@@ -4,7 +4,7 @@ import random
 import re
 
 from helpers import upload_df, users_df
-from punchspark.operators.identity import punch_cells, resolve_identity
+from punchspark.operators.identity import match_names, punch_cells, resolve_identity
 
 DUMMY = {"", "16777985", "0", "NULL"}
 WORDS = ["ann", "lee", "mary", "john", "smith", "raj", "kumar", "li", "o'neil", "de", "la", "cruz", "x"]
@@ -135,3 +135,13 @@ def test_normalize_name_matches_brute_force(spark):
     got = {r["i"]: r["n"] for r in df.select("i", normalize_name("t").alias("n")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == normalize_js(t), repr(t)
+
+
+def test_loose_match_of_many_names_with_one_beginning(spark):
+    """Thousands of keys share their first letters: each name still meets one lookup row."""
+    index = spark.range(3000).selectExpr("concat('mohammed', lpad(id, 4, '0')) AS key", "cast(id AS string) AS emp", "struct(id AS UserID, 0 AS slot) AS pos")
+    names = spark.range(0, 3000, 3).selectExpr("concat('raw', id) AS raw_name", "concat('hammed', lpad(id, 4, '0')) AS first_cell", "'' AS norm")
+    names = names.unionAll(spark.sql("SELECT 'short', 'mo', ''")).unionAll(spark.sql("SELECT 'first', 'Mohammed', ''"))
+    got = {r["raw_name"]: (r["matched"], r["method"]) for r in match_names(names, index).collect()}
+    want = {f"raw{i}": (str(i), "loose") for i in range(0, 3000, 3)} | {"short": (None, None), "first": ("0", "loose")}
+    assert got == want

@@ -58,3 +58,23 @@ def test_dimensions_broadcast_only_when_small(spark):
         assert "BroadcastHashJoin" not in txt2 and "SortMergeJoin" in txt2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_with_an_id_are_not_shuffled_by_name(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        txt = plan_text(Q.punch_ingest(spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    union = txt[txt.index("Union"):]
+    first = union.splitlines()[1]
+    branch = first.index(":-")
+    others = [i for i, line in enumerate(union.splitlines()[2:], 2) if line[branch:branch + 2] in ("+-", ":-")]
+    by_id = "\n".join(union.splitlines()[1:others[0]])
+    assert "raw_id" in by_id and "raw_name" not in by_id
+    assert "raw_name" in union
+
+
+def test_department_filter_reaches_below_the_aggregate(spark):
+    txt = plan_text(Q.export_filtered(spark, SF))
+    assert "LeftSemi" in txt and txt.index("min_by") < txt.index("LeftSemi")

@@ -76,7 +76,8 @@ def test_append_punches_partitioned_and_read_back(spark, tmp_dir):
     punches = punches_df(spark, [(1, "E1", "2026-01-05 09:00:00", "G", None, None), (2, "E1", "2026-01-06 18:00:00", "G", None, "Unauthorized Entry")])
     sinks.append_punches(punches, os.path.join(wh, "punches"))
     back = tables.punches(spark, wh)
-    assert back.count() == 2 and "LogID" in back.columns
+    ids = [r["LogID"] for r in back.collect()]
+    assert len(ids) == 2 and None not in ids and len(set(ids)) == 2
     parts = sorted(x for x in os.listdir(os.path.join(wh, "punches")) if x.startswith("punch_date="))
     assert parts == ["punch_date=2026-01-05", "punch_date=2026-01-06"]
     tables.write_new_version(users_df(spark, [(1, "E1", "A", "B", 1, "User", None, True)]), wh, "users")
@@ -144,3 +145,21 @@ def test_appends_write_about_one_file_per_date_and_replays_add_nothing(spark, tm
         sinks.append_punches(many, path, "upload-1")
     assert spark.read.parquet(path).count() == 2000
     assert sum(f.endswith(".parquet") for _, _, fs in os.walk(path) for f in fs) <= 20
+
+
+def test_csv_lines_are_those_of_the_written_report(spark, tmp_dir):
+    cells = {c: "x" for c in sinks.REPORT_FIELDS} | {"FirstName": 'A "B"', "LastName": None, "Department": "R, D", "TotalHours": ""}
+    report = spark.createDataFrame([tuple(cells.values())], ", ".join(f"{c} string" for c in cells))
+    path = os.path.join(tmp_dir, "lines")
+    sinks.write_report_csv(report, path)
+    written = [r["value"] for r in spark.read.text(path).collect() if not r["value"].startswith('"Employee ID"')]
+    assert [r["line"] for r in sinks.report_csv_lines(report).collect()] == written
+
+
+def test_log_ids_survive_a_replay(spark, tmp_dir):
+    punches = punches_df(spark, [(1, "E1", "2026-01-05 09:00:00", "G", None, None), (2, "E2", "2026-01-05 09:00:00", "G", None, None)])
+    ids = []
+    for _ in range(2):
+        sinks.append_punches(punches, os.path.join(tmp_dir, "replay", "punches"), "one")
+        ids.append(sorted(r["LogID"] for r in tables.punches(spark, os.path.join(tmp_dir, "replay")).collect()))
+    assert ids[0] == ids[1] and len(set(ids[0])) == 2
