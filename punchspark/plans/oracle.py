@@ -590,6 +590,21 @@ WITH c AS (
   FROM events
 )
 SELECT event_id, time_cell, strftime(CASE WHEN coalesce(time_cell, '') = '' THEN ts ELSE m END, '%Y-%m-%d %H:%M:%S') AS merged FROM c""",
+        "datetime_rough": """
+WITH c AS (
+  SELECT event_id, ts, event_id % 7 AS kind,
+         CASE event_id % 7 WHEN 0 THEN strftime(ts, '%-d %b %Y') WHEN 1 THEN strftime(ts, '%m.%d.%Y') WHEN 2 THEN strftime(ts, '%Y-%m-%d')
+              WHEN 3 THEN CAST(date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) AS VARCHAR) WHEN 4 THEN '35-' || strftime(ts, '%m-%Y')
+              WHEN 5 THEN '' ELSE 'no date' END AS date_cell,
+         CASE event_id % 7 WHEN 0 THEN strftime(ts, '%-I:%M %p') WHEN 2 THEN strftime(ts, ':%M') ELSE strftime(ts, '%-H:%M') END AS time_cell
+  FROM events
+)
+SELECT event_id, date_cell, time_cell,
+       strftime(CASE WHEN kind IN (0, 1, 3) THEN date_trunc('minute', ts)
+                     WHEN kind = 2 THEN date_trunc('day', ts) + to_minutes(minute(ts))
+                     WHEN kind = 4 THEN date_trunc('month', ts) + to_days(34) + to_minutes(hour(ts) * 60 + minute(ts)) END,
+                '%Y-%m-%d %H:%M:%S') AS parsed
+FROM c""",
         "daily_ordered": f"SELECT {A_COLS} FROM ({ra}) ORDER BY Date DESC, EmployeeID",
         "dashboard_bundle": f"""
 SELECT 'trend' AS chart, date AS label, CAST(avgHours AS DOUBLE) AS value FROM ({reports['daily_trend']})

@@ -183,6 +183,21 @@ def datetime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", "date_cell", "time_cell", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
+def datetime_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11/P12 over every event, by event_id: free text with AM/PM, dotted month first, a time without
+    hour, a serial with a text time, a day past the month's end, no date, no date at all in the text."""
+    kind = F.col("event_id") % 7
+    text = lambda fmt: F.date_format("ts", fmt)
+    serial = F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date")).cast("string")
+    past = F.concat(F.lit("35-"), text("MM-yyyy"))
+    d = F.when(kind == 0, text("d MMM yyyy")).when(kind == 1, text("MM.dd.yyyy")).when(kind == 2, text("yyyy-MM-dd")).when(kind == 3, serial)
+    d = d.when(kind == 4, past).when(kind == 5, F.lit("")).otherwise(F.lit("no date"))
+    t = F.when(kind == 0, text("h:mm a")).when(kind == 2, text("':'mm")).otherwise(text("H:mm"))
+    cells = DT.table(spark, sf_dir, "events").select("event_id", d.alias("date_cell"), t.alias("time_cell"))
+    parsed = with_punch_datetime(cells, "date_cell", "time_cell", "parsed")
+    return parsed.select("event_id", "date_cell", "time_cell", F.date_format("parsed", "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
 def excel_serial_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12 over every event: serial day number + day fraction (6 decimals), parsed back."""
     ev = DT.table(spark, sf_dir, "events")
@@ -466,6 +481,7 @@ REGISTRY = {
     "facility_exclusion": facility_exclusion,
     "punch_dedup": punch_dedup,
     "datetime_parse": datetime_parse,
+    "datetime_rough": datetime_rough,
     "excel_serial_parse": excel_serial_parse,
     "name_normalize": name_normalize,
     "name_match": name_match,
