@@ -9,7 +9,7 @@ order (``dense_index``), computed without a single-partition window.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,17 +110,22 @@ def dept_key(c: Column) -> Column:
     return F.lower(js_trim(c))
 
 
+def unknown_departments(departments: DataFrame, rows: DataFrame) -> DataFrame:
+    """Department keys (lower/trim) of the rows that have no department: first spelling and place."""
+    seen = rows.groupBy(dept_key(F.col("dept_name")).alias("dkey")).agg(
+        F.min_by("dept_name", "row_ord").alias("DepartmentName"), F.min("row_ord").alias("first_ord")
+    )
+    known = departments.select(dept_key(F.col("DepartmentName")).alias("dkey"))
+    return seen.join(broadcast_if_small(known), "dkey", "left_anti")
+
+
 def provision_departments(departments: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all departments incl. new ones, new departments).
 
     Unknown department keys (lower/trim) get the next IDs in order of first
     appearance; the first spelling is stored.
     """
-    seen = rows.groupBy(dept_key(F.col("dept_name")).alias("dkey")).agg(
-        F.min_by("dept_name", "row_ord").alias("DepartmentName"), F.min("row_ord").alias("first_ord")
-    )
-    known = departments.select(dept_key(F.col("DepartmentName")).alias("dkey"))
-    new = seen.join(broadcast_if_small(known), "dkey", "left_anti")
+    new = unknown_departments(departments, rows)
     top = top_value(departments, "DepartmentID")
     numbered = dense_index(new, F.col("first_ord"), "rank")
     new_depts = numbered.select((top + F.col("rank")).cast("int").alias("DepartmentID"), "DepartmentName")
@@ -139,77 +144,94 @@ def dept_lookup(all_departments: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-@dataclass
 class RosterSync:
-    users: DataFrame
-    departments: DataFrame
-    new_departments: DataFrame
-    metrics: DataFrame
-
-
-def sync_roster(users: DataFrame, departments: DataFrame, upload: DataFrame) -> RosterSync:
-    """R1-R6 in one plan: departments, users upsert, counters."""
-    return sync_roster_rows(users, departments, roster_rows(upload))
-
-
-def sync_roster_rows(users: DataFrame, departments: DataFrame, rows: DataFrame) -> RosterSync:
-    """R4-R6 on resolved roster rows (ordered by ``row_ord``)."""
-    all_depts, new_depts = provision_departments(departments, rows)
-    rows = rows.withColumn("dkey", dept_key(F.col("dept_name"))).join(
-        broadcast_if_small(dept_lookup(all_depts)), "dkey", "left"
-    )
-    vals = F.struct("first", "last", "DepartmentID", "emp_type")
-    per_staff = rows.groupBy("staff").agg(
-        F.max_by(vals, F.col("row_ord")).alias("v"),
-        F.min("row_ord").alias("first_ord"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
-    existing = users.withColumn("staff", upper_trim(F.col("EmployeeNo")))
-    existing_keys = existing.select("staff").distinct().withColumn("exists", F.lit(True))
-    per_staff = per_staff.join(broadcast_if_small(existing_keys), "staff", "left")
-
-    updated = existing.join(per_staff.where(F.col("exists")).select("staff", "v"), "staff", "left").select(
-        "UserID",
-        "EmployeeNo",
-        F.when(F.col("v").isNotNull(), F.col("v.first")).otherwise(F.col("FirstName")).alias("FirstName"),
-        F.when(F.col("v").isNotNull(), F.col("v.last")).otherwise(F.col("LastName")).alias("LastName"),
-        F.when(F.col("v").isNotNull(), F.col("v.DepartmentID")).otherwise(F.col("DepartmentID")).alias("DepartmentID"),
-        "Role",
-        F.when(F.col("v").isNotNull(), F.col("v.emp_type")).otherwise(F.col("EmpType")).alias("EmpType"),
-        "IsActive",
-    )
-    fresh = per_staff.where(F.col("exists").isNull())
-    top = top_value(users, "UserID")
-    inserted = (
-        dense_index(fresh, F.col("first_ord"), "rank")
-        .select(
-            (top + F.col("rank")).cast("int").alias("UserID"),
+    """R4-R6 on resolved roster rows (ordered by ``row_ord``). Each result is planned when it is
+    asked for, so the counters number nothing and the departments leave the users alone."""
+
+    def __init__(self, users: DataFrame, departments: DataFrame, rows: DataFrame):
+        self._users, self._departments, self._rows = users, departments, rows
+        self._existing = users.withColumn("staff", upper_trim(F.col("EmployeeNo")))
+
+    @cached_property
+    def _provisioned(self) -> tuple[DataFrame, DataFrame]:
+        return provision_departments(self._departments, self._rows)
+
+    @property
+    def departments(self) -> DataFrame:
+        return self._provisioned[0]
+
+    @property
+    def new_departments(self) -> DataFrame:
+        return self._provisioned[1]
+
+    @cached_property
+    def _per_staff(self) -> DataFrame:
+        """One row per staff key: its last row's values, first place, number of rows, whether a user has it."""
+        vals = F.struct("first", "last", dept_key(F.col("dept_name")).alias("dkey"), "emp_type")
+        per_staff = self._rows.groupBy("staff").agg(
+            F.max_by(vals, F.col("row_ord")).alias("v"),
+            F.min("row_ord").alias("first_ord"),
+            F.count(F.lit(1)).alias("n_rows"),
+        )
+        keys = self._existing.select("staff").distinct().withColumn("exists", F.lit(True))
+        return per_staff.join(broadcast_if_small(keys), "staff", "left")
+
+    @cached_property
+    def users(self) -> DataFrame:
+        lookup = dept_lookup(self.departments).withColumnRenamed("DepartmentID", "dept")
+        # departments are looked up per staff key, not per uploaded row
+        staff = self._per_staff.withColumn("dkey", F.col("v.dkey")).join(broadcast_if_small(lookup), "dkey", "left")
+        new = lambda value, old: F.when(F.col("v").isNotNull(), value).otherwise(F.col(old)).alias(old)
+        known = staff.where(F.col("exists")).select("staff", "v", "dept")
+        updated = self._existing.join(known, "staff", "left").select(
+            "UserID",
+            "EmployeeNo",
+            new(F.col("v.first"), "FirstName"),
+            new(F.col("v.last"), "LastName"),
+            new(F.col("dept"), "DepartmentID"),
+            "Role",
+            new(F.col("v.emp_type"), "EmpType"),
+            "IsActive",
+        )
+        fresh = dense_index(staff.where(F.col("exists").isNull()), F.col("first_ord"), "rank")
+        inserted = fresh.select(
+            (top_value(self._users, "UserID") + F.col("rank")).cast("int").alias("UserID"),
             F.col("staff").alias("EmployeeNo"),
             F.col("v.first").alias("FirstName"),
             F.col("v.last").alias("LastName"),
-            F.col("v.DepartmentID").cast("int").alias("DepartmentID"),
+            F.col("dept").cast("int").alias("DepartmentID"),
             F.lit(P.DEFAULT_ROLE).alias("Role"),
             F.col("v.emp_type").alias("EmpType"),
             F.lit(True).alias("IsActive"),
         )
-    )
-    # One aggregate over staff rows and new-department rows together (no join).
-    parts = per_staff.select(
-        F.col("n_rows"), F.coalesce(F.col("exists"), F.lit(False)).alias("exists"), F.lit(False).alias("is_dept")
-    ).unionByName(new_depts.select(F.lit(0).cast("bigint").alias("n_rows"), F.lit(False).alias("exists"), F.lit(True).alias("is_dept")))
-    staff_row = ~F.col("is_dept")
-    metrics = parts.agg(
-        F.coalesce(F.sum(F.when(staff_row, F.col("n_rows"))), F.lit(0)).cast("bigint").alias("importedRows"),
-        F.coalesce(
-            F.sum(F.when(staff_row, F.when(F.col("exists"), F.col("n_rows")).otherwise(F.col("n_rows") - 1))), F.lit(0)
+        return updated.unionByName(inserted)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """One aggregate over staff rows and new-department rows together (no join)."""
+        found = unknown_departments(self._departments, self._rows)
+        parts = self._per_staff.select(
+            F.col("n_rows"), F.coalesce(F.col("exists"), F.lit(False)).alias("exists"), F.lit(False).alias("is_dept")
+        ).unionByName(found.select(F.lit(0).cast("bigint").alias("n_rows"), F.lit(False).alias("exists"), F.lit(True).alias("is_dept")))
+        staff_row = ~F.col("is_dept")
+        skipped = F.when(F.col("exists"), F.col("n_rows")).otherwise(F.col("n_rows") - 1)
+        return parts.agg(
+            F.coalesce(F.sum(F.when(staff_row, F.col("n_rows"))), F.lit(0)).cast("bigint").alias("importedRows"),
+            F.coalesce(F.sum(F.when(staff_row, skipped)), F.lit(0)).cast("bigint").alias("skippedDuplicates"),
+            F.count_if(staff_row & ~F.col("exists")).alias("autoProvisionedUsers"),
+            F.count_if(F.col("is_dept")).alias("autoProvisionedDepartments"),
+            F.lit(0).cast("bigint").alias("unauthorizedRecords"),
         )
-        .cast("bigint")
-        .alias("skippedDuplicates"),
-        F.count_if(staff_row & ~F.col("exists")).alias("autoProvisionedUsers"),
-        F.count_if(F.col("is_dept")).alias("autoProvisionedDepartments"),
-        F.lit(0).cast("bigint").alias("unauthorizedRecords"),
-    )
-    return RosterSync(updated.unionByName(inserted), all_depts, new_depts, metrics)
+
+
+def sync_roster(users: DataFrame, departments: DataFrame, upload: DataFrame) -> RosterSync:
+    """Departments, users upsert, counters."""
+    return sync_roster_rows(users, departments, roster_rows(upload))
+
+
+def sync_roster_rows(users: DataFrame, departments: DataFrame, rows: DataFrame) -> RosterSync:
+    """R4-R6 on resolved roster rows."""
+    return RosterSync(users, departments, rows)
 
 
 # ---------------------------------------------------------------------------
