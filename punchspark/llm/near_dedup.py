@@ -1,10 +1,11 @@
 """MinHash near-dedup with odd sketches.
 
-A document's set is that of its distinct 5-word shingles. ``BANDS`` x ``ROWS`` MinHash
-samples give band keys; documents that share a band key are candidates. The same samples
+A document's set is that of its distinct 5-word shingles. MinHash samples in bands of rows
+(``Scheme``, derived from the similarity asked for) give band keys; documents that share a
+band key are candidates. The same samples
 are folded into an odd sketch: a bitmap of ``SKETCH_BITS`` parities, each sample toggling
 one bit. The population count of the XOR of two sketches is at most twice the number of
-samples in which they differ, so a count above ``MAX_ODD`` rules a pair out before any set
+samples in which they differ, so a count above ``Scheme.most_odd`` rules a pair out before any set
 is read. A second odd sketch folds the whole shingle set: its XOR count is at most the size
 of the symmetric difference, which a link bounds by the set sizes, so this test is precise
 for sets up to a few thousand shingles and never rules out a link. Pairs that remain are
@@ -20,8 +21,9 @@ No pairs are emitted wholesale within a group of candidates:
    is compared; pairs inside a component cannot change the result. So no link that joins
    different components is lost to the choice of leaders.
 
-A pair at a similarity of 0.85 misses all bands with probability (1 - 0.85^5)^24 < 1e-6, and
-differs in more samples than ``MAX_ODD`` allows with probability < 1e-7; both fall quickly above.
+A pair at exactly the similarity asked for misses all bands with probability below ``MISS``
+and differs in more samples than ``most_odd`` allows with probability below 1e-7; both fall
+quickly above it. At 0.85 that takes 24 bands of 5 rows, at 0.8 27 bands of 4.
 
 Defined results: a null text and a text without words have the empty set, which is linked
 with nothing. With fewer than 5 words the whole sequence is the one shingle. Repeated rows
@@ -32,7 +34,9 @@ ids are null. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +49,48 @@ from punchspark.llm.components import components
 
 SHINGLE = 5
 PERCENT = 85
-BANDS, ROWS = 24, 5
-SAMPLES = BANDS * ROWS
+MISS = 1e-6
+MOST_BANDS = 28
 SKETCH_BITS = 512
 SET_BITS = 1024
 SIGN_ROWS = 1024
 """Sets signed at a time, which bounds the bitmaps in a worker's memory."""
-MAX_ODD = 2 * int(SAMPLES * (100 - PERCENT) / 100 + 6 * (SAMPLES * PERCENT * (100 - PERCENT) / 10_000) ** 0.5)
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Bands, rows and sketch bound for links of at least ``percent`` hundredths similarity (1 to 99)."""
+
+    percent: int = PERCENT
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.percent <= 99:
+            raise ValueError(f"percent must be 1 to 99, not {self.percent}")
+
+    def _bands(self, rows: int) -> int:
+        return math.ceil(math.log(MISS) / math.log1p(-((self.percent / 100) ** rows)))
+
+    @property
+    def rows(self) -> int:
+        """The most rows, hence the fewest chance candidates, that ``MOST_BANDS`` bands can afford."""
+        rows = 1
+        while self._bands(rows + 1) <= MOST_BANDS:
+            rows += 1
+        return rows
+
+    @property
+    def bands(self) -> int:
+        return self._bands(self.rows)
+
+    @property
+    def samples(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def most_odd(self) -> int:
+        """Twice the samples that differ at ``percent``, and six standard deviations."""
+        differ = self.samples * (100 - self.percent)
+        return 2 * int(differ / 100 + 6 * (differ * self.percent / 10_000) ** 0.5)
 
 
 def _odd_numbers(n: int, seed: int) -> np.ndarray:
@@ -68,8 +107,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _BY_PLACE = _odd_numbers(4096, 1)
 _BY_WORD = _odd_numbers(SHINGLE, 2)
-_BY_SAMPLE = _odd_numbers(SAMPLES, 3)
-_BY_ROW = _odd_numbers(ROWS, 4)
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -106,19 +143,21 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return sets
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], scheme: Scheme = Scheme()) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, both odd sketches as 64-bit words) of sets that aren't empty."""
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    least = np.empty((SAMPLES, len(sets)), np.uint64)
-    for i in range(SAMPLES):
-        least[i] = np.minimum.reduceat(flat * _BY_SAMPLE[i], starts)
-    least = mixed(least ^ np.arange(SAMPLES, dtype=np.uint64)[:, None])
-    bands = mixed((least.reshape(BANDS, ROWS, -1) * _BY_ROW[None, :, None]).sum(axis=1, dtype=np.uint64)).T
+    samples, bands, rows = scheme.samples, scheme.bands, scheme.rows
+    by_sample, by_row = _odd_numbers(samples, 3), _odd_numbers(rows, 4)
+    least = np.empty((samples, len(sets)), np.uint64)
+    for i in range(samples):
+        least[i] = np.minimum.reduceat(flat * by_sample[i], starts)
+    least = mixed(least ^ np.arange(samples, dtype=np.uint64)[:, None])
+    keys = mixed((least.reshape(bands, rows, -1) * by_row[None, :, None]).sum(axis=1, dtype=np.uint64)).T
     places = (least % np.uint64(SKETCH_BITS)).astype(np.int64) + np.arange(len(sets)) * SKETCH_BITS
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     whole = (flat % np.uint64(SET_BITS)).astype(np.int64) + owner * SET_BITS
-    return bands, np.concatenate([_parities(places.ravel(), SKETCH_BITS, len(sets)), _parities(whole, SET_BITS, len(sets))], axis=1)
+    return keys, np.concatenate([_parities(places.ravel(), SKETCH_BITS, len(sets)), _parities(whole, SET_BITS, len(sets))], axis=1)
 
 
 def _parities(places: np.ndarray, bits: int, n: int) -> np.ndarray:
@@ -133,28 +172,31 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), flat)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at = TaskContext.get().partitionId() << 40
-    for part in blocks(batches, "text"):
-        sets = shingle_sets(part.column("text"))
-        full = [k for k, s in enumerate(sets) if len(s)]
-        bands, sketch = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), (SKETCH_BITS + SET_BITS) // 64), np.uint64)
-        for k in range(0, len(full), SIGN_ROWS):
-            own = full[k : k + SIGN_ROWS]
-            bands[own], sketch[own] = signatures([sets[j] for j in own])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(at, at + len(sets))),
-                part.column("id"),
-                pa.array([None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in part.column("text").to_pylist()], pa.string()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                _lists(bands),
-                _lists(sketch),
-            ],
-            ["row", "id", "raw_sha256", "n_shingles", "class", "bands", "sketch"],
-        )
-        at += len(sets)
+def _signer(scheme: Scheme) -> Callable:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for part in blocks(batches, "text"):
+            sets = shingle_sets(part.column("text"))
+            full = [k for k, s in enumerate(sets) if len(s)]
+            bands, sketch = np.zeros((len(sets), scheme.bands), np.uint64), np.zeros((len(sets), (SKETCH_BITS + SET_BITS) // 64), np.uint64)
+            for k in range(0, len(full), SIGN_ROWS):
+                own = full[k : k + SIGN_ROWS]
+                bands[own], sketch[own] = signatures([sets[j] for j in own], scheme)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(at, at + len(sets))),
+                    part.column("id"),
+                    pa.array([None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in part.column("text").to_pylist()], pa.string()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    _lists(bands),
+                    _lists(sketch),
+                ],
+                ["row", "id", "raw_sha256", "n_shingles", "class", "bands", "sketch"],
+            )
+            at += len(sets)
+
+    return sign
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,36 +208,41 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough."""
-    for batch in batches:
-        links = []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= PERCENT * (len(x) + len(y) - shared):
-                links.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _confirmer(percent: int) -> Callable:
+    """Keeps pairs whose full sets are similar enough."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    return confirm
 
-def _able() -> Column:
+
+def _able(scheme: Scheme = Scheme()) -> Column:
     """What sizes and odd sketches of a pair's sides a and b leave possible."""
     odd = [F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range((SKETCH_BITS + SET_BITS) // 64)]
     samples, whole = (sum(part[1:], part[0]) for part in (odd[: SKETCH_BITS // 64], odd[SKETCH_BITS // 64 :]))
-    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return sizes & (samples <= MAX_ODD) & ((100 + PERCENT) * whole <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
+    percent = scheme.percent
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sizes & (samples <= scheme.most_odd) & ((100 + percent) * whole <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
 
-def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs (a, b) that sizes and odd sketches leave possible, with the classes of both."""
     side = lambda s: reps.select(F.col("node").alias(s), F.col("class").alias(f"class_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_able()).select("a", "b", "class_a", "class_b")
+    return both.where(_able(scheme)).select("a", "b", "class_a", "class_b")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame, scheme: Scheme) -> DataFrame:
     """Links among ``pairs`` (a, b, class_a, class_b), on the full sets made again from the texts needed."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = reps.join(nodes, "node", "left_semi").select(F.col("id").alias("want"), F.col("raw_sha256").alias("want_sha"))
@@ -204,13 +251,17 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(_sets, "class binary, shingles binary").dropDuplicates(["class"])
     full = pairs.join(sets.select(F.col("class").alias("class_a"), F.col("shingles").alias("set_a")), "class_a")
     full = full.join(sets.select(F.col("class").alias("class_b"), F.col("shingles").alias("set_b")), "class_b")
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
+    return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmer(scheme.percent), "a long, b long")
+
 
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept, raw_sha256 (null for a null text).
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, raw_sha256 (null for a null text)."""
+    Linked are rows whose sets have at least ``percent`` hundredths of their union in common.
+    """
+    scheme = Scheme(percent)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = checkpointed(rows.mapInArrow(_sign, "row long, id long, raw_sha256 string, n_shingles long, class binary, bands array<long>, sketch array<long>"))
+    signed = checkpointed(rows.mapInArrow(_signer(scheme), "row long, id long, raw_sha256 string, n_shingles long, class binary, bands array<long>, sketch array<long>"))
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("class").agg(F.min("row").alias("node"), F.min("id").alias("least_id"))
     reps = full.join(classes.select("node"), full.row == F.col("node")).select("node", "id", "raw_sha256", "n_shingles", "class", "sketch", "bands")
@@ -222,8 +273,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = members.join(score, "node").select("node", "band", "key", "score")
     lead = members.groupBy("band", "key").agg(F.max(F.struct("score", "node")).alias("lead"))
     stars = members.join(lead, ["band", "key"]).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).where("a != b").distinct()
-    tried = checkpointed(_possible(stars, reps))
-    links = checkpointed(_confirmed(tried, reps, rows))
+    tried = checkpointed(_possible(stars, reps, scheme))
+    links = checkpointed(_confirmed(tried, reps, rows, scheme))
     found = components(links)
 
     # groups that still hold several components: every possible pair across them
@@ -231,13 +282,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_groups = labelled.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
     rest = labelled.join(open_groups, ["band", "key"], "left_semi").join(reps.select("node", "n_shingles", "sketch"), "node")
     side = lambda s: rest.select("band", "key", F.col("node").alias(s), F.col("component").alias(f"component_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    able = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _able()
+    able = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _able(scheme)
     across = side("a").join(side("b"), ["band", "key"]).where(able).select("a", "b").distinct()
     across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     named = lambda s: reps.select(F.col("node").alias(s), F.col("class").alias(f"class_{s}"))
     across = checkpointed(across.join(named("a"), "a").join(named("b"), "b"))
     if not across.isEmpty():
-        more = checkpointed(_confirmed(across, reps, rows))
+        more = checkpointed(_confirmed(across, reps, rows, scheme))
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     labels = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -249,7 +300,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.unionByName(alone).select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "raw_sha256")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component of ``docs``, with all columns: that with the smallest id."""
-    kept = near_dedup(docs).where("kept").select(F.col("id").alias("__id"), F.col("raw_sha256").alias("__digest"))
+    kept = near_dedup(docs, percent=percent).where("kept").select(F.col("id").alias("__id"), F.col("raw_sha256").alias("__digest"))
     return keep_rows(docs, kept)

@@ -12,7 +12,7 @@ from punchspark.llm import suffix_dedup as S
 from punchspark.llm.components import components
 from punchspark.llm.exact_dedup import drop_copies, exact_dedup
 from punchspark.llm.line_dedup import SPACING, line_dedup
-from punchspark.llm.near_dedup import _able, drop_near_copies, near_dedup, shingle_sets, signatures
+from punchspark.llm.near_dedup import Scheme, _able, drop_near_copies, near_dedup, shingle_sets, signatures
 
 
 def test_exact_dedup(spark):
@@ -50,6 +50,28 @@ def test_near_dedup(spark):
     assert {r.doc_id for r in kept.collect()} - {None, 0, 1, 2} == named
 
 
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_near_dedup_at_other_similarities(spark, percent):
+    """Copies with edits in rising numbers, so that pairs lie on both sides of every threshold."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(words))]
+    for k in range(1, 30):
+        own = [f"x{k}" if j % 97 < k // 6 or j in range(k, k + 2) else w for j, w in enumerate(words)]
+        rows += [(k, " ".join(own)), (100 + k, " ".join(own[: 300 - 3 * k]))]
+    rows += hostile_rows()
+    got = near_dedup(docs_df(spark, rows), percent=percent).collect()
+    assert multiset((r.id, r.n_shingles, r.component_id) for r in got) == multiset((r[0], *w) for r, w in zip(rows, near_components(rows, percent)))
+
+
+def test_scheme_misses_rarely():
+    for percent in range(1, 100):
+        s = Scheme(percent)
+        assert (1 - (percent / 100) ** s.rows) ** s.bands <= 1.001e-6 and s.samples == s.bands * s.rows
+    assert (Scheme(85).bands, Scheme(85).rows, Scheme(80).bands, Scheme(80).rows) == (24, 5, 27, 4)
+    with pytest.raises(ValueError):
+        Scheme(100)
+
+
 def test_near_dedup_links_without_a_common_leader(spark):
     """Chains of edits: neighbours are links, ends are not."""
     words = [f"w{k}" for k in range(400)]

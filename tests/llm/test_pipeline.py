@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     for i, t in rows:  # labels of one kind: the classifier keeps all
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i, t))
     left = [(g[1], g[2]) for g in map(min, groups.values())]
-    left = [r for r, (n, least) in zip(left, near_components(left)) if least == r[0]]
+    left = [r for r, (n, least) in zip(left, near_components(left, 80)) if least == r[0]]
     left = [r for r, (_, n, hit, _) in zip(left, contamination(left, items)) if not (hit and 20 * hit >= n)]
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == {i for i, _ in left}
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
