@@ -140,6 +140,25 @@ def of_department(punches: DataFrame, users: DataFrame, departments: DataFrame,
     return punches.join(broadcast_if_small(ids), group_id(F.col("EmployeeNo")) == F.col("__id"), "left_semi")
 
 
+def _full_name() -> F.Column:
+    return js_trim(F.concat(null_text_to_empty(F.col("FirstName")), F.lit(" "), null_text_to_empty(F.col("LastName"))))
+
+
+def of_search(punches: DataFrame, users: DataFrame, search: str | None) -> DataFrame:
+    """B7 below the aggregate: punches of the groups whose ID or user's name holds ``search``.
+
+    Whole groups are kept, so the aggregate is unchanged. A text that the labels of
+    groups without a name hold can match any group, and then all punches stay.
+    """
+    text = (search or "").strip().lower()
+    if not text or any(text in label.lower() for label in (P.UNAUTHORIZED, P.B_UNKNOWN_NAME)):
+        return punches
+    ids = users.where(F.lower(_full_name()).contains(text)).select(group_id(F.col("EmployeeNo")).alias("__id")).distinct()
+    own = group_id(F.col("EmployeeNo"))
+    marked = punches.join(broadcast_if_small(ids), own == F.col("__id"), "left")
+    return marked.where(F.col("__id").isNotNull() | F.lower(own).contains(text)).drop("__id")
+
+
 def classify_b(groups: DataFrame, users: DataFrame, departments: DataFrame, pol: P.ShiftPolicy = P.POLICY_B) -> DataFrame:
     """Display fallbacks, single-punch rules, status and presentation."""
     d = departments.select("DepartmentID", F.col("DepartmentName").alias("DeptName"))
@@ -185,7 +204,7 @@ def classify_b(groups: DataFrame, users: DataFrame, departments: DataFrame, pol:
     )
     fname = null_text_to_empty(F.col("FirstName"))
     lname = null_text_to_empty(F.col("LastName"))
-    full = js_trim(F.concat(fname, F.lit(" "), lname))
+    full = _full_name()
     name = (
         F.when(full != "", full)
         .when(unauthorized, F.lit(P.UNAUTHORIZED))
@@ -248,8 +267,9 @@ def daily_report_b(
     search: str | None = None,
     pol: P.ShiftPolicy = P.POLICY_B,
 ) -> DataFrame:
-    """Report B records with B7 filters; dates and department reach below the aggregate."""
-    groups = daily_groups(of_department(punches, users, departments, department), from_date, to_date, users)
+    """Report B records with B7 filters; dates, department and search reach below the aggregate."""
+    wanted = of_search(of_department(punches, users, departments, department), users, search)
+    groups = daily_groups(wanted, from_date, to_date, users)
     records = classify_b(groups, users, departments, pol)
     if any(x and x != "All" for x in (department, status)) or (search or "").strip():
         # filters on derived columns: evaluate them on the finished rows (no re-inlining)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from punchspark import policy as P
 from punchspark.functions.text import js_trim
 from punchspark.functions.timefmt import cents_fixed2, cents_to_double, half_up_ratio, js_int_prefix, minute_of_day
+from punchspark.operators.roster import dense_index
 
 
 def summary_widgets(records: DataFrame) -> DataFrame:
@@ -137,20 +138,32 @@ def sort_key(column: str) -> Column:
     return F.lower(js_trim(F.coalesce(F.col(column).cast("string"), F.lit(""))))
 
 
-def sort_records(records: DataFrame, column: str | None = None, direction: str = "asc") -> DataFrame:
-    """Sort by one grid column; ties fall back to the default order (date desc, ID)."""
+def sort_order(column: str | None = None, direction: str = "asc") -> list[Column]:
+    """D8 order: one grid column, ties by the default order (date desc, ID)."""
     tie = [F.col("Date").desc(), F.col("EmployeeID").asc()]
     if column is None:
-        return records.orderBy(*tie)
+        return tie
     if column not in SORTABLE:
         raise ValueError(f"unknown sort column {column!r}")
     key = sort_key(column)
-    return records.orderBy(key.desc() if direction == "desc" else key.asc(), *tie)
+    return [key.desc() if direction == "desc" else key.asc(), *tie]
+
+
+def sort_records(records: DataFrame, column: str | None = None, direction: str = "asc") -> DataFrame:
+    """Records in ``sort_order``."""
+    return records.orderBy(*sort_order(column, direction))
+
+
+TOP_ROWS = 10_000
+"""Rows up to which a page is the tail of a top-k, held by one task; deeper pages go by position."""
 
 
 def page(records: DataFrame, n: int = 1, size: int = 10, column: str | None = None, direction: str = "asc") -> DataFrame:
-    """Rows (n-1)*size+1 .. n*size of the sorted records (a top-k, no full collect)."""
+    """Rows (n-1)*size+1 .. n*size of the sorted records, at any depth without a gather of what lies before."""
     n = max(1, int(n))
+    if n * size > TOP_ROWS:
+        placed = dense_index(records, sort_order(column, direction), "__place", dtype="bigint")
+        return placed.where(F.col("__place").between((n - 1) * size + 1, n * size)).orderBy("__place").drop("__place")
     return sort_records(records, column, direction).offset((n - 1) * size).limit(size)
 
 

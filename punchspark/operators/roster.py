@@ -25,8 +25,8 @@ from punchspark.sources.aliases import cells_for, resolve
 # ---------------------------------------------------------------------------
 
 
-def dense_index(df: DataFrame, order: Column, out: str = "idx", partitions: int | None = None) -> DataFrame:
-    """1-based position of each row by ``order`` (unique), without a global window.
+def dense_index(df: DataFrame, order: Column | list[Column], out: str = "idx", partitions: int | None = None, dtype: str = "int") -> DataFrame:
+    """1-based position of each row by ``order`` (unique; sort keys may be descending), without a global window.
 
     Rows are range-partitioned and sorted on ``order``; the partition id and the
     position inside the partition come from ``monotonically_increasing_id`` (upper
@@ -35,11 +35,11 @@ def dense_index(df: DataFrame, order: Column, out: str = "idx", partitions: int
     checkpointed to the shared checkpoint folder so both passes see the same rows
     (and lineage is cut).
     """
-    ranged = df.withColumn("__ord", order)
+    keys = order if isinstance(order, list) else [order]
     # Without an explicit count AQE may coalesce the ranges; merged partitions are
     # adjacent ranges, so partition order still follows ``order``.
-    ranged = ranged.repartitionByRange(partitions, F.col("__ord")) if partitions else ranged.repartitionByRange(F.col("__ord"))
-    staged = checkpointed(ranged.sortWithinPartitions("__ord").withColumn("__mono", F.monotonically_increasing_id()))
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    staged = checkpointed(ranged.sortWithinPartitions(*keys).withColumn("__mono", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("__mono"), 33)
     counts = staged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
@@ -52,8 +52,8 @@ def dense_index(df: DataFrame, order: Column, out: str = "idx", partitions: int
     return (
         staged.withColumn("__pid", pid)
         .join(F.broadcast(offsets), "__pid")
-        .withColumn(out, (F.col("__off") + local).cast("int"))
-        .drop("__ord", "__pid", "__mono", "__off")
+        .withColumn(out, (F.col("__off") + local).cast(dtype))
+        .drop("__pid", "__mono", "__off")
     )
 
 

@@ -147,3 +147,25 @@ def test_employee_search_escapes_wildcards(spark):
     assert sorted(r["EmployeeNo"] for r in A.by_employee(users, "a_1").collect()) == ["A_1"]
     assert sorted(r["EmployeeNo"] for r in A.by_employee(users, "a_1", raw=True).collect()) == ["AB1", "A_1"]
     assert A.by_employee(users, "  ").count() == 2
+
+
+def test_deep_pages_by_position_equal_the_sorted_pages(spark, tables, monkeypatch):
+    punches, users, depts = tables
+    rec = A.daily_attendance(punches, users, depts)
+    for column, direction in ((None, "asc"), ("TotalHours", "desc"), ("Name", "asc"), ("Date", "desc")):
+        want = [D.page(rec, n, 3, column, direction).collect() for n in range(1, 6)]
+        with monkeypatch.context() as m:
+            m.setattr(D, "TOP_ROWS", 0)
+            deep = [D.page(rec, n, 3, column, direction) for n in range(1, 6)]
+            assert deep[0].columns == rec.columns
+            assert [p.collect() for p in deep] == want
+            assert "TakeOrderedAndProject" not in deep[0]._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("search", ["e0", "unauth", "known", " ", "zzz", "a", "E01", "unknown employee"])
+def test_search_below_the_aggregate_keeps_every_hit(spark, tables, search):
+    punches, users, depts = tables
+    cols = list(B.RECORD_COLUMNS)
+    whole = B.filter_b(B.daily_report_b(punches, users, depts), search=search).select(*cols).collect()
+    got = B.daily_report_b(punches, users, depts, search=search).select(*cols).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, whole), key=str)
