@@ -7,6 +7,13 @@ in the corpus stays at its first place (smallest id, then first line) and is rem
 others. Repeats are found by hash on light rows, and confirmed on the bytes of the chunks:
 the grouping key that decides is the chunk itself.
 
+With ``every_pair`` (the registered query) the finest nested level is used: overlapping chunks
+of two lines at every line, so that no repeat is lost for lying between two boundaries. A line
+is removed if it lies in a pair of neighbouring lines that also occurs earlier. A longer chunk
+that repeats is made of such pairs, and pairs that touch are joined, so this takes in every
+coarser level and the extension of a repeat to both sides. The first place of a line's text
+in the corpus always stays. ``n_removed_chunks`` then counts runs of removed lines.
+
 Groups of equal chunks are aggregated map-side (count and smallest place), never listed; a
 hot chunk's places are joined to one row, which adaptive execution splits.
 
@@ -60,7 +67,32 @@ def chunks(rows: DataFrame) -> DataFrame:
     return pairs.select("id", "tie", F.inline(made))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _repeated_chunks(rows: DataFrame) -> DataFrame:
+    """(id, tie, start, end, key, chunk) of the chunks of two lines or more whose hash occurs more than once."""
+    many = chunks(rows).where("end > start").withColumn("key", F.xxhash64("chunk"))
+    repeated = many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return many.join(repeated, "key", "left_semi")
+
+
+def _repeated_pairs(rows: DataFrame) -> DataFrame:
+    """The same of all pairs of neighbouring lines; texts are cut for the pairs whose hash is repeated only."""
+    lines = rows.select("id", "tie", F.split("text", "\n", -1).alias("lines"))
+    hashed = F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.struct(i.alias("start"), F.xxhash64(F.element_at("lines", i), F.element_at("lines", i + 1)).alias("key")))
+    light = lines.where(F.size("lines") > 1).select("id", "tie", F.inline(hashed))
+    repeated = light.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    wanted = light.join(repeated, "key", "left_semi").groupBy("id", "tie").agg(F.collect_set(F.struct("start", "key")).alias("wanted"))
+    cut = F.transform("wanted", lambda w: F.struct(w["start"].alias("start"), (w["start"] + 1).alias("end"), w["key"].alias("key"), F.array_join(F.slice(F.col("lines"), w["start"], 2), "\n").alias("chunk")))
+    return lines.join(wanted, ["id", "tie"]).select("id", "tie", F.inline(cut))
+
+
+def _runs() -> Column:
+    """Disjoint spans, in order, of the sorted ``spans`` of two lines that touch or overlap."""
+    begins = F.filter("spans", lambda s, i: (i == 0) | (s["start"] > F.get("spans", i - 1)["end"] + 1))
+    ends = F.filter("spans", lambda s, i: (i == F.size("spans") - 1) | (F.get("spans", i + 1)["start"] > s["end"] + 1))
+    return F.zip_with(begins, ends, lambda b, e: F.struct(b["start"].alias("start"), e["end"].alias("end")))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_pair: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed_chunks, n_removed_lines, kept_text (null for a null text)."""
     text = F.coalesce("given", F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("given"))
@@ -68,12 +100,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select("doc_id", "given", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), tie.alias("tie"), text.alias("text"))
 
     # rows that repeat id and text are one place
-    many = chunks(rows.select("id", "tie", "text")).where("end > start").withColumn("key", F.xxhash64("chunk"))
-    repeated = many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    places = checkpointed(many.join(repeated, "key", "left_semi"))
+    texts = rows.select("id", "tie", "text")
+    places = checkpointed(_repeated_pairs(texts) if every_pair else _repeated_chunks(texts))
     first = places.groupBy("key", "chunk").agg(F.min(F.struct("id", "tie", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = places.join(first, ["key", "chunk"]).where(F.struct("id", "tie", "start") != F.col("first"))
     spans = later.select("id", "tie", "start", "end").distinct().groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    if every_pair:
+        spans = spans.select("id", "tie", _runs().alias("spans"))
 
     joined = rows.join(spans, ["id", "tie"], "left").select("doc_id", "given", F.split("text", "\n", -1).alias("lines"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     gaps = joined.select(

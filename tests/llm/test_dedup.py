@@ -161,6 +161,35 @@ def test_line_dedup(spark):
     assert sum(r.n_removed_lines for r in got) > 0
 
 
+def paired_lines(rows):
+    """(id, lines, removed, runs, kept text) where every line in a pair of lines that also occurs earlier goes."""
+    seen, out = set(), []
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest())):
+        lines = (t or "").split("\n")
+        gone = [False] * len(lines)
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if pair in seen:
+                gone[k] = gone[k + 1] = True
+            seen.add(pair)
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out += [(i, len(lines), sum(gone), runs, None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g))] * rows.count((i, t))
+    return out
+
+
+def test_line_dedup_removes_every_repeated_run(spark):
+    """Short passages amid other lines, which hold no whole chunk of the hash boundaries."""
+    rng = np.random.default_rng(8)
+    passages = [[f"p{p} {k}" for k in range(2 + p % 5)] for p in range(40)]
+    rows = hostile_rows() + [(250, "\n\n\na\n"), (251, "a\n\n\n"), (252, "\na")]
+    for k in range(80):
+        rows.append((300 + k, "\n".join([f"own {k} a", *passages[k % 40], f"own {k} b", *passages[rng.integers(40)][1:], f"own {k} c"])))
+    got = line_dedup(docs_df(spark, rows), every_pair=True).collect()
+    assert multiset((r.doc_id, r.n_lines, r.n_removed_lines, r.n_removed_chunks, r.kept_text) for r in got) == multiset(paired_lines(rows))
+    kept = {x for r in got for x in (r.kept_text or "").split("\n")}
+    assert kept >= {x for _, t in rows for x in (t or "").split("\n")}
+    assert all(r.n_removed_lines >= 2 + (r.doc_id - 300) % 5 for r in got if (r.doc_id or 0) >= 340)
+
+
 @pytest.mark.parametrize("operator", [exact_dedup, near_dedup, line_dedup, S.suffix_dedup, drop_copies, drop_near_copies])
 def test_empty_table(spark, operator):
     assert operator(docs_df(spark, [])).count() == 0
