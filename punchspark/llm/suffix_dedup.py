@@ -17,7 +17,13 @@ one group, and each group gets its own suffix array:
    their successors are sorted directly, the others are induced by one scan over the buckets.
    Common prefixes of neighbours in the array then give the classes of equal windows, and all
    but the first place of a class are removed.
-4. *Collect.* The removed spans of a document are joined to its text.
+4. *Deal crowded grams again.* A line of 32 to 99 bytes that many documents share amid
+   different text puts about one context a document on the same gram. Above ``GROUP`` contexts
+   (or ``BLOCK_GROUP`` in one block of text, whose contexts are then spread by context hash and
+   only a mark goes to the gram's bucket) all windows of the gram are dealt by their own digest
+   (128 bits), with the first place kept in each block of text and once more after the shuffle.
+   No suffix array then holds more than ``GROUP`` contexts of a gram.
+5. *Collect.* The removed spans of a document are joined to its text.
 
 Defined results: a null text counts as empty; texts under 100 bytes lose nothing. Places are
 ordered by (id, digest of the text, offset), a null id last; of rows that repeat id and text
@@ -44,7 +50,13 @@ BLOCK = 32 << 20
 """Bytes of text in which equal contexts are pre-aggregated."""
 CHUNK = 1 << 20
 SORT_BYTES = 1 << 20
-"""Bytes of contexts that go into one suffix array; one gram's contexts are never parted."""
+"""Bytes of contexts that go into one suffix array; it takes whole grams, each of ``GROUP`` contexts at most."""
+GROUP = 1024
+"""Contexts of one gram up to which they share a suffix array; above it, their windows are dealt one by one."""
+BLOCK_GROUP = 64
+"""The same within one block of text."""
+HELD = 1 << 18
+"""Entries of a bucket that are held before grams above the bound leave it."""
 BUCKETS = 1024
 
 _DRAWN = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,19 +157,37 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return e
 
 
+def _by_bucket(entries: np.ndarray, by: str, buckets: int, kind: int) -> list[tuple[int, int, bytes]]:
+    """(bucket, kind, packed entries) by the column that chooses the bucket."""
+    if not len(entries):
+        return []
+    bucket = (entries[by] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    entries, bucket = entries[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return [(int(bucket[c]), kind, _packed(part)) for c, part in zip(cuts, np.split(entries, cuts[1:]))]
+
+
+def _per_gram(entries: np.ndarray) -> np.ndarray:
+    """For each entry, the number of entries of its gram; sorted by gram."""
+    cuts = np.flatnonzero(np.concatenate([[True], entries["gram"][1:] != entries["gram"][:-1]])) if len(entries) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(cuts, len(entries)))
+    return np.repeat(sizes, sizes)
+
+
 def _deal(buckets: int):
+    """Kind 0: removed spans; 1: contexts, by gram; 2: contexts of crowded grams, by context; 3: a mark of each such gram, by gram."""
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", BLOCK):
             data, offsets = text_bytes(part.column("text"))
             ids, ties = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie"))
             first, later = first_places(contexts(data, offsets, ids, ties))
             later = _spans(later)
-            bucket = (first["gram"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            first, bucket = first[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-            parts = np.split(first, cuts[1:]) if len(bucket) else []
-            rows = [(int(bucket[c]), 1, _packed(p)) for c, p in zip(cuts, parts)]
+            crowded = _per_gram(first) > BLOCK_GROUP
+            marks = first[crowded]
+            marks = marks[np.concatenate([[True], marks["gram"][1:] != marks["gram"][:-1]])] if len(marks) else marks
+            rows = _by_bucket(first[~crowded], "gram", buckets, 1) + _by_bucket(first[crowded], "context", buckets, 2) + _by_bucket(marks, "gram", buckets, 3)
             if len(later):
                 rows.append((int(later["id"][0] % buckets), 0, _packed(later)))
             if rows:
@@ -173,33 +203,56 @@ def _entry_batch(e: np.ndarray, kind: int) -> pa.RecordBatch:
     )
 
 
+class _Bucket:
+    """The entries of one bucket, of which only grams within the bound stay until its end."""
+
+    def __init__(self):
+        self.own, self.spread, self.crowded = [], [], np.empty(0, np.uint64)
+        self.size, self.limit = 0, HELD
+
+    def add(self, kind: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if kind == 3:
+            self.crowded = np.union1d(self.crowded, entries["gram"])
+            return
+        (self.own if kind == 1 else self.spread).append(entries)
+        self.size += len(entries)
+        if self.size >= self.limit:
+            yield from self.settle(False)
+
+    def settle(self, last: bool = True) -> Iterator[pa.RecordBatch]:
+        """Kind 0: removed spans; 1: contexts for the suffix arrays (at the end); 2: contexts whose windows are dealt again."""
+        for held in (self.spread, self.own):
+            first, later = first_places(np.concatenate(held)) if held else (np.empty(0, ENTRY),) * 2
+            if len(later):
+                yield _entry_batch(_spans(later), 0)
+            if held is self.spread:
+                again, rest = first, first[:0]
+            else:
+                count = _per_gram(first)
+                self.crowded = np.union1d(self.crowded, first["gram"][count > GROUP])
+                crowded = np.isin(first["gram"], self.crowded)
+                again, rest = first[crowded], first[~crowded]
+                if last and (shared := count[~crowded] > 1).any():
+                    yield _entry_batch(rest[shared], 1)
+            if len(again):
+                yield _entry_batch(again, 2)
+        self.spread, self.own, self.size = [], [rest], len(rest)
+        self.limit = max(HELD, 2 * self.size)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: removed spans; kind 1: first places of different contexts that share a gram. Rows come bucket by bucket."""
-
-    def settle(held: list) -> Iterator[pa.RecordBatch]:
-        first, later = first_places(np.concatenate(held))
-        shared = np.zeros(len(first), bool)
-        same = first["gram"][1:] == first["gram"][:-1]
-        shared[1:] |= same
-        shared[:-1] |= same
-        if len(later):
-            yield _entry_batch(_spans(later), 0)
-        if shared.any():
-            yield _entry_batch(first[shared], 1)
-
-    held, bucket = [], None
+    """Kind 0: removed spans; kind 1: first places of different contexts that share a gram; kind 2: those of crowded grams. Rows come bucket by bucket."""
+    held, bucket = _Bucket(), None
     for batch in batches:
         for b, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob"))):
             if kind == 0:
                 yield _entry_batch(_unpacked(blob), 0)
                 continue
-            if b != bucket and held:
-                yield from settle(held)
-                held = []
-            bucket = b
-            held.append(_unpacked(blob))
-    if held:
-        yield from settle(held)
+            if b != bucket:
+                yield from held.settle()
+                held, bucket = _Bucket(), b
+            yield from held.add(kind, _unpacked(blob))
+    yield from held.settle()
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -299,36 +352,65 @@ def repeated_windows(strings: list[bytes], ids: np.ndarray, ties: np.ndarray, st
     return _spans(out)
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted contexts of each document."""
-    for part in blocks(batches, "text"):
-        ids, ties, wants = (part.column(c).to_pylist() for c in ("id", "tie", "wants"))
-        out = []
-        for i, tie, wanted, text in zip(ids, ties, wants, part.column("text").to_pylist()):
-            raw = text.encode()
-            out += [(w["gram"], i, tie, w["start"], raw[w["start"] : w["end"]]) for w in wanted]
-        if out:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["gram", "id", "tie", "start", "bytes"])
+def _windows(raw: bytes, at: int, doc: int, tie: int) -> np.ndarray:
+    """ENTRY records of the windows of a context at ``at``; gram and context hold the window's digest."""
+    n = len(raw) - LENGTH + 1
+    e = np.empty(n, ENTRY)
+    digests = np.frombuffer(b"".join(hashlib.blake2b(raw[k : k + LENGTH], digest_size=16).digest() for k in range(n)), "<u8").reshape(n, 2)
+    e["gram"], e["context"], e["id"], e["tie"] = digests[:, 0], digests[:, 1], doc, tie
+    e["start"] = at + np.arange(n)
+    e["end"] = e["start"] + LENGTH
+    return e
+
+
+def _fetch(buckets: int):
+    """Kind 0: removed spans; 1: the bytes of the wanted contexts of each document; 2: windows of crowded grams, gram being their bucket."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text"):
+            ids, ties, wants = (part.column(c).to_pylist() for c in ("id", "tie", "wants"))
+            out, single = [], []
+            for i, tie, wanted, text in zip(ids, ties, wants, part.column("text").to_pylist()):
+                raw = text.encode()
+                for w in wanted:
+                    own = raw[w["start"] : w["end"]]
+                    if w["kind"] == 1:
+                        out.append((1, w["gram"], i, tie, w["start"], own))
+                    else:
+                        single.append(_windows(own, w["start"], i, tie))
+            if single:
+                first, later = first_places(np.concatenate(single))
+                out += [(kind, b, 0, 0, 0, blob) for b, kind, blob in _by_bucket(first, "gram", buckets, 2)]
+                if len(later):
+                    out.append((0, int(later["id"][0] % buckets), 0, 0, 0, _packed(_spans(later))))
+            if out:
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["kind", "gram", "id", "tie", "start", "bytes"])
+
+    return fetch
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed spans, from suffix arrays over the contexts of whole grams; rows come gram by gram."""
+    """Removed spans, from suffix arrays over the contexts of whole grams, and from equal windows; rows come by kind and gram."""
 
     def settle(rows: list) -> Iterator[pa.RecordBatch]:
-        _, ids, ties, starts, strings = zip(*rows)
-        spans = repeated_windows(list(strings), np.array(ids), np.array(ties), np.array(starts))
+        if rows[0][0] == 1:
+            _, _, ids, ties, starts, strings = zip(*rows)
+            spans = repeated_windows(list(strings), np.array(ids), np.array(ties), np.array(starts))
+        else:
+            entries = np.concatenate([_unpacked(r[5]) for r in rows])
+            spans = _spans(entries if rows[0][0] == 0 else first_places(entries)[1])
         if len(spans):
             yield _entry_batch(spans, 0).select(["id", "tie", "start", "end"])
 
     held, size = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "id", "tie", "start", "bytes"))):
-            if size >= SORT_BYTES and row[0] != held[-1][0]:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "gram", "id", "tie", "start", "bytes"))):
+            if held and (row[0] != held[-1][0] or row[1] != held[-1][1] and size >= SORT_BYTES):
                 yield from settle(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[4])
+            size += len(row[5])
     if held:
         yield from settle(held)
 
@@ -375,10 +457,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = checkpointed(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "kind int, gram long, id long, tie long, start long, end long"))
 
     # texts are dealt out by document once; both joins below use that exchange
-    wants = met.where("kind = 1").groupBy("id", "tie").agg(F.collect_list(F.struct("gram", "start", "end")).alias("wants"))
+    wants = met.where("kind > 0").groupBy("id", "tie").agg(F.collect_list(F.struct("kind", "gram", "start", "end")).alias("wants"))
     texts = rows.select("doc_id", "id", "tie", "was_null", "text").repartition("id", "tie")
-    fetched = texts.join(wants, ["id", "tie"]).mapInArrow(_fetch, "gram long, id long, tie long, start long, bytes binary")
-    sorted_out = fetched.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort, "id long, tie long, start long, end long")
+    fetched = texts.join(wants, ["id", "tie"]).mapInArrow(_fetch(buckets), "kind int, gram long, id long, tie long, start long, bytes binary")
+    sorted_out = fetched.repartition("kind", "gram").sortWithinPartitions("kind", "gram").mapInArrow(_sort, "id long, tie long, start long, end long")
     removed = met.where("kind = 0").select("id", "tie", "start", "end").unionByName(sorted_out)
     spans = removed.groupBy("id", "tie").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
     copies = texts.withColumn("copy", F.row_number().over(Window.partitionBy("id", "tie").orderBy(F.lit(0))))

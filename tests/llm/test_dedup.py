@@ -126,6 +126,40 @@ def test_suffix_dedup(spark):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got if r.kept is not None)
 
 
+def crowded_rows():
+    """A line of 70 bytes in most documents, amid text that differs, and some passages around it that repeat."""
+    rng = np.random.default_rng(6)
+    line = "shared header " * 5
+    part = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    rows = [(k, part(120) + line + part(120)) for k in range(1500)]
+    for k in range(200):
+        other = rows[int(rng.integers(1500))][1]
+        rows.append((2000 + k, part(30) + other[90 - k % 60 : 190 + k % 60] + part(30)))
+    return rows + [(5000, line), (5001, part(99) + line), (None, part(10) + rows[7][1])]
+
+
+def test_contexts_of_a_crowded_gram_are_parted():
+    import pyarrow as pa
+
+    ids, texts = zip(*crowded_rows()[:-1])
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([0] * len(ids)), pa.array(texts)], ["id", "tie", "text"])
+    for pieces in ([batch], [batch.slice(k, 20) for k in range(0, len(ids), 20)]):
+        dealt = [r for out in S._deal(8)(iter(pieces)) for r in out.to_pylist()]
+        dealt = pa.RecordBatch.from_pylist(sorted(dealt, key=lambda r: r["bucket"]))
+        met = [r for out in S._meet(iter([dealt])) for r in out.to_pylist()]
+        grams = [r["gram"] for r in met if r["kind"] == 1]
+        assert max((grams.count(g) for g in set(grams)), default=0) <= S.GROUP
+        assert len({(r["id"], r["start"]) for r in met if r["kind"] == 2}) > S.GROUP
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 90])
+def test_suffix_dedup_of_a_line_in_most_documents(spark, partitions):
+    """Crowded in a block of text, in some blocks only, and in none but altogether."""
+    rows = crowded_rows()
+    got = S.suffix_dedup(docs_df(spark, rows).repartition(partitions)).collect()
+    assert multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == multiset(substring_dedup(rows))
+
+
 def test_line_dedup(spark):
     rows = hostile_rows()
 
