@@ -2,13 +2,16 @@
 
 The text view sees the content (byte frequencies, word and line statistics), the metadata view
 sees lang, source and n_chars. Both are logistic regressions fitted on a bounded sample of
-labelled documents (``LABELLED_ROWS``); a bounded pool of other documents (``POOL_ROWS``) carries
-the exchange: in each of ``ROUNDS`` rounds every view labels the pool documents that it is most
-sure of, per class, and the other view learns from them. A part of the labelled sample is kept
+labelled documents (``LABELLED_ROWS``); all unlabelled documents carry the exchange: in each of
+``ROUNDS`` rounds every view scores the whole pool in Spark and labels the documents that it is
+most sure of, by rank and per class (in the shares of the labelled classes), and the other view
+learns from them, with the giving view's probability as the label: a view that is surest of a
+class at 0.4 says so, and doesn't pass a guess on as a fact. Features are made once and checkpointed; of the pool, only the chosen rows come
+to the driver. At most half of a small pool is labelled by a view. A part of the labelled sample is kept
 from the fits: on it each view is calibrated (Platt scaling) and the combination of the two
 calibrated views is fitted. Then all documents are scored.
 
-Held-out ids (see ``toxicity.held_out``) are never learned from. Defined results: a null or
+Held-out ids and null ids (see ``toxicity.held_out``) are never learned from. Defined results: a null or
 empty text has zero frequencies, null metadata are values of their own. Without labels of both
 kinds every document scores 1 and is kept. Repeated rows each get their row; other columns are
 passed through.
@@ -16,21 +19,22 @@ passed through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from punchspark.llm.common import LOWER, blocks, mapped_words, text_bytes
+from punchspark.llm.common import LOWER, blocks, checkpointed, mapped_words, text_bytes
 from punchspark.llm.near_dedup import word_hashes
 from punchspark.llm.toxicity import _logistic, _sigmoid, held_out, labelled_sample
 
-LABELLED_ROWS, POOL_ROWS = 6000, 6000
-"""Documents that the classifiers are fitted on, and that pseudo-labels are exchanged over."""
-ROUNDS, PER_ROUND, SURE = 4, 200, 0.95
+LABELLED_ROWS = 6000
+"""Labelled documents that the classifiers are fitted on."""
+ROUNDS, PER_ROUND = 4, 200
+"""Rounds of the exchange, and labels a class that each view gives in one, on the average of both classes."""
 KEEP_SCORE = 0.3
 META_SLOTS = 64
 VIEW_BYTES = 1 << 20
@@ -80,6 +84,7 @@ class Views:
 
     def __init__(self, text: np.ndarray, meta: np.ndarray, calibration: list[np.ndarray], combined: np.ndarray):
         self.weights, self.calibration, self.combined = (text, meta), calibration, combined
+        self.pool, self.given = 0, []
 
     def logits(self, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Calibrated log odds: 1, text, metadata."""
@@ -92,71 +97,122 @@ class Views:
         return _sigmoid(np.stack([x[:, 1], x[:, 2], x @ self.combined], axis=1))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE) -> Views:
-    """Both views fitted with exchanged pseudo-labels; every fourth labelled row calibrates."""
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest: Callable, size: int, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Views:
+    """Both views fitted with exchanged pseudo-labels; every fourth labelled row calibrates.
+
+    ``surest(weights, counts, taken)`` finds, in a pool of ``size`` documents, {(view, label): (keys, rows of both views, probabilities of label 1)}.
+    """
     rest = np.arange(len(y)) % 4 == 3
     known = [(v[~rest], y[~rest]) for v in views]
     weights = [_logistic(x, t) for x, t in known]
-    free = np.ones(len(pool[0]), bool)
-    for _ in range(rounds):
-        given: list[list] = [[], []]
-        for k in (0, 1):
-            p = _sigmoid(pool[k] @ weights[k])
-            for label, certainty in ((1, p), (0, 1 - p)):
-                best = np.argsort(-certainty, kind="stable")
-                best = best[free[best] & (certainty[best] >= sure)][:per_round]
-                given[1 - k].append((best, label))
-        if not any(len(best) for side in given for best, _ in side):
+    total = min(2 * per_round, size // (2 * rounds))
+    good = min(max(round(total * y.mean()), 1), total - 1)
+    taken: set = set()
+    history = []
+    for _ in range(rounds if total > 1 else 0):
+        found = surest(weights, {1: good, 0: total - good}, taken)
+        history.append({name: len(keys) for name, (keys, *_) in found.items()})
+        if not any(history[-1].values()):
             break
-        for k in (0, 1):
-            x, t = known[k]
-            for best, label in given[k]:
-                x, t = np.concatenate([x, pool[k][best]]), np.concatenate([t, np.full(len(best), label)])
-            known[k] = (x, t)
-        for side in given:
-            for best, _ in side:
-                free[best] = False
+        for (k, _), (keys, rows, p) in found.items():
+            x, t = known[1 - k]
+            known[1 - k] = (np.concatenate([x, rows[1 - k]]), np.concatenate([t, p]))
+            taken.update(keys)
         weights = [_logistic(x, t) for x, t in known]
     t = y[rest]
     calibration = [_logistic(np.stack([np.ones(rest.sum()), v[rest] @ w], axis=1), t, 0.01) for v, w in zip(views, weights)]
     done = Views(weights[0], weights[1], calibration, np.array([0.0, 1.0, 0.0]))
+    done.pool, done.given = size, history
     done.combined = _logistic(done.logits(tuple(v[rest] for v in views)), t, 0.1)
     return done
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text features, and the places of the metadata features that are 1."""
     for part in blocks(batches, "text", VIEW_BYTES):
         text = text_view(part.column("text")).astype(np.float32)
-        meta = meta_view(part.column("lang"), part.column("source"), part.column("n_chars")).astype(np.float32)
+        meta = meta_view(part.column("lang"), part.column("source"), part.column("n_chars"))
+        places = np.nonzero(meta)[1].astype(np.int16).reshape(len(meta), -1)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("label"), pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())],
+            [part.column("doc_id"), part.column("label"), pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in places], pa.binary())],
             ["doc_id", "label", "text", "meta"],
         )
 
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+def _matrices(text: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of rows made by ``_features``."""
+    n = len(text)
+    if not n:
+        return text_view(pa.array([], pa.string())), np.zeros((0, 2 * META_SLOTS + 26))
+    dense = np.zeros((n, 2 * META_SLOTS + 26))
+    places = np.frombuffer(b"".join(meta), np.int16).reshape(n, -1)
+    dense[np.arange(n)[:, None], places] = 1
+    return np.frombuffer(b"".join(text), np.float32).reshape(n, -1).astype(float), dense
+
+
+def _ranked(weights: list[np.ndarray], counts: dict[int, int], taken: set):
+    """The rows of a task that each view is surest of, per class: view, label, certainty, doc_id and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {(k, label): (np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)) for k in (0, 1) for label in (1, 0)}
+        for batch in batches:
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
+            free = np.array([x not in taken for x in zip(ids.tolist(), keys.tolist())], bool)
+            views = _matrices(batch.column("text").to_pylist(), batch.column("meta").to_pylist())
+            for (k, label), held in best.items():
+                sure = np.round((2 * label - 1) * (views[k] @ weights[k]), 9)[free]
+                c, i, h = (np.concatenate(x) for x in zip(held, (sure, ids[free], keys[free])))
+                order = np.lexsort((h, i, -c))
+                new = np.ones(len(order), bool)  # repeated rows count once
+                new[1:] = (i[order][1:] != i[order][:-1]) | (h[order][1:] != h[order][:-1])
+                order = order[new][: counts[label]]
+                best[k, label] = c[order], i[order], h[order]
+        for (k, label), (c, i, h) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(np.full(len(c), label, np.int32)), pa.array(c), pa.array(i), pa.array(h)], ["view", "label", "certainty", "doc_id", "key"])
+
+    return run
+
+
+def _surest(pool: DataFrame) -> Callable:
+    """The ``surest`` of ``co_train`` over a pool of features in Spark: best rows of each task, then of all."""
+
+    def find(weights: list[np.ndarray], counts: dict[int, int], taken: set) -> dict:
+        ranked = pool.mapInArrow(_ranked(weights, counts, frozenset(taken)), "view int, label int, certainty double, doc_id long, key long")
+        place = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("certainty"), "doc_id", "key"))
+        best = ranked.withColumn("place", place).where((F.col("label") == 1) & (F.col("place") <= counts[1]) | (F.col("label") == 0) & (F.col("place") <= counts[0])).collect()
+        chosen = {(r.doc_id, r.key) for r in best}
+        if not chosen:
+            return {}
+        wanted = pool.sparkSession.createDataFrame(sorted(chosen), "doc_id long, key long")
+        rows = {(r.doc_id, r.key): r for r in pool.join(F.broadcast(wanted), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).collect()}
+        found = {}
+        for name in ((k, label) for k in (0, 1) for label in (1, 0)):
+            sure = {(r.doc_id, r.key): r.certainty for r in best if (r.view, r.label) == name}
+            keys = sorted(sure)
+            p = _sigmoid((2 * name[1] - 1) * np.array([sure[x] for x in keys], float))
+            found[name] = keys, _matrices([rows[x].text for x in keys], [rows[x].meta for x in keys]), p
+        return found
+
+    return find
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> Views | None:
-    """Views fitted on bounded samples, whose features (not texts) come to the driver; None without both classes."""
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    sample = labelled_sample(own, labels, label, labelled_rows, COLUMNS)
-    ids = own.select("doc_id").where("doc_id is not null").where(~held_out()).join(labels.select("doc_id").distinct(), "doc_id", "left_anti").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows).withColumnRenamed("doc_id", "pool_id")  # the documented bound of the pool
-    pool = own.join(F.broadcast(ids), F.col("doc_id") == F.col("pool_id")).select(*COLUMNS, F.lit(-1).alias("label"))
-    rows = sample.unionByName(pool).mapInArrow(_features, "doc_id long, label int, text binary, meta binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text, r.meta))
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-    def side(wanted: list) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.array([np.frombuffer(r[c], np.float32) for r in wanted], float).reshape(len(wanted), -1) for c in ("text", "meta"))
 
-    known, free = [r for r in rows if r.label >= 0], [r for r in rows if r.label < 0]
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_rows: int = LABELLED_ROWS) -> Views | None:
+    """Views fitted on a bounded labelled sample, whose features (not texts) come to the driver, and on all unlabelled documents; None without both classes."""
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    made = "doc_id long, label int, text binary, meta binary"
+    known = labelled_sample(own, labels, label, labelled_rows, COLUMNS).mapInArrow(_features, made).collect()
+    known.sort(key=lambda r: (r.doc_id, r.text, r.meta))
     y = np.array([r.label for r in known], float)
     if len(set(y[np.arange(len(y)) % 4 != 3])) < 2 or len(set(y[np.arange(len(y)) % 4 == 3])) < 2:
         return None
-    views = side(known)
-    pool_views = side(free) if free else tuple(v[:0] for v in views)
-    return co_train(views, y, pool_views)
+    views = _matrices([r.text for r in known], [r.meta for r in known])
+    free = own.where("doc_id is not null").where(~held_out()).withColumn("label", F.lit(-1)).mapInArrow(_features, made)
+    free = free.join(labels.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_anti")
+    pool = checkpointed(free.select("doc_id", F.xxhash64("text", "meta").alias("key"), "text", "meta"))
+    return co_train(views, y, _surest(pool), pool.count())
 
 
 def classify(docs: DataFrame, views: Views | None) -> DataFrame:

@@ -121,6 +121,25 @@ def test_quality_views(spark):
     assert kept.columns == df.columns and kept.count() == len(docs)
 
 
+def test_views_exchange_labels_over_all_unlabelled_documents(spark):
+    """Metadata that is never sure of a class still gives labels, and the pool has no bound."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for k in range(9000):
+        bad = k % 4 == 0
+        source = "a" if rng.random() < (0.4 if bad else 0.6) else "b"
+        docs.append((k, (" ### " if bad else " ").join(rng.choices(["ab", "cd", "efg", "h"], k=12)), "en", source, 40))
+        if k < 400:
+            labels.append((k, int(not bad)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    views = quality.train(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert views.pool == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(400, 9000)) > 6000
+    assert len(views.given) == quality.ROUNDS
+    assert all(r[view, 1] >= 250 and r[view, 0] >= 80 for r in views.given for view in (0, 1))
+    got = quality.classify(df, views).collect()
+    assert all(r.quality.kept == (r.doc_id % 4 != 0) for r in got)
+
+
 def test_sharding(spark):
     rows = hostile_rows() + [(k, "same") for k in range(1000, 1400)]
     got = shard(docs_df(spark, rows), shards=7, vnodes=16).collect()
