@@ -8,8 +8,9 @@ however large the benchmark is. In a task, a document's words become ids of the
 vocabulary, windows of ids are hashed, looked up in the hash set, and each hit is verified
 id by id against the window that it stands for.
 
-Defined results: null and empty texts have no words and no hits. Items without words, and
-null items, match nothing. A repeated document row or item row is handled like any other
+Defined results: null and empty texts have no words and no hits. Items without words match
+nothing. With ``unnamed`` (the query and the pipeline) the windows of items with a null id hit
+like any other, and only their id is missing from the items; else such items are left out. A repeated document row or item row is handled like any other
 (equal item ids count once). Other columns are ignored.
 """
 
@@ -40,7 +41,7 @@ WORD_PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 class WindowIndex:
     """Windows of one block of items: vocabulary, and per window length the sorted hashes and the windows themselves."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
         words, bounds = mapped_words(pa.array([t for _, t in items], pa.string()), WORD_TABLE)
         coded = words.dictionary_encode()
         self.vocabulary = coded.dictionary
@@ -50,7 +51,9 @@ class WindowIndex:
             own = ids[bounds[k] : bounds[k + 1]].tolist()
             size = min(n, len(own))
             for s in range(len(own) - size + 1 if size else 0):
-                found[size][tuple(own[s : s + size])].add(item)
+                owners = found[size][tuple(own[s : s + size])]
+                if item is not None:
+                    owners.add(item)
         self.lengths = []
         for size, windows in sorted(found.items()):
             grams = np.array(list(windows), np.int64).reshape(len(windows), size)
@@ -96,11 +99,11 @@ def _multipliers(size: int, seed: int) -> np.ndarray:
     return drawn * np.uint64(2) + np.uint64(1)
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
+def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, unnamed: bool) -> Iterator[list[tuple[str | None, str]]]:
     """The items, in blocks of about ``block_words`` words; they stream through the driver one partition at a time."""
     items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     held, size = [], 0
-    for row in items.where("id is not null and text is not null").toLocalIterator():
+    for row in items.where("text is not null" if unnamed else "id is not null and text is not null").toLocalIterator():
         held.append((row.id, row.text))
         size += len(row.text) // 2 + 1
         if size >= block_words:
@@ -152,6 +155,7 @@ def decontaminate(
     prefix: str = "",
     clean_text: bool = False,
     block_words: int = BLOCK_WORDS,
+    unnamed: bool = False,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted as strings), contaminated, and clean_text if asked, in columns named with ``prefix``.
 
@@ -159,7 +163,7 @@ def decontaminate(
     with the hit spans taken out (null stays null).
     """
     sc = docs.sparkSession.sparkContext
-    indexes = [sc.broadcast(WindowIndex(block, n)) for block in _item_blocks(benchmark, item_id, item_text, block_words)]
+    indexes = [sc.broadcast(WindowIndex(block, n)) for block in _item_blocks(benchmark, item_id, item_text, block_words, unnamed)]
 
     @F.pandas_udf("n_words long, n_hit long, items array<string>, clean_text string")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -185,7 +189,7 @@ def decontaminate(
 
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, unnamed: bool = False) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; repeated rows all stay."""
-    marked = decontaminate(docs, benchmark, prefix="__")
+    marked = decontaminate(docs, benchmark, prefix="__", unnamed=unnamed)
     return marked.where("not __contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])

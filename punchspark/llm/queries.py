@@ -76,7 +76,7 @@ def op9_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    done = decontaminate(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     return done.select(
         "doc_id",
         "n_words",

@@ -64,6 +64,30 @@ def test_decontamination(spark):
     assert drop_contaminated(docs_df(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def test_items_without_an_id_hit_too(spark, tmp_path):
+    from punchspark.llm.queries import ORACLES, op10_decontamination
+
+    rows = hostile_rows()
+    items = [(1, dict(rows)[40][100:400]), (None, dict(rows)[60]), (None, "the"), (None, None), (None, "!!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [(*w[:3], [i for i in w[3] if i != "None"]) for w in contamination(rows, items)]
+    got = decontaminate(docs_df(spark, rows), bench, unnamed=True).collect()
+    assert multiset((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == multiset(want)
+    dropped = sum(hit > 0 and 20 * hit >= n for _, n, hit, _ in want)
+    assert drop_contaminated(docs_df(spark, rows), bench, unnamed=True).count() == len(rows) - dropped < len(rows)
+
+    import duckdb
+
+    spark.createDataFrame([(i, t) for i, t in dict(rows).items() if i is not None], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = op10_decontamination(spark, str(tmp_path))
+    oracle = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['op10_decontamination']})").fetchall()
+    assert multiset(map(tuple, df.collect())) == multiset(oracle)
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = random.Random(2)
     plain = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
