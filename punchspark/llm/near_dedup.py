@@ -255,7 +255,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame, scheme: Schem
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, raw_sha256 (null for a null text).
+    """One row per input row: id, n_shingles, component_id, kept, raw_sha256 (null for a null text), component (null without shingles).
 
     Linked are rows whose sets have at least ``percent`` hundredths of their union in common.
     """
@@ -295,12 +295,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = labels.groupBy("component").agg(F.min("least_id").alias("component_id"))
     labels = labels.join(best, "component").select("class", "component_id", "component")
     out = full.select("row", "id", "n_shingles", "raw_sha256", "class").join(labels, "class")
-    out = out.select("row", "id", "n_shingles", "component_id", "raw_sha256")
-    alone = signed.where("n_shingles = 0").select("row", "id", "n_shingles", F.col("id").alias("component_id"), "raw_sha256")
-    return out.unionByName(alone).select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "raw_sha256")
+    out = out.select("row", "id", "n_shingles", "component_id", "raw_sha256", "component")
+    alone = signed.where("n_shingles = 0").select("row", "id", "n_shingles", F.col("id").alias("component_id"), "raw_sha256", F.lit(None).alias("component"))
+    return out.unionByName(alone).select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "raw_sha256", "component")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each component of ``docs``, with all columns: that with the smallest id."""
-    kept = near_dedup(docs, percent=percent).where("kept").select(F.col("id").alias("__id"), F.col("raw_sha256").alias("__digest"))
-    return keep_rows(docs, kept)
+    """One row of each component of ``docs``, with all columns: that with the smallest id, then text digest."""
+    kept = near_dedup(docs, percent=percent).where("kept")
+    least = kept.where("component is not null").groupBy("component").agg(F.min(F.struct("id", "raw_sha256")).alias("least")).select("least.*")
+    one = least.unionByName(kept.where("component is null").select("id", "raw_sha256"))
+    return keep_rows(docs, one.select(F.col("id").alias("__id"), F.col("raw_sha256").alias("__digest")))

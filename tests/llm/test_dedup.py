@@ -50,6 +50,18 @@ def test_near_dedup(spark):
     assert {r.doc_id for r in kept.collect()} - {None, 0, 1, 2} == named
 
 
+def test_one_row_of_a_component_stays_when_ids_repeat(spark):
+    words = [f"w{k}" for k in range(300)]
+    near = lambda p, k: " ".join([f"{p}{k}", *(p + w for w in words)])
+    rows = [(7, near("a", k)) for k in range(4)] + [(8, near("a", 9)), (None, near("a", 10))]
+    rows += [(None, near("b", k)) for k in range(4)] + [(7, near("c", k)) for k in range(3)] + [(7, near("c", 0))]
+    got = drop_near_copies(docs_df(spark, rows)).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    first = lambda p, n: min((near(p, k) for k in range(n)), key=digest)
+    assert multiset((r.doc_id, r.text) for r in got) == multiset([(7, first("a", 4)), (None, first("b", 4)), (7, first("c", 3))])
+    assert sum(r.kept for r in near_dedup(docs_df(spark, rows)).collect()) == 12
+
+
 @pytest.mark.parametrize("percent", [60, 80, 95])
 def test_near_dedup_at_other_similarities(spark, percent):
     """Copies with edits in rising numbers, so that pairs lie on both sides of every threshold."""
