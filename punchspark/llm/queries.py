@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punchspark.llm import quality, toxicity
+from punchspark.llm import language_model, quality, toxicity
 from punchspark.llm.bpe import encode
 from punchspark.llm.decontaminate import decontaminate
 from punchspark.llm.exact_dedup import exact_dedup
+from punchspark.llm.importance import resample
 from punchspark.llm.line_dedup import line_dedup
 from punchspark.llm.near_dedup import near_dedup
+from punchspark.llm.prefix_trie import prefix_trie
 from punchspark.llm.sharding import shard
 from punchspark.llm.suffix_dedup import suffix_dedup
 from punchspark.llm.warc import archive
@@ -87,6 +89,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).nodes.drop("k1", "k2")
+
+
+def op13_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = language_model.score(docs, language_model.train(docs.where(~language_model.held_out())))
+    return done.select(F.col("id").alias("doc_id"), language_model.held_out("id").alias("held_out"), *language_model.SCORES)
+
+
 REGISTRY = {
     "op1_toxicity_crf": op1_toxicity_crf,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -98,6 +115,9 @@ REGISTRY = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_cotraining": op9_quality_cotraining,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_kneser_ney": op13_kneser_ney,
 }
 
 ORACLES = {
