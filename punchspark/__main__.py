@@ -3,7 +3,7 @@
   python -m punchspark init       --warehouse W [--departments IT,HR,...]
   python -m punchspark roster     --warehouse W --input DIR        (roster uploads: CSV / .xlsx)
   python -m punchspark punches    --warehouse W --input DIR        (punch uploads: CSV / .xlsx)
-  python -m punchspark dashboard  --warehouse W --out DIR [--start D --end D --department ID --employee TEXT --status S]
+  python -m punchspark dashboard  --warehouse W --out DIR [--start D --end D --department ID --employee TEXT [--wildcards] --status S]
   python -m punchspark export     --warehouse W --out DIR --format csv [--from D --to D --department NAME --status S --search TEXT]
   python -m punchspark departments --warehouse W
   python -m punchspark users      --warehouse W --action create|update|active --input requests.csv
@@ -41,6 +41,7 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("--end")
     ap.add_argument("--department")
     ap.add_argument("--employee")
+    ap.add_argument("--wildcards", action="store_true", help="%% and _ in --employee stand for any text and any character")
     ap.add_argument("--status")
     ap.add_argument("--format", default="csv")
     ap.add_argument("--from", dest="from_date")
@@ -101,7 +102,7 @@ def main(argv: list[str] | None = None) -> dict:
     if a.command == "departments":
         return {"departments": [r.asDict() for r in R.departments_list(departments).collect()]}  # a short list
     if a.command == "dashboard":
-        d = dashboard_bundle(punches, users, departments, a.start, a.end, a.department, a.employee, a.status)
+        d = dashboard_bundle(punches, users, departments, a.start, a.end, a.department, a.employee, a.status, raw_like=a.wildcards)
         try:
             for name, frame in (("records", d.records.drop("first_in", "last_out")), ("trend", d.trend), ("distribution", d.distribution), ("summary", d.summary), ("employees", d.employees)):
                 frame.write.mode("overwrite").option("header", True).csv(os.path.join(a.out, name))

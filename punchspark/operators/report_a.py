@@ -179,9 +179,10 @@ def daily_attendance(
     employee: str | None = None,
     status: str | None = None,
     pol: P.ShiftPolicy = P.POLICY_A,
+    raw_like: bool = False,
 ) -> DataFrame:
-    """Report A records (unordered; apply ``order_daily`` for display)."""
-    days = daily_first_last(punches, users, departments, start, end, department_id, employee)
+    """Report A records (unordered; apply ``order_daily`` for display). With ``raw_like``, % and _ in ``employee`` are wildcards."""
+    days = daily_first_last(punches, users, departments, start, end, department_id, employee, raw_like)
     return by_status(classify_a(days, pol), status)
 
 

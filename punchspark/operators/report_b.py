@@ -5,11 +5,11 @@ trimmed ID or 'UNKNOWN', late after 9:00, overtime on *rounded* hours and first
 in precedence, single punches split at 13:00, 'Unauthorized Entry' overrides.
 
 Plan shape: punches are aggregated per (ID, date) first — min, max, count and
-the earliest row's user and status via ``min_by`` on (time, LogID) — all
+the earliest row's ID and status via ``min_by`` on (time, LogID) — all
 partial-aggregable, so a hot key ('UNKNOWN', 'NOT PROVIDED') is combined map-side
-and never gathered in one task. The earliest row's user is then joined to users
+and never gathered in one task. The earliest row's ID is then joined to users
 and departments, which yields the attributes the reference takes from the
-group's first row.
+group's first row. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from punchspark.functions.timefmt import (
     minute_of_day,
     weekday_name,
 )
-from punchspark.operators.common import broadcast_if_small, fits_broadcast
+from punchspark.operators.common import broadcast_if_small
 from punchspark.functions.dtparse import codegen_barrier
 from punchspark.operators.report_a import punch_date_range
 
@@ -73,14 +73,13 @@ def _head_key() -> F.Column:
     return micros.cast("decimal(38,0)") * F.lit(str(10**20)).cast("decimal(38,0)") + log_id
 
 
-def daily_groups(punches: DataFrame, from_date=None, to_date=None, users: DataFrame | None = None) -> DataFrame:
-    """B2 core: per (trimmed ID, date): first/last punch, count, and the earliest row's user and status.
+def daily_groups(punches: DataFrame, from_date=None, to_date=None, punch_list: bool = False) -> DataFrame:
+    """B2 core: per (trimmed ID, date): first/last punch, count, and the earliest row's raw ID and status.
 
-    With ``users`` small enough to broadcast (size-checked), each punch first picks
-    up its UserID (map-side) so the earliest row's attributes are fixed-width
-    values and the aggregate is a partial + final *hash* aggregate. Beyond the
-    broadcast limit the earliest raw ID is carried instead (sort aggregate, no
-    shuffle of raw punches for a join).
+    Punches are first grouped by their raw ID, so that all that is carried has a fixed width (a hash
+    aggregate, combined map-side); the few spellings of an ID then meet. With ``punch_list``
+    they are grouped by minute too, and the group gets ``runs``: its (minute, punches) in no
+    order, of which a day has 1440 for each spelling, however many punches it has.
     """
     p = punches.select(
         "LogID",
@@ -91,28 +90,36 @@ def daily_groups(punches: DataFrame, from_date=None, to_date=None, users: DataFr
     )
     if from_date or to_date:
         p = _date_bounds(p, from_date, to_date)
-    keys = [group_id(F.col("EmployeeNo")).alias("EmployeeID"), F.to_date("PunchDateTime").alias("day")]
-    common = [
+    unauth = F.coalesce(F.col("LogStatus") == F.lit(P.UNAUTHORIZED), F.lit(False))
+    by = [F.col("EmployeeNo").alias("raw_id"), F.to_date("PunchDateTime").alias("day")]
+    spelled = p.groupBy(*by, *([minute_of_day("PunchDateTime").cast("int").alias("minute")] if punch_list else [])).agg(
         F.min("PunchDateTime").alias("first_in"),
         F.max("PunchDateTime").alias("last_out"),
-        F.count(F.lit(1)).alias("punch_count"),
-    ]
-    unauth = F.coalesce(F.col("LogStatus") == F.lit(P.UNAUTHORIZED), F.lit(False))
-    if users is not None:
-        ids = users.select("EmployeeNo", "UserID")
-        if fits_broadcast(ids):
-            return p.join(F.broadcast(ids), "EmployeeNo", "left").groupBy(*keys).agg(
-                *common,
-                F.min_by("UserID", _head_key()).alias("head_uid"),
-                F.min_by(unauth, _head_key()).alias("head_unauth"),
-            )
-    order = F.struct(F.col("PunchDateTime"), F.col("LogID"))
-    return p.groupBy(*keys).agg(
-        *common,
-        F.min_by(F.struct(F.col("EmployeeNo").alias("raw_id"), unauth.alias("unauth")), order).alias("head"),
+        F.count(F.lit(1)).alias("n"),
+        F.min(_head_key()).alias("head_key"),
+        F.min_by(unauth, _head_key()).alias("unauth"),
+    )
+    runs = [F.collect_list(F.struct("minute", "n")).alias("runs")] if punch_list else []
+    return spelled.groupBy(group_id(F.col("raw_id")).alias("EmployeeID"), "day").agg(
+        F.min("first_in").alias("first_in"),
+        F.max("last_out").alias("last_out"),
+        F.sum("n").alias("punch_count"),
+        F.min_by(F.struct("raw_id", "unauth"), "head_key").alias("head"),
+        *runs,
     )
 
 
+def punch_texts(runs: F.Column) -> F.Column:
+    """The ordered punch list of a day, one text a punch, from its (minute, punches).
+
+    Punches of one minute have one text, so their order within it does not show. The list is made
+    when its row is written; up to there a day is no longer than its minutes.
+    """
+    hour = lambda m: (F.floor(m / 60) + 11) % 12 + 1
+    text = lambda m: F.concat(hour(m).cast("string"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"), F.when(m < 720, " AM").otherwise(" PM"))
+    return F.flatten(F.transform(F.sort_array(runs), lambda r: F.array_repeat(text(r["minute"]), r["n"].cast("int"))))
+
+
 def _date_bounds(p: DataFrame, from_date, to_date) -> DataFrame:
     if from_date and to_date:
         return punch_date_range(p, from_date, to_date)
@@ -163,14 +170,11 @@ def classify_b(groups: DataFrame, users: DataFrame, departments: DataFrame, pol:
     """Display fallbacks, single-punch rules, status and presentation."""
     d = departments.select("DepartmentID", F.col("DepartmentName").alias("DeptName"))
     attrs = ["FirstName", "LastName", "EmpType", "DepartmentID"]
-    if "head_uid" in groups.columns:
-        u = users.select(F.col("UserID").alias("head_uid"), *attrs)
-        g = groups.withColumn("LogUnauth", F.col("head_unauth")).drop("head_unauth")
-        j = g.join(broadcast_if_small(u), "head_uid", "left")
-    else:
-        u = users.select(F.col("EmployeeNo").alias("raw_id"), *attrs)
-        g = groups.select("*", F.col("head.raw_id").alias("raw_id"), F.col("head.unauth").alias("LogUnauth")).drop("head")
-        j = g.join(broadcast_if_small(u), "raw_id", "left")
+    # an EmployeeNo stands for one user: the earliest, should the table hold more
+    ids = users.groupBy(F.col("EmployeeNo").alias("raw_id")).agg(F.min("UserID").alias("head_uid"))
+    u = users.select(F.col("UserID").alias("head_uid"), *attrs)
+    g = groups.select("*", F.col("head.raw_id").alias("raw_id"), F.col("head.unauth").alias("LogUnauth")).drop("head")
+    j = g.join(broadcast_if_small(ids), "raw_id", "left").join(broadcast_if_small(u), "head_uid", "left")
     j = j.join(broadcast_if_small(d), "DepartmentID", "left")
 
     # Base values once, as columns (each is used by several outputs).
@@ -237,6 +241,7 @@ def classify_b(groups: DataFrame, users: DataFrame, departments: DataFrame, pol:
         minute_of_day(out_ts).alias("rawLastOutMins"),
         F.when(~single, cents_to_double(cents)).alias("hours"),
         "punch_count",
+        *([punch_texts(F.col("runs")).alias("Punches")] if "runs" in groups.columns else []),
     )
 
 
@@ -266,10 +271,14 @@ def daily_report_b(
     status: str | None = None,
     search: str | None = None,
     pol: P.ShiftPolicy = P.POLICY_B,
+    punch_list: bool = False,
 ) -> DataFrame:
-    """Report B records with B7 filters; dates, department and search reach below the aggregate."""
+    """Report B records with B7 filters; dates, department and search reach below the aggregate.
+
+    With ``punch_list`` each record has its ``Punches``, in order.
+    """
     wanted = of_search(of_department(punches, users, departments, department), users, search)
-    groups = daily_groups(wanted, from_date, to_date, users)
+    groups = daily_groups(wanted, from_date, to_date, punch_list)
     records = classify_b(groups, users, departments, pol)
     if any(x and x != "All" for x in (department, status)) or (search or "").strip():
         # filters on derived columns: evaluate them on the finished rows (no re-inlining)

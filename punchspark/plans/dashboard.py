@@ -35,6 +35,7 @@ def dashboard_bundle(
     employee: str | None = None,
     status: str | None = None,
     keep: bool = True,
+    raw_like: bool = False,
 ) -> Dashboard:
     """Compute the records once (persisted, spill-capable) and derive every chart from them.
     Without ``keep`` nothing is cached: for one query over several charts, which then share exchanges.
@@ -42,7 +43,7 @@ def dashboard_bundle(
     The records are one row per employee-day, i.e. already aggregated, so
     persisting them is bounded by days × employees, not by punches.
     """
-    records = A.daily_attendance(punches, users, departments, start, end, department_id, employee, status)
+    records = A.daily_attendance(punches, users, departments, start, end, department_id, employee, status, raw_like=raw_like)
     if keep:
         records = records.persist(StorageLevel.MEMORY_AND_DISK)
     return Dashboard(

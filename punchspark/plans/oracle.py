@@ -109,7 +109,8 @@ g AS (
          CAST(PunchDateTime AS DATE) AS day,
          min(PunchDateTime) AS fi, max(PunchDateTime) AS lo, count(*) AS punch_count,
          first(EmployeeNo ORDER BY PunchDateTime, LogID) AS raw_id,
-         first(Status ORDER BY PunchDateTime, LogID) AS LogStatus
+         first(Status ORDER BY PunchDateTime, LogID) AS LogStatus,
+         string_agg(strftime(PunchDateTime, '%-I:%M %p'), ', ' ORDER BY PunchDateTime) AS Punches
   FROM punches GROUP BY 1, 2
 ),
 j AS (
@@ -148,7 +149,7 @@ SELECT EmployeeID, fname AS FirstName, lname AS LastName,
   hour(in_ts) * 60 + minute(in_ts) AS rawFirstInMins,
   hour(out_ts) * 60 + minute(out_ts) AS rawLastOutMins,
   CASE WHEN NOT single THEN cents / 100.0 END AS hours,
-  punch_count
+  punch_count, Punches
 FROM k"""
 
 
@@ -238,7 +239,7 @@ UNION ALL
 SELECT EmployeeID, Name, Date, 2 AS seq, 'Last Check Out' AS event,
        CASE WHEN LastOut IS NULL OR LastOut IN ('Missing Checkout', '-') THEN 'Missing checkout registration' ELSE LastOut END
 FROM r""",
-        "export_daily": f"SELECT {B_COLS} FROM ({records_b()})",
+        "export_daily": f"SELECT {B_COLS}, Punches FROM ({records_b()})",
         "export_filtered": f"""
 SELECT {B_COLS} FROM ({records_b()})
 WHERE rawDate >= '{Q.FILTER_START}' AND rawDate <= '{Q.FILTER_END}'
@@ -557,7 +558,8 @@ WITH users AS ({USERS}), depts AS ({DEPTS}), punches AS ({rough})
 SELECT LogID, p.EmployeeNo, strftime(PunchDateTime, '%Y-%m-%d %H:%M:%S') AS PunchDateTime, Status AS LogStatus,
        FirstName, LastName, EmpType, DepartmentName AS Department
 FROM punches p LEFT JOIN users u ON u.EmployeeNo = p.EmployeeNo LEFT JOIN depts d ON d.DepartmentID = u.DepartmentID""",
-        "export_rough": f"SELECT {B_COLS} FROM ({records_b(rough)})",
+        "export_rough": f"SELECT {B_COLS}, Punches FROM ({records_b(rough)})",
+        "export_repeated_users": f"SELECT {B_COLS} FROM ({records_b(rough)})",
         "punch_list": f"""
 WITH days AS (SELECT EmployeeID, rawDate FROM ({records_b(rough, within)}) WHERE Status = 'Unauthorized Entry'),
 p AS (

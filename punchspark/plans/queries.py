@@ -97,9 +97,13 @@ def punch_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.timeline(records_a(spark, sf_dir))
 
 
+def _with_lists(records: DataFrame) -> DataFrame:
+    return records.select(*B_OUT, F.array_join("Punches", ", ").alias("Punches"))
+
+
 def export_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     punches, users, departments = engine_tables(spark, sf_dir)
-    return B.daily_report_b(punches, users, departments).select(*B_OUT)
+    return _with_lists(B.daily_report_b(punches, users, departments, punch_list=True))
 
 
 def export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +353,14 @@ def all_punches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2-B6 with every fallback: unknown IDs, people without a user, unauthorized entries, ties."""
-    return B.daily_report_b(*_rough(spark, sf_dir)).select(*B_OUT)
+    return _with_lists(B.daily_report_b(*_rough(spark, sf_dir), punch_list=True))
+
+
+def export_repeated_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2-B6 when every EmployeeNo comes twice in users: the earliest user stands, and no punch counts twice."""
+    punches, users, departments = _rough(spark, sf_dir)
+    again = users.withColumns({"UserID": (F.col("UserID") + 1_000_000).cast(users.schema["UserID"].dataType), "FirstName": F.lit("Second")})
+    return B.daily_report_b(punches, again.unionByName(users), departments).select(*B_OUT)
 
 
 def punch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,6 +462,7 @@ def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "all_punches": all_punches,
     "export_rough": export_rough,
+    "export_repeated_users": export_repeated_users,
     "punch_list": punch_list,
     "report_csv_lines": report_csv_lines,
     "header_check": header_check,

@@ -29,18 +29,31 @@ def upload_frames(spark: SparkSession, path: str, multi_line: bool = False) -> l
     return frames + ([read_workbooks(spark, path)] if "xlsx" in kinds else [])
 
 
+def load_names(spark: SparkSession, path: str) -> dict[str, str]:
+    """A name for the load of each kind of file under ``path``, made from the files' names, sizes and times of change.
+
+    So an upload that is run again, after a failure halfway or by mistake, replaces what it has stored.
+    """
+    seen = spark.read.format("binaryFile").load(path).select("_metadata.*")
+    kind = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
+    mark = F.xxhash64("file_path", "file_size", F.col("file_modification_time").cast("string"))
+    rows = seen.groupBy(kind.alias("kind")).agg(F.bit_xor(mark).alias("mark"), F.count(F.lit(1)).alias("n")).collect()
+    return {r.kind: f"{r.kind}-{r.n}-{r.mark & (2**64 - 1):016x}" for r in rows}
+
+
 def ingest_punch_files(spark: SparkSession, path: str, warehouse: str, multi_line: bool = False) -> DataFrame:
     """Ingest every upload under ``path`` against the current roster; append the punches.
 
-    Returns the counters per kind of upload (one row each).
+    Returns the counters per kind of upload (one row each). All kinds are read through before any
+    is stored, and each is stored as a load named after its files.
     """
     users = tables.users(spark, warehouse)
-    metrics = []
-    for frame in upload_frames(spark, path, multi_line):
-        result = ingest_punch_upload(frame, users)
-        done = IngestResult(checkpointed(result.groups))  # one pass over the upload, lineage cut
-        sinks.append_punches(done.punches, os.path.join(warehouse, "punches"))
-        metrics.append(done.metrics)
+    names = load_names(spark, path)
+    frames = upload_frames(spark, path, multi_line)
+    results = [IngestResult(checkpointed(ingest_punch_upload(f, users).groups)) for f in frames]  # one pass over each, lineage cut
+    for kind, done in zip([k for k in ("csv", "xlsx") if k in names], results):
+        sinks.append_punches(done.punches, os.path.join(warehouse, "punches"), names[kind])
+    metrics = [done.metrics for done in results]
     out = metrics[0]
     for m in metrics[1:]:
         out = out.unionByName(m)

@@ -1,7 +1,8 @@
 """Upload files: header checks (S4), CSV reading (S1) and schema healing.
 
-Uploads carry their own header row and the layout differs between files, so records
-are read without one and keyed by the header of their file. Read errors are raised. Row order within a file (``row_ord``) is taken straight after
+Uploads carry their own header row and the layout differs between files, so records are cut
+into cells one by one, as many as each has, and keyed by the header of their file: no line
+decides anything about another. Read errors are raised. Row order within a file (``row_ord``) is taken straight after
 the scan, before any shuffle: (block start offset, position in the task), which
 sorts rows of one file in file order even when Spark packs several splits into
 one task.
@@ -9,7 +10,7 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,18 +26,43 @@ def files_under(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("upload_id"))
 
 
+#: A cell: quoted (quotes inside are doubled, and what follows the closing one belongs to it), or up to
+#: the next comma. Possessive throughout, so a line is read once, however long a cell is.
+_QUOTED = r'"(?:[^"]++|"")*+"'
+CELL = rf"(?:{_QUOTED}[^,]*+|[^,]*+)"
+CELL_IN_FILE = rf"(?:{_QUOTED}[^,\r\n]*+|[^,\r\n]*+)"
+RECORD_IN_FILE = rf"({CELL_IN_FILE}(?:,{CELL_IN_FILE})*+)(?:\r\n|\r|\n|\z)"
+NOT_BLANK = r"[^\x00-\x20]"
+
+
+def cells_of(record: Column) -> Column:
+    """The cells of a CSV record: an empty one is null, a quoted empty one is empty.
+
+    A quote inside an unquoted cell is a character like any other, and so is one that is never closed.
+    """
+    # each match takes a comma at least, which an empty cell would not
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({CELL})"), F.lit(1))
+    quoted = lambda c: c.startswith('"') & c.endswith('"') & (F.length(c) > 1)
+    plain = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda c: F.when(quoted(c), plain(c)).when(c != "", c))
+
+
 def csv_records(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
-    """Every record of every CSV file, the header included: (upload_id, row_ord, values).
+    """Every record of every CSV file, the header included: (upload_id, row_ord, values). Blank lines are no records.
 
-    Files have layouts of their own, so all are read without a header under one schema, as
-    wide as the line with most commas.
+    A line is a record, and files are read in splits. With ``multi_line`` quoted cells may hold line
+    breaks; a file is then cut into records by one task, which holds its text.
     """
-    text = spark.read.option("pathGlobFilter", CSV_GLOB).text(paths)
-    width = text.agg(F.max(F.length("value") - F.length(F.translate("value", ",", ""))).alias("commas")).first().commas
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range((width or 0) + 1)])
-    reader = spark.read.schema(schema).option("pathGlobFilter", CSV_GLOB).option("header", False)
-    raw = reader.option("escape", '"').option("multiLine", multi_line).option("encoding", "UTF-8").csv(paths)
-    return with_row_order(raw.select(F.array(*raw.columns).alias("values"), "_metadata"))
+    reader = spark.read.option("pathGlobFilter", CSV_GLOB)
+    if multi_line:
+        files = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("upload_id"), "value")
+        text = F.regexp_replace("value", "^\ufeff", "")
+        records = files.select("upload_id", F.posexplode(F.regexp_extract_all(text, F.lit(RECORD_IN_FILE), F.lit(1))).alias("rec", "value"))
+        place = F.struct(F.lit(0).cast("long").alias("blk"), F.col("rec").cast("long").alias("rec"))
+        records = records.select("upload_id", place.alias("row_ord"), "value")
+    else:
+        records = with_row_order(reader.text(paths).select("value", "_metadata"))
+    return records.where(F.col("value").rlike(NOT_BLANK)).select("upload_id", "row_ord", cells_of(F.col("value")).alias("values"))
 
 
 def header_records(records: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ its files, which replaces itself, so a batch that is replayed after a crash adds
 A file whose header does not match the layout fails the stream: columns are read by position.
 
 With ``cross_file_dedup`` a punch (resolved ID, time) that is stored already, or comes
-twice in a batch, is not stored again, however late it arrives.
+twice in a batch, is not stored again, however late it arrives. A batch reads the stored
+punches of its own dates only.
 """
 
 from __future__ import annotations
@@ -53,17 +54,39 @@ def with_batch_row_order(batch: DataFrame) -> DataFrame:
     return batch.withColumn("row_ord", F.struct(F.col("__blk").alias("blk"), F.monotonically_increasing_id().alias("rec"))).drop("__blk")
 
 
+PRUNE_DATES = 1000
+"""Dates of a batch that are named to the scan one by one; beyond, it gets the first and the last."""
+
+
+def stored_on_dates_of(punches: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored punches on the dates that a batch has, so that no other date's files are read."""
+    days = punches.select(F.to_date("PunchDateTime").alias("day")).where("day is not null").distinct()
+    some = [r.day for r in days.limit(PRUNE_DATES + 1).collect()]
+    if len(some) <= PRUNE_DATES:
+        return stored.where(F.col("punch_date").isin(some)) if some else stored.where("false")
+    ends = days.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    return stored.where(F.col("punch_date").between(ends.first, ends.last))
+
+
 def new_punches(punches: DataFrame, path: str, load: str) -> DataFrame:
-    """Punches of a batch whose (EmployeeNo, PunchDateTime) no other load has stored, once each."""
+    """Punches of a batch whose (EmployeeNo, PunchDateTime) no other load has stored, once each.
+
+    Late punches are compared with their own dates like any others; of the stored ones only the
+    batch's dates are read, and the join is on the date too.
+    """
     keys = ["EmployeeNo", "PunchDateTime"]
-    fresh = punches.dropDuplicates(keys)
+    fresh = punches.dropDuplicates(keys).withColumn("punch_date", F.to_date("PunchDateTime"))
+    schema = copy.deepcopy(PUNCHES_SCHEMA)
+    for name, kind in (("punch_date", "date"), ("load", "string")):
+        schema = schema if name in schema.names else schema.add(name, kind)
     try:
-        stored = punches.sparkSession.read.schema(copy.deepcopy(PUNCHES_SCHEMA).add("load", "string")).parquet(path)
+        stored = punches.sparkSession.read.schema(schema).parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return fresh
-    return fresh.join(stored.where(F.col("load") != load).select(*keys), keys, "left_anti")
+        return fresh.drop("punch_date")
+    others = stored_on_dates_of(fresh, stored).where(F.col("load") != load).select(*keys, "punch_date")
+    return fresh.join(others, [*keys, "punch_date"], "left_anti").drop("punch_date")
 
 
 def load_name(batch: DataFrame) -> str:

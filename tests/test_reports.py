@@ -127,19 +127,38 @@ def test_shuffle_order_independence(spark, tables):
     assert a == b
 
 
-def test_report_b_both_aggregate_paths_agree(spark, tables, tmp_path):
-    """Users read from Parquet have a size estimate → broadcast + hash-aggregate path;
-    in-memory users have none → raw-ID (sort aggregate) path. Same records either way."""
+def test_report_b_punch_lists_are_ordered_and_whole(spark, tables):
     punches, users, depts = tables
-    path = str(tmp_path / "users")
-    users.write.parquet(path)
-    parquet_users = spark.read.parquet(path)
-    assert "head_uid" in B.daily_groups(punches, users=parquet_users).columns
-    assert "head" in B.daily_groups(punches, users=users).columns
-    cols = list(B.RECORD_COLUMNS)
-    a = sorted(map(tuple, B.daily_report_b(punches, parquet_users, depts).select(*cols).collect()), key=str)
-    b = sorted(map(tuple, B.daily_report_b(punches, users, depts).select(*cols).collect()), key=str)
-    assert a == b
+    rows = [(900 + k, " E01 " if k % 2 else "E01", f"2026-03-02 {(k * 7) % 24:02d}:{(k * 13) % 60:02d}:{k % 60:02d}", "G", None, None) for k in range(60)]
+    rows += [(990, "E01", "2026-03-02 00:00:10", "G", None, None), (991, "E01", "2026-03-02 00:00:20", "G", None, None), (992, "", "2026-03-02 12:00:00", "G", None, None)]
+    p = punches_df(spark, rows)
+    got = {r["EmployeeID"]: r for r in B.daily_report_b(p, users, depts, punch_list=True).collect()}
+    times = sorted(r[2] for r in rows if r[1])
+    show = lambda t: f"{(int(t[11:13]) + 11) % 12 + 1}:{t[14:16]} {'AM' if int(t[11:13]) < 12 else 'PM'}"
+    assert got["E01"]["Punches"] == [show(t) for t in times] and got["E01"]["punch_count"] == 62
+    assert got["UNKNOWN"]["Punches"] == ["12:00 PM"]
+    assert "Punches" not in B.daily_report_b(p, users, depts).columns
+
+
+def test_report_b_list_state_is_bounded_by_minutes(spark, tables):
+    """A third of all punches on one ID and day: what is collected are minutes, not punches."""
+    _, users, depts = tables
+    day = spark.range(30_000).select(
+        F.col("id").alias("LogID"), F.when(F.col("id") % 3 == 0, "UNKNOWN").otherwise(F.concat(F.lit("X"), F.col("id") % 500)).alias("EmployeeNo"),
+        F.expr("TIMESTAMP_NTZ'2026-03-02 00:00:00' + make_dt_interval(0, 0, 0, id % 86400)").alias("PunchDateTime"), F.lit(None).cast("string").alias("Status"))
+    groups = B.daily_groups(day, punch_list=True)
+    hot = groups.where("EmployeeID = 'UNKNOWN'").select(F.size("runs").alias("runs"), "punch_count").first()
+    assert hot.punch_count == 10_000 and hot.runs <= 1440
+    rec = B.daily_report_b(day, users, depts, punch_list=True).where("EmployeeID = 'UNKNOWN'").select(F.size("Punches").alias("n"), "FirstIn", F.element_at("Punches", 1).alias("one")).first()
+    assert rec.n == 10_000 and rec.one == rec.FirstIn
+
+
+def test_report_b_counts_once_when_users_repeat(spark, tables):
+    punches, users, depts = tables
+    twice = users.unionByName(users.withColumn("UserID", (F.col("UserID") + 1000).cast(users.schema["UserID"].dataType)).withColumn("FirstName", F.lit("Later")))
+    cols = [*B.RECORD_COLUMNS, "punch_count"]
+    a = sorted(map(tuple, B.daily_report_b(punches, users, depts).select(*cols).collect()), key=str)
+    assert sorted(map(tuple, B.daily_report_b(punches, twice, depts).select(*cols).collect()), key=str) == a
 
 
 def test_employee_search_escapes_wildcards(spark):
@@ -149,6 +168,13 @@ def test_employee_search_escapes_wildcards(spark):
     assert A.by_employee(users, "  ").count() == 2
 
 
+def test_wildcards_reach_report_a(spark, tables):
+    punches, users, depts = tables
+    names = lambda **kw: {r["EmployeeID"] for r in A.daily_attendance(punches, users, depts, **kw).collect()}
+    every = names()
+    assert names(employee="E0_", raw_like=True) == {x for x in every if x.startswith("E0")} and names(employee="E0_") == set()
+
+
 def test_deep_pages_by_position_equal_the_sorted_pages(spark, tables, monkeypatch):
     punches, users, depts = tables
     rec = A.daily_attendance(punches, users, depts)

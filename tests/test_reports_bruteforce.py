@@ -130,7 +130,7 @@ def test_reports_match_brute_force(spark, tmp_path):
 
     expected_b = brute_b(users, depts, punches)
     udf.write.parquet(str(tmp_path / "users"))
-    for users_frame in (udf, spark.read.parquet(str(tmp_path / "users"))):  # raw-ID path, then broadcast/hash path
+    for users_frame in (udf, spark.read.parquet(str(tmp_path / "users"))):  # without and with a size estimate
         got_b = {
             (r["EmployeeID"], r["rawDate"]): (r["FirstName"], r["LastName"], r["Name"], r["Department"], r["EmpType"], r["Date"], r["Weekday"], r["FirstIn"], r["LastOut"], r["TotalHours"], r["Status"])
             for r in B.daily_report_b(p, users_frame, ddf).collect()

@@ -118,6 +118,26 @@ def test_no_row_of_an_odd_upload_is_lost(spark, tmp_dir):
             upload_frames(spark, path)
 
 
+def test_one_wide_line_says_nothing_about_other_files(spark, tmp_dir):
+    """A quoted cell of 25,000 commas, a line of 25,000 cells, stray and doubled quotes, short lines, blank lines."""
+    d = os.path.join(tmp_dir, "wide")
+    os.makedirs(d)
+    write(os.path.join(d, "a.csv"), "PersonNo,Date,Time\n\nE1,2026-05-25,09:00\nE2\n" + "E3" + "," * 25_000 + "\n")
+    write(os.path.join(d, "b.csv"), 'PersonNo,Name,Date\nE4,"' + "," * 25_000 + '",x\nE5,a"b,"c""d"\n  \n,"",z\nE6,"open,y\n')
+    for multi_line in (False, True):
+        rows = uploads.read_csv_uploads(spark, d, multi_line).orderBy("upload_id", "row_ord").collect()
+        got = [(os.path.basename(r["upload_id"]), r["cells"]) for r in rows]
+        assert got == [
+            ("a.csv", {"personno": "E1", "date": "2026-05-25", "time": "09:00"}),
+            ("a.csv", {"personno": "E2", "date": None, "time": None}),
+            ("a.csv", {"personno": "E3", "date": None, "time": None}),
+            ("b.csv", {"personno": "E4", "name": "," * 25_000, "date": "x"}),
+            ("b.csv", {"personno": "E5", "name": 'a"b', "date": 'c"d'}),
+            ("b.csv", {"personno": None, "name": "", "date": "z"}),
+            ("b.csv", {"personno": "E6", "name": '"open', "date": "y"}),
+        ]
+
+
 def test_workbook_zero_is_blank_except_as_a_time(spark, tmp_dir):
     header = ["PersonNo", "Staff ID", "Date", "Time"]
     write_xlsx(os.path.join(tmp_dir, "w.XLSX"), header, [[0, "EMP001", 45992, 0], [0, "", 45992, 0.5], [0, "EMP001", 0, 0.5]])

@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 
 import pytest
@@ -79,3 +80,25 @@ def test_swapped_header_is_rejected(spark, tmp_dir):
     q = start_punch_stream(spark, inp, ["Staff ID", "Date", "Time", "DeviceName", "AreaName"], lambda s: users, *(os.path.join(tmp_dir, x) for x in ("p5", "m5", "c5")))
     with pytest.raises(StreamingQueryException):
         q.awaitTermination(120)
+
+
+def test_dedup_reads_the_dates_of_the_batch_only(spark, tmp_dir, capsys):
+    """Late and repeated punches against a table of many dates; the scan is given the batch's dates."""
+    from punchspark.sources.sinks import append_punches
+    from punchspark.streaming import punch_stream as S
+
+    path = f"{tmp_dir}/punches"
+    at = lambda day, hour: dt.datetime(2026, 1, day, hour)
+    frame = lambda rows: spark.createDataFrame([(e, t, "G", None, None) for e, t in rows], "EmployeeNo string, PunchDateTime timestamp_ntz, DeviceName string, AreaName string, Status string")
+    assert S.new_punches(frame([("E1", at(1, 9))] * 2), path, "x").count() == 1
+    append_punches(frame([("E1", at(d, 9)) for d in range(1, 20)]), path, "old")
+    batch = frame([("E1", at(3, 9)), ("E1", at(3, 10)), ("E2", at(3, 9)), ("E1", at(25, 9)), ("E1", at(25, 9)), (None, at(4, 9))])
+    new = S.new_punches(batch, path, "new")
+    assert sorted((r.EmployeeNo or "", r.PunchDateTime) for r in new.collect()) == [("", at(4, 9)), ("E1", at(3, 10)), ("E1", at(25, 9)), ("E2", at(3, 9))]
+    read = S.stored_on_dates_of(batch, spark.read.parquet(path))
+    read.explain("formatted")
+    filters = [x for x in capsys.readouterr().out.splitlines() if x.startswith("PartitionFilters")]
+    assert len(filters) == 1 and all(f"2026-01-{d:02d}" in filters[0] for d in (3, 4, 25)) and "2026-01-05" not in filters[0]
+    append_punches(new, path, "new")
+    assert S.new_punches(batch, path, "new").count() == 4  # its own load is not held against it
+    assert S.new_punches(batch, path, "third").where("EmployeeNo is not null").count() == 0
