@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from punchspark.session import ensure_checkpoint_dir
 
 BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 4096
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 """Byte table that lower-cases A-Z and leaves every other byte as it is."""
@@ -47,8 +48,8 @@ def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose ``column`` holds about ``limit`` bytes (one row at least)."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of ``rows`` rows at most, whose ``column`` holds about ``limit`` bytes (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -56,7 +57,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
 

@@ -53,6 +53,7 @@ MISS = 1e-6
 MOST_BANDS = 28
 SKETCH_BITS = 512
 SET_BITS = 1024
+HASH_BYTES = 1 << 18
 SIGN_ROWS = 1024
 """Sets signed at a time, which bounds the bitmaps in a worker's memory."""
 
@@ -110,14 +111,25 @@ _BY_WORD = _odd_numbers(SHINGLE, 2)
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word: a random multiplier for every byte's place, then mixed."""
+    """A 64-bit hash of each word: a random multiplier for every byte's place, then mixed.
+
+    Numbers a byte take many times its size, so words are hashed in slices of about ``HASH_BYTES``.
+    """
     data, offsets = text_bytes(words)
+    out = np.zeros(len(words), np.uint64)
+    start = 0
+    while start < len(words):
+        end = max(int(np.searchsorted(offsets, offsets[start] + HASH_BYTES, "right")) - 1, start + 1)
+        out[start:end] = _hashes(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+        start = end
+    return out
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lengths = np.diff(offsets)
     place = np.arange(len(data)) - np.repeat(offsets[:-1], lengths)
     factor = _BY_PLACE[place % len(_BY_PLACE)] + (place // len(_BY_PLACE)).astype(np.uint64) * np.uint64(2)
     value = (data.astype(np.uint64) + np.uint64(1)) * factor
-    if not len(words):
-        return np.zeros(0, np.uint64)
     return mixed(np.add.reduceat(value, offsets[:-1]) + lengths.astype(np.uint64))
 
 

@@ -37,8 +37,8 @@ ROUNDS, PER_ROUND = 4, 200
 """Rounds of the exchange, and labels a class that each view gives in one, on the average of both classes."""
 KEEP_SCORE = 0.3
 META_SLOTS = 64
-VIEW_BYTES = 1 << 20
-"""Bytes of text whose features are made at a time; counting bytes takes many times that in memory."""
+VIEW_BYTES, VIEW_ROWS = 1 << 20, 512
+"""Bytes and rows of text whose features are made at a time; both take many times that in memory."""
 
 
 def text_view(texts: pa.Array) -> np.ndarray:
@@ -129,7 +129,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest: Callab
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text features, and the places of the metadata features that are 1."""
-    for part in blocks(batches, "text", VIEW_BYTES):
+    for part in blocks(batches, "text", VIEW_BYTES, VIEW_ROWS):
         text = text_view(part.column("text")).astype(np.float32)
         meta = meta_view(part.column("lang"), part.column("source"), part.column("n_chars"))
         places = np.nonzero(meta)[1].astype(np.int16).reshape(len(meta), -1)
@@ -155,7 +155,7 @@ def _ranked(weights: list[np.ndarray], counts: dict[int, int], taken: set):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {(k, label): (np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)) for k in (0, 1) for label in (1, 0)}
-        for batch in batches:
+        for batch in blocks(batches, "text", VIEW_BYTES, VIEW_ROWS):
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
             free = np.array([x not in taken for x in zip(ids.tolist(), keys.tolist())], bool)
             views = _matrices(batch.column("text").to_pylist(), batch.column("meta").to_pylist())
@@ -178,8 +178,12 @@ def _surest(pool: DataFrame) -> Callable:
 
     def find(weights: list[np.ndarray], counts: dict[int, int], taken: set) -> dict:
         ranked = pool.mapInArrow(_ranked(weights, counts, frozenset(taken)), "view int, label int, certainty double, doc_id long, key long")
-        place = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("certainty"), "doc_id", "key"))
-        best = ranked.withColumn("place", place).where((F.col("label") == 1) & (F.col("place") <= counts[1]) | (F.col("label") == 0) & (F.col("place") <= counts[0])).collect()
+        best = ranked
+        for salts in (1 + int(pool.rdd.getNumPartitions() ** 0.5), 1):  # a tree: the best of each part, then of all
+            part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(salts))
+            place = F.row_number().over(Window.partitionBy("view", "label", part).orderBy(F.desc("certainty"), "doc_id", "key"))
+            best = best.withColumn("place", place).where((F.col("label") == 1) & (F.col("place") <= counts[1]) | (F.col("label") == 0) & (F.col("place") <= counts[0])).drop("place")
+        best = best.collect()
         chosen = {(r.doc_id, r.key) for r in best}
         if not chosen:
             return {}
@@ -228,7 +232,7 @@ def classify(docs: DataFrame, views: Views | None) -> DataFrame:
             arrays = [pa.array(s, t, from_pandas=True) for s, t in ((text, pa.large_string()), (lang, pa.string()), (source, pa.string()), (n_chars, pa.float64()))]
             arrays[3] = arrays[3].cast(pa.int64())
             whole = pa.RecordBatch.from_arrays(arrays, ["text", "lang", "source", "n_chars"])
-            parts = [shared.value.scores((text_view(p.column("text")), meta_view(*(p.column(c) for c in ("lang", "source", "n_chars"))))) for p in blocks(iter([whole]), "text", VIEW_BYTES)]
+            parts = [shared.value.scores((text_view(p.column("text")), meta_view(*(p.column(c) for c in ("lang", "source", "n_chars"))))) for p in blocks(iter([whole]), "text", VIEW_BYTES, VIEW_ROWS)]
             yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 3)), columns=["text_score", "meta_score", "score"])
 
     own = run(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))

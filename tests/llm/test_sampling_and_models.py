@@ -14,7 +14,7 @@ import pytest
 from punchspark.llm import importance as I
 from punchspark.llm import language_model as M
 from punchspark.llm import prefix_trie as T
-from tests.llm.data import LOWER_AZ, bench_words, docs_df, hostile_rows, multiset
+from data import LOWER_AZ, bench_words, docs_df, hostile_rows, multiset
 
 ITEMS = [(1, "the of x1 Über"), (2, None), (None, "naïve 日本 the of"), (4, "")]
 
