@@ -46,7 +46,7 @@ def _ends_chunk(h: Column, i: Column) -> Column:
 
 
 def chunks(hashed: DataFrame) -> DataFrame:
-    """(id, tie, start, end, key) of the chunks of two lines or more of both levels; lines count from 1.
+    """(id, tie, n, start, end, key) of the chunks of two lines or more of both levels; lines count from 1.
 
     Each step's columns are used more than once by the next, so the optimiser keeps the
     steps apart and no array is built again for every element.
@@ -57,17 +57,17 @@ def chunks(hashed: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(1), F.size("h") - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
     spans = ends.where(F.size("h") > 1).select(*PLACE, "h", F.concat(coarse, pairs).alias("spans"))
     return spans.select(
-        *PLACE, F.inline(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.slice(F.col("h"), s["start"], s["end"] - s["start"] + 1)).alias("key"))))
+        *PLACE, F.size("h").alias("n"), F.inline(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.slice(F.col("h"), s["start"], s["end"] - s["start"] + 1)).alias("key"))))
     )
 
 
 def diagonals(hashed: DataFrame) -> DataFrame:
-    """(id, tie, at, shift, starts): chunks of a document that occur first at ``at`` = (id, tie), ``shift`` lines further."""
+    """(id, tie, n, at, shift, spans): chunks of a document of n lines that occur first at ``at`` = (id, tie), ``shift`` lines further."""
     found = chunks(hashed)
     first = found.groupBy("key").agg(F.min(F.struct(*PLACE, "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
     later = found.join(first, "key").where(F.struct(*PLACE, "start") != F.col("first"))
     at, shift = F.struct("first.id", "first.tie").alias("at"), (F.col("first.start") - F.col("start")).alias("shift")
-    return later.select(*PLACE, at, shift, "start", "end").groupBy(*PLACE, "at", "shift").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return later.select(*PLACE, "n", at, shift, "start", "end").groupBy(*PLACE, "n", "at", "shift").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def _between(stops: Column) -> Column:
@@ -81,10 +81,11 @@ def runs(hashed: DataFrame) -> DataFrame:
     found = diagonals(hashed)
     own = F.struct(*PLACE) == F.col("at")
     theirs = hashed.select(F.struct(*PLACE).alias("at"), F.col("h").alias("other"))
-    both = found.where(~own).join(theirs, "at")
-    # of the other document only what can stand beside this one's lines is carried
+    # of the other document only what can stand beside this one's lines is carried on; the join below keeps the
+    # optimiser from cutting it out anew for every line
     reach = F.greatest(F.lit(0), F.col("shift"))
-    both = both.join(hashed, PLACE).select(*PLACE, "at", "shift", "h", F.slice("other", reach + 1, F.size("h")).alias("other"), reach.alias("reach"))
+    both = found.where(~own).join(theirs, "at").select(*PLACE, "at", "shift", reach.alias("reach"), F.slice("other", reach + 1, F.col("n")).alias("other"))
+    both = both.join(hashed, PLACE)
     meets = lambda i: F.get("other", i + F.col("shift") - F.col("reach") - 1).eqNullSafe(F.element_at("h", i)) & (i + F.col("shift") > F.col("reach"))
     stops = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: ~meets(i)), F.array(F.size("h") + 1))
     grown = both.select(*PLACE, "at", "shift", stops.alias("stops")).select(*PLACE, "at", "shift", _between(F.col("stops")).alias("spans"))
