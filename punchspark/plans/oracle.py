@@ -456,6 +456,8 @@ SELECT EmployeeNo, strftime(ts, '%Y-%m-%d %H:%M:%S') AS PunchDateTime,
   CASE WHEN arg_min(unauth, rec) THEN 'Unauthorized Entry' END AS Status,
   arg_min(match_method, rec) AS match_method
 FROM kept GROUP BY EmployeeNo, ts""",
+        "punch_stream": f"""{ing}
+SELECT EmployeeNo, strftime(ts, '%Y-%m-%d %H:%M:%S') AS PunchDateTime FROM kept GROUP BY EmployeeNo, ts""",
         "ingest_metrics": f"""{ing},
 g AS (SELECT EmployeeNo, ts, count(*) AS n FROM kept GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM g) AS importedRows, CAST((SELECT coalesce(sum(n - 1), 0) FROM g) AS BIGINT) AS skippedDuplicates,
@@ -569,6 +571,12 @@ p AS (
 )
 SELECT p.* FROM p SEMI JOIN days USING (EmployeeID, rawDate)""",
         "report_csv_lines": f"SELECT {" || ',' || ".join(cells)} AS line FROM ({records_b(rough)})",
+        "upload_csv": """
+SELECT event_id, 'said "' || event_type || '", at ' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS note, event_type AS kind,
+       CASE WHEN event_id % 3 = 0 THEN props END AS props
+FROM events""",
+        "punches_stored": f"SELECT EmployeeNo, strftime(PunchDateTime, '%Y-%m-%d %H:%M:%S') AS PunchDateTime, Status FROM ({PUNCHES})",
+        "export_written": f"SELECT {" || ',' || ".join(cells)} AS line FROM ({records_b(rough)})",
         "header_check": f"""
 WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS upload_id, concat_ws(',', {needs}) AS missing FROM part)
 SELECT upload_id, missing = '' AS valid, missing FROM m""",

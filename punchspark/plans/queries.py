@@ -6,6 +6,8 @@ aliases every column so it lines up with its SQL oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,12 @@ from punchspark.operators import rollups as D
 from punchspark.plans import driver_tables as DT
 from punchspark.plans.dashboard import dashboard_bundle as bundle
 from punchspark.plans.driver_tables import engine_tables
-from punchspark.sources import sinks
+from punchspark.plans.export import export_report
+from punchspark.session import ensure_checkpoint_dir
+from punchspark.sources import sinks, tables, uploads
 from punchspark.sources.tables import USERS_SCHEMA
 from punchspark.sources.uploads import check_uploads, with_missing_columns
+from punchspark.streaming.punch_stream import start_punch_stream
 
 # Parameters of the filtered variants (fixed so the oracle can use the same).
 FILTER_START = "2024-01-05"
@@ -459,7 +464,65 @@ def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("clock", minutes_to_time("minutes"))
 
 
+# ---------------------------------------------------------------------------
+# Written and read again: uploads, the punch table, exports, the file stream
+# ---------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared one."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+def _write_csv(df: DataFrame, path: str) -> None:
+    df.write.option("header", True).option("escape", '"').option("emptyValue", "").mode("append").csv(path)
+
+
+def upload_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event in CSV files of two layouts, with commas and quotes in cells, cut into cells by each file's header."""
+    path, events = _scratch(spark, "uploads"), DT.table(spark, sf_dir, "events")
+    note = F.concat(F.lit('said "'), F.col("event_type"), F.lit('", at '), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    cells = events.select(F.col("event_id").cast("string").alias("Event ID"), note.alias("Note"), F.col("event_type").alias("Kind"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("Props"))
+    even = F.col("Event ID").cast("long") % 2 == 0
+    _write_csv(cells.where(even), path)
+    _write_csv(cells.where(~even).select("Props", F.lit("x").alias("Extra"), F.col("Kind").alias("KIND"), "Note", F.col("Event ID").alias("eventid")), path)
+    cell = lambda k: F.try_element_at("cells", F.lit(k))
+    return uploads.read_csv_uploads(spark, path).select(cell("eventid").cast("long").alias("event_id"), cell("note").alias("note"), cell("kind").alias("kind"), cell("props").alias("props"))
+
+
+def punches_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every punch appended to a stored table, one load of it twice as after a crash, and read back by schema."""
+    warehouse = _scratch(spark, "warehouse")
+    punches, _, _ = engine_tables(spark, sf_dir)
+    for load, rows in (("a", "LogID % 2 = 0"), ("b", "LogID % 2 = 1"), ("a", "LogID % 2 = 0")):
+        sinks.append_punches(punches.where(rows), f"{warehouse}/punches", load)
+    return tables.punches(spark, warehouse).select("EmployeeNo", F.date_format("PunchDateTime", "yyyy-MM-dd HH:mm:ss").alias("PunchDateTime"), "Status")
+
+
+def export_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV export of a whole report, read back as lines."""
+    punches, users, departments = _rough(spark, sf_dir)
+    path = export_report(spark, punches, users, departments, "csv", _scratch(spark, "exports"))["path"]
+    lines = spark.read.text(path)
+    return lines.where(~F.col("value").startswith('"Employee ID"')).select(F.col("value").alias("line"))
+
+
+def punch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The punch upload as files of a stream that takes what is there and stops; what it has stored, each punch once."""
+    base = _scratch(spark, "stream")
+    events, part, customer = (DT.table(spark, sf_dir, t) for t in ("events", "part", "customer"))
+    upload = DT.punch_upload_from_events(events, part).drop("upload_id", "row_ord")
+    _write_csv(upload, f"{base}/in")
+    query = start_punch_stream(spark, f"{base}/in", upload.columns, lambda s: DT.named_roster(customer, part), f"{base}/punches", f"{base}/metrics", f"{base}/progress", cross_file_dedup=True)
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/punches").select("EmployeeNo", F.date_format("PunchDateTime", "yyyy-MM-dd HH:mm:ss").alias("PunchDateTime"))
+
+
 REGISTRY = {
+    "upload_csv": upload_csv,
+    "punches_stored": punches_stored,
+    "export_written": export_written,
+    "punch_stream": punch_stream,
     "all_punches": all_punches,
     "export_rough": export_rough,
     "export_repeated_users": export_repeated_users,
