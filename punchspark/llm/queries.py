@@ -120,7 +120,107 @@ REGISTRY = {
     "op13_kneser_ney": op13_kneser_ney,
 }
 
+def _crc_step(value: int) -> int:
+    for _ in range(8):
+        value = value >> 1 ^ 0xEDB88320 * (value & 1)
+    return value
+
+
+def _crc_sql(name: str, source: str) -> str:
+    """A recursive table ``name`` (x, crc) with the CRC-32 of each text x of ``source``, byte by byte."""
+    steps = ", ".join(str(_crc_step(b)) for b in range(256))
+    byte = "('0x' || substr(h, 2 * done + 1, 2))::BIGINT"
+    return f"""
+        {name}_state AS (
+            SELECT x, hex(encode(x)) AS h, 0 AS done, 4294967295::BIGINT AS c FROM {source}
+            UNION ALL
+            SELECT x, h, done + 1, xor(c >> 8, ([{steps}]::BIGINT[])[xor(c & 255, {byte}) + 1]) FROM {name}_state WHERE 2 * done < length(h)
+        ),
+        {name} AS (SELECT x, xor(c, 4294967295) AS crc FROM {name}_state WHERE 2 * done = length(h))"""
+
+
+def _words_sql(table: str, key: str) -> str:
+    """(key, w): the lower-cased words of each row."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, regexp_extract_all(regexp_replace({lower}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM {table}"
+
+
+def _grams_sql(words: str) -> str:
+    """(key, x): the words of each row and its pairs of neighbours."""
+    return f"""SELECT key, unnest(w) AS x FROM {words} WHERE len(w) > 0
+            UNION ALL
+            SELECT key, w[s] || ' ' || w[s + 1] FROM (SELECT key, w, unnest(range(1, len(w))) AS s FROM {words} WHERE len(w) > 1)"""
+
+
 ORACLES = {
+    "op11_importance_resampling": f"""
+        WITH RECURSIVE d AS MATERIALIZED ({_words_sql("documents", "doc_id, row_number() OVER () AS key")}),
+        b AS MATERIALIZED ({_words_sql("benchmark", "row_number() OVER () AS key")}),
+        dg AS MATERIALIZED ({_grams_sql("d")}),
+        bg AS MATERIALIZED ({_grams_sql("b")}),
+        grams AS MATERIALIZED (SELECT DISTINCT x FROM (SELECT x FROM dg UNION ALL SELECT x FROM bg)),
+        {_crc_sql("crcs", "grams")},
+        cells AS MATERIALIZED (SELECT x, crc % 10000 AS cell FROM crcs),
+        s AS (SELECT cell, count(*) AS n FROM dg JOIN cells USING (x) GROUP BY cell),
+        t AS (SELECT cell, count(*) AS n FROM bg JOIN cells USING (x) GROUP BY cell),
+        gains AS MATERIALIZED (
+            SELECT s.cell, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dg) + 10000)
+                / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM bg) + 10000))))::BIGINT AS gain
+            FROM s LEFT JOIN t ON t.cell = s.cell
+        ),
+        weights AS (SELECT key, count(*) AS n, sum(gain) AS total FROM dg JOIN cells USING (x) JOIN gains USING (cell) GROUP BY key),
+        scored AS (
+            SELECT d.key, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+                floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+            FROM d LEFT JOIN weights USING (key)
+        ),
+        ranked AS (
+            SELECT key, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS drawn
+            FROM scored WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= drawn THEN rank END AS rank
+        FROM scored LEFT JOIN ranked USING (key)
+    """,
+    "op12_prefix_trie": f"""
+        WITH RECURSIVE own AS MATERIALIZED (
+            SELECT conv_id, digest, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos
+            FROM (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                    strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL)
+        ),
+        sizes AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, conv_id::VARCHAR AS x, count(*) AS n FROM own GROUP BY conv_id),
+        {_crc_sql("crcs", "sizes")},
+        heads AS MATERIALIZED (
+            SELECT sizes.conv_id, sizes.base, crc % 9 AS h, least(crc % 9, coalesce(b.n, 0)) AS taken
+            FROM sizes JOIN crcs USING (x) LEFT JOIN sizes b ON b.conv_id = sizes.base
+        ),
+        rebuilt AS MATERIALIZED (
+            SELECT heads.conv_id, pos AS depth, digest, bytes FROM heads JOIN own ON own.conv_id = base AND pos <= h
+            UNION ALL
+            SELECT heads.conv_id, pos - h + taken, digest, bytes FROM heads JOIN own ON own.conv_id = heads.conv_id AND pos > h
+        ),
+        paths AS MATERIALIZED (
+            SELECT conv_id, depth, bytes, sha256(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM rebuilt
+            UNION ALL
+            SELECT conv_id, 0, 0, '' FROM sizes
+        ),
+        lengths AS (SELECT conv_id, max(depth) AS length FROM paths GROUP BY conv_id),
+        nodes AS MATERIALIZED (
+            SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256
+            FROM paths JOIN lengths USING (conv_id) GROUP BY depth, path
+        ),
+        up AS MATERIALIZED (SELECT n.depth, n.path, p.path AS parent FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+        kids AS (SELECT depth - 1 AS depth, parent AS path, count(*) AS n_children FROM up GROUP BY ALL),
+        below AS (
+            SELECT p.depth, p.path, sum(n.own) AS saved, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves
+            FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.path = n.path JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+            GROUP BY p.depth, p.path
+        )
+        SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves,
+            saved::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN below ON below.depth = n.depth AND below.path = n.path LEFT JOIN kids k ON k.depth = n.depth AND k.path = n.path
+        LEFT JOIN up ON up.depth = n.depth AND up.path = n.path LEFT JOIN nodes q ON q.depth = n.depth - 1 AND q.path = up.parent
+    """,
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
         b AS (
