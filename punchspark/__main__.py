@@ -7,7 +7,7 @@
   python -m punchspark export     --warehouse W --out DIR --format csv [--from D --to D --department NAME --status S --search TEXT]
   python -m punchspark departments --warehouse W
   python -m punchspark users      --warehouse W --action create|update|active --input requests.csv
-  python -m punchspark stream     --warehouse W --input DIR --header "Staff ID,Date,Time,DeviceName"
+  python -m punchspark stream     --warehouse W --input DIR [--header "Staff ID,Date,Time,DeviceName"]
 
 The cluster's session settings (master, spark.checkpoint.dir, sizing) come from
 spark-submit and are taken as they are. Uploads with quoted line breaks need --multi-line.
@@ -90,7 +90,7 @@ def main(argv: list[str] | None = None) -> dict:
         q = start_punch_stream(
             spark,
             a.input,
-            [h.strip() for h in a.header.split(",")],
+            [h.strip() for h in a.header.split(",")] if a.header else None,
             lambda s: tables.users(s, wh),
             os.path.join(wh, "punches"),
             os.path.join(wh, "ingest_metrics"),

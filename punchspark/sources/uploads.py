@@ -62,7 +62,7 @@ def csv_records(spark: SparkSession, paths: str | list[str], multi_line: bool =
         records = records.select("upload_id", place.alias("row_ord"), "value")
     else:
         records = with_row_order(reader.text(paths).select("value", "_metadata"))
-    return records.where(F.col("value").rlike(NOT_BLANK)).select("upload_id", "row_ord", cells_of(F.col("value")).alias("values"))
+    return records_of_lines(records)
 
 
 def header_records(records: DataFrame) -> DataFrame:
@@ -120,7 +120,16 @@ def read_csv_uploads(spark: SparkSession, paths: str | list[str], multi_line: bo
     Each file's first record names its cells; of headers that normalise alike the leftmost
     wins. The headers (a row per file) are joined to the records, by broadcast when small.
     """
-    records = csv_records(spark, paths, multi_line)
+    return keyed_by_header(csv_records(spark, paths, multi_line))
+
+
+def records_of_lines(lines: DataFrame) -> DataFrame:
+    """(upload_id, row_ord, values) of the lines (upload_id, row_ord, value) of CSV files."""
+    return lines.where(F.col("value").rlike(NOT_BLANK)).select("upload_id", "row_ord", cells_of(F.col("value")).alias("values"))
+
+
+def keyed_by_header(records: DataFrame) -> DataFrame:
+    """(upload_id, row_ord, cells) of the records of whole files, without their headers."""
     keys = F.transform("header", lambda h: F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), JS_WS, ""))
     headers = header_records(records).select("upload_id", "head_ord", keys.alias("keys"))
     first = F.transform("keys", lambda k, i: F.when((k != "") & (F.array_position(F.col("keys"), k) == i + 1), k))

@@ -1,7 +1,9 @@
 """File-stream ingestion of punch uploads.
 
-Uploads arrive one after another in an input folder (one folder per header
-layout: a streaming CSV source reads columns by position). Each micro-batch runs
+Uploads arrive one after another in an input folder. Without a header layout, files are
+streamed as lines, and each batch, which has its files whole, keys their records by their own
+headers, whatever the order or names of columns. With one, a streaming CSV source reads
+columns by position. Each micro-batch runs
 the same ingestion plan as a batch upload (identity → facility → parse → dedup
 within the file → label) against the roster read for that batch, appends the
 punches (partitioned by date) and the counters. ``trigger(availableNow=True)``
@@ -9,7 +11,7 @@ processes what is there and stops; progress lives in the checkpoint folder, so a
 restarted job resumes from the last committed batch. Lost executors are covered by
 Spark's task retry and output commit protocol. A batch is written as a load named after
 its files, which replaces itself, so a batch that is replayed after a crash adds nothing.
-A file whose header does not match the layout fails the stream: columns are read by position.
+A file whose header does not match a given layout fails the stream: columns are then read by position.
 
 With ``cross_file_dedup`` a punch (resolved ID, time) that is stored already, or comes
 twice in a batch, is not stored again, however late it arrives. A batch reads the stored
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 from punchspark.operators.ingest import ingest_punch_upload
 from punchspark.sources.sinks import append_punches
 from punchspark.sources.tables import PUNCHES_SCHEMA
+from punchspark.sources.uploads import CSV_GLOB, keyed_by_header, records_of_lines
 
 
 def layout_schema(header: list[str]) -> T.StructType:
@@ -49,6 +52,12 @@ def punch_file_stream(spark: SparkSession, input_dir: str, header: list[str], ma
     return raw.select("*", F.col("_metadata.file_path").alias("upload_id"), F.col("_metadata.file_block_start").alias("__blk"))
 
 
+def punch_line_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
+    """Streaming lines of CSV files of any header layouts."""
+    raw = spark.readStream.option("pathGlobFilter", CSV_GLOB).option("maxFilesPerTrigger", max_files_per_trigger).text(input_dir)
+    return raw.select("value", F.col("_metadata.file_path").alias("upload_id"), F.col("_metadata.file_block_start").alias("__blk"))
+
+
 def with_batch_row_order(batch: DataFrame) -> DataFrame:
     """Row order inside a micro-batch (position ids are not allowed on the stream itself)."""
     return batch.withColumn("row_ord", F.struct(F.col("__blk").alias("blk"), F.monotonically_increasing_id().alias("rec"))).drop("__blk")
@@ -98,7 +107,7 @@ def load_name(batch: DataFrame) -> str:
 def start_punch_stream(
     spark: SparkSession,
     input_dir: str,
-    header: list[str],
+    header: list[str] | None,
     users_loader: Callable[[SparkSession], DataFrame],
     punches_path: str,
     metrics_path: str,
@@ -106,12 +115,14 @@ def start_punch_stream(
     available_now: bool = True,
     cross_file_dedup: bool = False,
 ):
-    """Start the stream; returns the StreamingQuery."""
-    stream = punch_file_stream(spark, input_dir, header)
+    """Start the stream; returns the StreamingQuery. Without ``header`` every file goes by its own."""
+    stream = punch_line_stream(spark, input_dir) if header is None else punch_file_stream(spark, input_dir, header)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
         load = load_name(batch)
-        result = ingest_punch_upload(with_batch_row_order(batch), users_loader(batch.sparkSession))
+        rows = with_batch_row_order(batch)
+        upload = keyed_by_header(records_of_lines(rows)) if header is None else rows  # a file comes whole in one batch
+        result = ingest_punch_upload(upload, users_loader(batch.sparkSession))
         groups = result.groups.persist()
         try:
             punches = result.punches.drop("match_method")

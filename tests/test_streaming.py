@@ -102,3 +102,23 @@ def test_dedup_reads_the_dates_of_the_batch_only(spark, tmp_dir, capsys):
     append_punches(new, path, "new")
     assert S.new_punches(batch, path, "new").count() == 4  # its own load is not held against it
     assert S.new_punches(batch, path, "third").where("EmployeeNo is not null").count() == 0
+
+
+def test_stream_takes_files_of_any_layout(spark, tmp_dir):
+    """Columns in another order, under other names, and too many of them; each file by its own header."""
+    inp = os.path.join(tmp_dir, "in")
+    os.makedirs(inp)
+    for name, text in {
+        "a.csv": "Staff ID,Date,Time,DeviceName\nE1,2026-05-25,09:00,MAIN\nE1,2026-05-25,09:00,MAIN\n",
+        "b.CSV": "Time,DeviceName,PersonNo,DATE,Note\n10:00,\"GATE, 2\",e1,25-05-2026,x\n\n11:00,SERVER ROOM-IN,E1,25-05-2026,\n",
+        "empty.csv": "",
+        "c.csv": "Date,Time,PersonNo\n2026-05-26,12:00,NOBODY,and,more,cells\n",
+    }.items():
+        with open(os.path.join(inp, name), "w") as fh:
+            fh.write(text)
+    users = users_df(spark, [(1, "E1", "John", "Smith", 1, "User", None, True)])
+    out, met, ck = (os.path.join(tmp_dir, x) for x in ("punches", "metrics", "ck"))
+    for _ in range(2):  # the second run finds nothing new
+        start_punch_stream(spark, inp, None, lambda s: users, out, met, ck).awaitTermination()
+        got = sorted((r.EmployeeNo, str(r.PunchDateTime), r.DeviceName) for r in spark.read.parquet(out).collect())
+        assert got == [("E1", "2026-05-25 09:00:00", "MAIN"), ("E1", "2026-05-25 10:00:00", "GATE, 2"), ("NOBODY", "2026-05-26 12:00:00", None)]
