@@ -37,7 +37,7 @@ def test_registry():
     import __spark_entry__ as e
 
     names = [q for q in e.queries() if q.startswith("op")]
-    assert [int(q[2:].split("_")[0]) for q in names] == list(range(1, 11)) and "pipeline" in e.queries()
+    assert [int(q[2:].split("_")[0]) for q in names] == list(range(1, 14)) and "pipeline" in e.queries()
 
 
 def test_oracles(spark):
@@ -47,7 +47,7 @@ def test_oracles(spark):
     from punchspark.llm.queries import ORACLES
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in ORACLES.items():
         df = e.queries()[name](spark, sf)
