@@ -2,9 +2,9 @@
 
 Words are runs of characters outside the ASCII separators, with A-Z lower-cased. A window is
 ``n`` consecutive words of an item; an item of fewer words (but not none) is one window. The
-benchmark is indexed in blocks of bounded size, and each block is broadcast by itself; its
-words are counted first, block by block, so what is broadcast at a time has a fixed bound
-however large the benchmark is. In a task, a document's words become ids of the block's
+benchmark is indexed in blocks, which stream through the driver and are broadcast; all of them
+stay, and every worker holds them all, so the benchmark as a whole must fit a worker (by
+estimate 200 bytes a word). In a task, a document's words become ids of the block's
 vocabulary, windows of ids are hashed, looked up in the hash set, and each hit is verified
 id by id against the window that it stands for.
 
@@ -187,8 +187,6 @@ def decontaminate(
     )
 
 
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, unnamed: bool = False) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; repeated rows all stay."""
     marked = decontaminate(docs, benchmark, prefix="__", unnamed=unnamed)

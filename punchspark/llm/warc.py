@@ -3,7 +3,8 @@
 Archives are written and read by Spark alone. A record that ends in a line feed is a line of
 Spark's text writer, so a part file is a valid archive (gzip), and reading uses the binary
 file source. Records are parsed as a stream by their declared lengths, never by looking for
-separators, so payloads may hold anything; a worker holds one record and one output block.
+separators, so payloads may hold anything. The source hands a worker each part file whole, so a
+worker holds a file beside one record and one output block.
 
 * ``write_arc``: a URL record per page (an HTTP response with the page's id in its header),
   behind a version block ("filedesc") that declares the fields of the header lines.
