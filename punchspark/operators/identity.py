@@ -7,7 +7,7 @@ Order of the cascade for a row whose badge ID is a dummy or not on the roster:
 Scale notes: rows resolved by their ID never meet the name match. The others are
 reduced by a partial aggregate to *distinct* (raw name, first-name cell) pairs, so a hot
 name (every unread card of one person) is combined before any shuffle, and each pair
-probes one lookup by equality: index keys, and every substring of an index key, each
+probes one lookup by equality: index keys, and the parts of index keys that may be sought, each
 with the one employee it stands for. A probe meets one lookup row at most, so there are
 no candidates to verify, no candidate cap and no cross join.
 """
@@ -85,10 +85,24 @@ def _words_keys(norm: Column) -> Column:
 LOOSE_MIN_LENGTH = 3
 
 
-def substrings(c: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``c`` of the given lengths."""
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))
-    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(c)), at)))
+def sought_parts(index: DataFrame, names: DataFrame) -> DataFrame:
+    """P8's lookup: (key, emp) of the parts of index keys that may be sought, each with the first key that holds it.
+
+    A key has one row for each of its suffixes, that is, as many as it has letters. A part is the
+    beginning of a suffix, so a suffix meets the lengths of those texts only that begin with its own
+    first letters; a suffix whose beginning nobody seeks ends there.
+    """
+    start = lambda c: F.substring(c, 1, LOOSE_MIN_LENGTH)
+    needle = _needle()
+    # The count keeps the distinct names below as they are, so their exchange is reused.
+    sought = names.groupBy(start(needle).alias("start")).agg(F.collect_set(F.length(needle)).alias("lengths"), F.count(F.lit(1)).alias("n"))
+    firsts = F.sequence(F.lit(1), F.length("key") - (LOOSE_MIN_LENGTH - 1))
+    long_enough = index.where(F.length("key") >= LOOSE_MIN_LENGTH)
+    suffixes = long_enough.select("emp", "pos", F.explode(F.transform(firsts, lambda i: F.substr(F.col("key"), i))).alias("suffix"))
+    met = suffixes.withColumn("start", start(F.col("suffix"))).join(sought.where("start is not null").select("start", "lengths"), "start")
+    fits = F.filter("lengths", lambda n: n <= F.length("suffix"))
+    parts = met.select("emp", "pos", F.explode(F.transform(fits, lambda n: F.substring(F.col("suffix"), 1, n))).alias("key"))
+    return parts.groupBy("key").agg(F.min_by("emp", "pos").alias("emp"))
 
 
 def _needle() -> Column:
@@ -110,11 +124,7 @@ def match_names(names: DataFrame, index: DataFrame, loose: bool = True) -> DataF
     if loose:
         last = F.struct(F.lit(len(METHODS)).alias("prio"), F.lit("part").alias("kind"), _needle().alias("key"))
         probes = F.concat(probes, F.array(last))
-        # The count keeps the distinct names below as they are, so their exchange is reused.
-        sought = names.agg(F.collect_set(F.length(_needle())).alias("lengths"), F.count(F.lit(1))).select("lengths")
-        parts = index.withColumn("lengths", sought.scalar())
-        parts = parts.select("emp", "pos", F.explode(substrings(F.col("key"), F.col("lengths"))).alias("key"))
-        parts = parts.groupBy("key").agg(F.min_by("emp", "pos").alias("emp"))
+        parts = sought_parts(index, names)
         lookup = lookup.unionAll(parts.select(F.lit("part").alias("kind"), "key", "emp"))
     probed = names.select("raw_name", "first_cell", F.inline_outer(probes))
     hit = F.when(F.col("emp").isNotNull(), F.struct("prio", "emp"))
