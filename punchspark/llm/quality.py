@@ -13,8 +13,8 @@ calibrated views is fitted. Then all documents are scored.
 
 Held-out ids and null ids (see ``toxicity.held_out``) are never learned from. Defined results: a null or
 empty text has zero frequencies, null metadata are values of their own. Without labels of both
-kinds every document scores 1 and is kept. Repeated rows each get their row; other columns are
-passed through.
+kinds every document scores 1 and is kept. Repeated rows each get their row. A column
+``quality`` of the input is replaced; other columns are passed through.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ Only the number of rows of each arc (between two virtual nodes) is brought to th
 ``shards * vnodes`` numbers, however many rows there are. The walk around the ring turns
 them into at most ``shards * (vnodes + 1)`` segments (arc, ranks, shard, first slot), a table of
 proven size that is broadcast; a row finds its segment by its rank in its arc. Arcs are cut by
-the hash of the unique id, so copies of a text, hot sources and the like do not gather in one;
-``vnodes`` is the parameter to raise for more and smaller arcs.
+the hash of the id, so copies of a text, hot sources and the like do not gather in one. Ranks
+are counted over a range partitioning that cuts an arc between partitions, so an id (or null)
+that a large part of the rows share is spread as well.
 
 Defined results: a null text counts as empty, a null id is a key of its own. Rows that agree
 in id, text and size are interchangeable. Other columns are ignored.
@@ -22,9 +23,11 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from punchspark.operators.ordering import running, running_count
+
 SHARDS, VNODES = 40, 128
 GRID = 1 << 16
 
@@ -82,8 +85,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, id_col: s
     loads = {r.arc: r.n for r in rows.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
     segments = [dict(zip(("seg_arc", "lo", "hi", "shard", "base"), s)) for s in walk(nodes, loads, shards)]
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(segments)), "array<struct<seg_arc:int,lo:long,hi:long,shard:int,base:long>>")))
-    rank = F.row_number().over(Window.partitionBy("arc").orderBy("place", "doc_id", "text_crc32", "size")).cast("long") - 1
-    ranked = rows.withColumn("rank", rank)
+    order = [F.col(c) for c in ("place", "doc_id", "text_crc32", "size")]
+    ranked = running(rows, ["arc"], order, rank=running_count()).withColumn("rank", F.col("rank") - 1)
     # proven size: at most shards * (vnodes + 1) segments
     placed = ranked.join(F.broadcast(plan), (F.col("arc") == F.col("seg_arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(

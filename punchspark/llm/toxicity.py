@@ -18,7 +18,7 @@ contract at each step). Marginals give the score and the offending character spa
 
 Inputs of a score are the words of the text alone. Defined results: a null or empty text
 scores like one without toxic words. Without labels of both kinds all scores are 0. Repeated
-rows each get their row. Other columns are ignored.
+rows each get their row. A column ``toxicity`` of the input is replaced; other columns are passed through.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from punchspark.llm.near_dedup import word_hashes
 
 TRAIN_ROWS = 4000
 """Labelled documents that the field is fitted on."""
+TRAIN_TOKENS = 3000
+"""Labelled tokens of these documents, and look-alikes, in whose windows it is fitted (and three plain tokens for each)."""
 THRESHOLD = 0.3
 SLOTS = 1 << 16
 OWN_KINDS, KINDS = 4, 6
@@ -57,11 +59,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, columns: list[str]) -> DataFrame:
-    """At most ``rows`` labelled documents that aren't held out: ``columns`` and label."""
+    """At most ``rows`` labelled documents that aren't held out: ``columns`` and label, one row for an id (the least, if it repeats)."""
     own = labels.select(F.col("doc_id").alias("labelled_id"), F.col(label).cast("int").alias("label")).where("label is not null and labelled_id is not null")
     own = own.where(~held_out("labelled_id")).groupBy("labelled_id").agg(F.max("label").alias("label"))
     own = own.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(rows)  # the documented bound of the sample
-    return docs.join(F.broadcast(own), F.col("doc_id") == F.col("labelled_id")).select(*columns, "label")
+    found = docs.join(F.broadcast(own), F.col("doc_id") == F.col("labelled_id")).select("labelled_id", "label", F.struct(*columns).alias("row"))
+    return found.groupBy("labelled_id", "label").agg(F.min("row").alias("row")).select("row.*", "label")
 
 
 def _slots(words: pa.Array) -> np.ndarray:
@@ -209,7 +212,7 @@ def covering_words(words: pa.Array, ids: np.ndarray, row: np.ndarray, toxic: np.
     return (np.isin(things, chosen) | strong[things] & (things >= 0)).any(axis=0) & ~usual
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int = 60) -> Field:
+def fit(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int = 60, tokens: int = TRAIN_TOKENS) -> Field:
     """The field of a labelled sample."""
     field, toxic = Field(), np.array(labels, bool)
     if not toxic.any() or toxic.all():
@@ -226,9 +229,9 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7, rounds: int =
     alike = np.isin(slots[1], slots[1][chosen])[ids] & ~target
     rng = np.random.default_rng(seed)
     marked = np.flatnonzero(target)
-    marked = rng.permutation(marked)[:3000]
+    marked = rng.permutation(marked)[:tokens]
     plain = rng.choice(len(ids), min(3 * len(marked), len(ids)), replace=False)
-    centre = np.concatenate([marked, rng.permutation(np.flatnonzero(alike))[:3000], plain])
+    centre = np.concatenate([marked, rng.permutation(np.flatnonzero(alike))[:tokens], plain])
     shift = rng.integers(-WINDOW // 2, WINDOW // 2 + 1, len(centre))
     grid = (centre + shift)[:, None] + np.arange(-WINDOW, WINDOW + 1)[None, :]
     own_row = row[centre]

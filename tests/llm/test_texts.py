@@ -50,9 +50,11 @@ def test_decontamination(spark):
     by_id = dict(rows)
     items = [(1, by_id[40][100:400]), (2, "One two"), (3, None), (4, "!!"), (10, by_id[60].upper()), (10, "日本"), (None, "the")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = contamination(rows, [x for x in items if x[0] is not None])
-    for block in (500_000, 5):
-        got = decontaminate(docs_df(spark, rows), bench, block_words=block, clean_text=True).collect()
+    want = [(*w[:3], [i for i in w[3] if i != "None"]) for w in contamination(rows, items)]
+    for block, worker in ((500_000, 500_000), (5, 500_000), (5, 20)):  # one block, many of them, several rounds
+        docs = docs_df(spark, rows).withColumn("N_hit", F.lit("a column of the input"))
+        got = decontaminate(docs, bench, block_words=block, worker_words=worker, clean_text=True).collect()
+        assert "N_hit" not in got[0].asDict()
         assert multiset((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == multiset(want)
     assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in got)
     assert {r.clean_text for r in got if r.doc_id == 3} == {""}
@@ -71,10 +73,10 @@ def test_items_without_an_id_hit_too(spark, tmp_path):
     items = [(1, dict(rows)[40][100:400]), (None, dict(rows)[60]), (None, "the"), (None, None), (None, "!!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = [(*w[:3], [i for i in w[3] if i != "None"]) for w in contamination(rows, items)]
-    got = decontaminate(docs_df(spark, rows), bench, unnamed=True).collect()
+    got = decontaminate(docs_df(spark, rows), bench).collect()
     assert multiset((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == multiset(want)
     dropped = sum(hit > 0 and 20 * hit >= n for _, n, hit, _ in want)
-    assert drop_contaminated(docs_df(spark, rows), bench, unnamed=True).count() == len(rows) - dropped < len(rows)
+    assert drop_contaminated(docs_df(spark, rows), bench).count() == len(rows) - dropped < len(rows)
 
     import duckdb
 
@@ -176,6 +178,28 @@ def test_sharding(spark):
     assert again == {(r.doc_id, r.shard, r.slot) for r in got if r.doc_id and r.doc_id >= 1000}
 
 
+def test_one_id_of_most_rows_is_spread(spark):
+    rows = [(None, "x")] * 900 + [(5, "y")] * 900 + [(k, "z") for k in range(300)]
+    docs = docs_df(spark, rows).repartition(6)
+    got = shard(docs, shards=7, vnodes=16).collect()
+    sizes = Counter(r.shard for r in got)
+    assert sum(sizes.values()) == len(rows) and set(sizes.values()) == {300}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(300)) for s in sizes)
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+
+    from punchspark.operators.ordering import PART, range_sorted
+
+    parts = [r[0] for r in range_sorted(docs.select("doc_id"), [F.col("doc_id")], 8).groupBy(PART).count().select("count").collect()]
+    assert len(parts) == 8 and max(parts) < 450  # a third of the rows and more share an id, no task holds them
+
+
+def test_labelled_sample_takes_one_row_for_an_id(spark):
+    docs = docs_df(spark, [(k, "b") for k in range(40)] + [(k, "a") for k in range(40)] * 50)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", 10, ["doc_id", "text"]).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 10 and {r.text for r in got} == {"a"}
+
+
 def test_walk_moves_few_rows():
     nodes = ring(10, 64)
     loads = {a: 10 for a in range(len(nodes))}
