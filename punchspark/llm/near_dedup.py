@@ -16,10 +16,11 @@ No pairs are emitted wholesale within a group of candidates:
 1. Rows with equal shingle sets are one class, represented by one row.
 2. In each band group every class is compared with one leader, the member that shares most
    band keys over all its groups (the original of a set of edited copies, as a rule).
-3. Links found so far give components. Only groups that still hold several components are
-   looked at again, and there every pair from different components whose sketches allow it
-   is compared; pairs inside a component cannot change the result. So no link that joins
-   different components is lost to the choice of leaders.
+3. Links found so far give components. Only the classes of groups that still hold several
+   components are looked at again. Of these, classes of different components are compared that have one of
+   their rarest shingles in common, as all linked ones do (``rarest``); pairs inside a component
+   cannot change the result. So no link that joins different components is lost to the choice of
+   leaders, and documents that share a template, but not enough for a link, don't meet for it.
 
 A pair at exactly the similarity asked for misses all bands with probability below ``MISS``
 and differs in more samples than ``most_odd`` allows with probability below 1e-7; both fall
@@ -40,11 +41,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punchspark.llm.common import LOWER, blocks, checkpointed, keep_rows, mapped_words, text_bytes
+from punchspark.llm.common import BLOCK_ROWS, LOWER, blocks, checkpointed, keep_rows, mapped_words, text_bytes
 from punchspark.llm.components import components
 
 SHINGLE = 5
@@ -56,6 +57,10 @@ SET_BITS = 1024
 HASH_BYTES = 1 << 18
 SIGN_ROWS = 1024
 """Sets signed at a time, which bounds the bitmaps in a worker's memory."""
+BUCKETS = 1 << 18
+"""Buckets in which shingles are counted, to tell rare ones from frequent ones."""
+HUB_PAIRS = 1000
+"""Pairs of one set that are compared in one part."""
 
 
 @dataclass(frozen=True)
@@ -220,18 +225,56 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of the task have a shingle in each bucket that any has."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for part in blocks(batches, "shingles"):
+        data, _ = text_bytes(part.column("shingles"))
+        counts += np.bincount(np.frombuffer(data.tobytes(), np.uint64) % np.uint64(BUCKETS), minlength=BUCKETS)
+    held = np.flatnonzero(counts)
+    for k in range(0, len(held), BLOCK_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(held[k : k + BLOCK_ROWS]), pa.array(counts[held[k : k + BLOCK_ROWS]])], ["bucket", "n"])
+
+
+def rarest(own: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets similar enough have one of them in common.
+
+    Similar sets share ``percent`` hundredths of either at least. Taken in one order of all shingles, the shingles
+    of a set but the last so many less one then hold one that both have. Any order will do; rare ones first meet least.
+    """
+    n = len(own) + 1 - -(-percent * len(own) // 100)
+    return own[np.lexsort((own, counts[(own % np.uint64(BUCKETS)).astype(np.int64)]))[:n]]
+
+
+def _prefixes(counts: Broadcast, percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "shingles"):
+            first = [rarest(np.frombuffer(s, np.uint64), counts.value, percent) for s in part.column("shingles").to_pylist()]
+            at = np.repeat(np.arange(len(first)), [len(f) for f in first])
+            rows = [part.column(c).take(pa.array(at)) for c in ("node", "component")]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(np.concatenate(first).view(np.int64))], ["node", "component", "shingle"])
+
+    return run
+
+
 def _confirmer(percent: int) -> Callable:
-    """Keeps pairs whose full sets are similar enough."""
+    """Keeps pairs whose full sets are similar enough. A set of ``hub`` comes first, those compared with it after it."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        hub, own = None, None
+        for batch in blocks(batches, "shingles"):
             links = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
+            for a, salt, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "shingles"))):
+                other = np.frombuffer(s, np.uint64)
+                if b is None:
+                    hub, own = (a, salt), other
+                    continue
+                if hub != (a, salt):
+                    raise ValueError(f"pair ({a}, {b}) came without the set of {a}")
+                both = np.concatenate([own, other])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                if 100 * shared >= percent * (len(own) + len(other) - shared):
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -254,16 +297,49 @@ def _possible(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
     return both.where(_able(scheme)).select("a", "b", "class_a", "class_b")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links among ``pairs`` (a, b, class_a, class_b), on the full sets made again from the texts needed."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _apart(df: DataFrame) -> DataFrame:
+    """A checkpoint with columns of its own, so that it can be joined with what it was made of in every plan."""
+    done = checkpointed(df)
+    return done.select(*[F.col(c).alias(c) for c in done.columns])
+
+
+def _sets_of(nodes: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class, shingles): the full sets of ``nodes``, made again from the texts needed."""
     wanted = reps.join(nodes, "node", "left_semi").select(F.col("id").alias("want"), F.col("raw_sha256").alias("want_sha"))
     texts = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     texts = texts.join(wanted.distinct(), F.col("id").eqNullSafe(F.col("want")) & (F.col("sha") == F.col("want_sha")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "class binary, shingles binary").dropDuplicates(["class"])
-    full = pairs.join(sets.select(F.col("class").alias("class_a"), F.col("shingles").alias("set_a")), "class_a")
-    full = full.join(sets.select(F.col("class").alias("class_b"), F.col("shingles").alias("set_b")), "class_b")
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmer(scheme.percent), "a long, b long")
+    return texts.mapInArrow(_sets, "class binary, shingles binary").dropDuplicates(["class"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links among ``pairs`` (a, b, class_a, class_b), on full sets (class, shingles).
+
+    The pairs of one a are dealt in parts of about ``HUB_PAIRS``, and the set of a goes once to each part.
+    """
+    parts = pairs.groupBy("a", "class_a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("parts"))
+    own = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("class_a").alias("class"))
+    dealt = pairs.join(parts.select("a", "parts"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"), "b", F.col("class_b").alias("class"))
+    full = own.unionAll(dealt).join(sets, "class").select("a", "salt", "b", "shingles")
+    ordered = full.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(_confirmer(scheme.percent), "a long, b long")
+
+
+def _across(opened: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Possible pairs (a, b, class_a, class_b) from different components that share one of their rarest shingles, of ``opened`` (node, component, class, shingles).
+
+    No link is missed. A passage that many documents have is among the rarest shingles of those only that
+    hold little else, so the documents of one template don't meet over it.
+    """
+    tally = opened.select("shingles").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[tally.column("bucket").to_numpy()] = tally.column("n").to_numpy()
+    shared = opened.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers, however many documents there are
+    first = opened.select("node", "component", "shingles").mapInArrow(_prefixes(shared, scheme.percent), "node long, component long, shingle long")
+    met = first.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("shingle")
+    met = first.join(met, "shingle", "left_semi").join(reps.select("node", "class", "n_shingles", "sketch"), "node")
+    side = lambda s: met.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("component", "class", "sketch")], F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"))
+    able = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _able(scheme)
+    return side("a").join(side("b"), "shingle").where(able).select("a", "b", "class_a", "class_b").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -280,27 +356,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keys = reps.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = checkpointed(keys.join(shared, ["band", "key"]))
+    members = _apart(keys.join(shared, ["band", "key"]))
     score = members.groupBy("node").agg(F.sum("members").alias("score"))
     members = members.join(score, "node").select("node", "band", "key", "score")
     lead = members.groupBy("band", "key").agg(F.max(F.struct("score", "node")).alias("lead"))
-    stars = members.join(lead, ["band", "key"]).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).where("a != b").distinct()
-    tried = checkpointed(_possible(stars, reps, scheme))
-    links = checkpointed(_confirmed(tried, reps, rows, scheme))
+    stars = members.join(lead, ["band", "key"]).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
+    tried = _apart(_possible(stars, reps, scheme))
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = checkpointed(_confirmed(tried, _sets_of(ends, reps, rows), scheme))
     found = components(links)
 
     # groups that still hold several components: every possible pair across them
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_groups = labelled.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-    rest = labelled.join(open_groups, ["band", "key"], "left_semi").join(reps.select("node", "n_shingles", "sketch"), "node")
-    side = lambda s: rest.select("band", "key", F.col("node").alias(s), F.col("component").alias(f"component_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    able = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _able(scheme)
-    across = side("a").join(side("b"), ["band", "key"]).where(able).select("a", "b").distinct()
-    across = across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    named = lambda s: reps.select(F.col("node").alias(s), F.col("class").alias(f"class_{s}"))
-    across = checkpointed(across.join(named("a"), "a").join(named("b"), "b"))
-    if not across.isEmpty():
-        more = checkpointed(_confirmed(across, reps, rows, scheme))
+    rest = labelled.join(open_groups, ["band", "key"], "left_semi").select("node", "component").distinct()
+    if not rest.isEmpty():
+        sets = _sets_of(rest.select("node"), reps, rows)
+        opened = _apart(rest.join(reps.select("node", "class"), "node").join(sets, "class"))
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        across = _apart(_across(opened, reps, scheme).join(done, ["a", "b"], "left_anti"))
+        more = checkpointed(_confirmed(across, opened.select("class", "shingles"), scheme))
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     labels = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -8,11 +8,12 @@ import pytest
 import xxhash
 from data import docs_df, hostile_rows, multiset, near_components, near_set, substring_dedup
 
+from punchspark.llm import near_dedup as N
 from punchspark.llm import suffix_dedup as S
 from punchspark.llm.components import components
 from punchspark.llm.exact_dedup import drop_copies, exact_dedup
 from punchspark.llm.line_dedup import SPACING, line_dedup
-from punchspark.llm.near_dedup import Scheme, _able, drop_near_copies, near_dedup, shingle_sets, signatures
+from punchspark.llm.near_dedup import BUCKETS, Scheme, _able, drop_near_copies, near_dedup, rarest, shingle_sets, signatures
 
 
 def test_exact_dedup(spark):
@@ -97,6 +98,37 @@ def test_near_dedup_links_without_a_common_leader(spark):
     assert {(r.id, r.component_id) for r in got} == {(rows[k][0], w[1]) for k, w in enumerate(near_components(rows))}
 
 
+def test_near_dedup_of_a_template(spark):
+    """Documents that share a template without being links meet through their own words alone; links among them are found."""
+    frame = [f"t{j}" for j in range(150)]
+    rows = [(k, " ".join(frame + [f"d{k}x{j}" for j in range(36)])) for k in range(150)]
+    rows += [(1000 + k, rows[k][1] + f" end{k}") for k in range(0, 150, 7)]
+    rows += [(2000 + k, rows[k][1].replace(f"d{k}x20", "other").replace("t75", "other")) for k in range(0, 150, 11)]
+    got = near_dedup(docs_df(spark, rows).repartition(5)).collect()
+    assert {(r.id, r.n_shingles, r.component_id) for r in got} == {(r[0], *w) for r, w in zip(rows, near_components(rows))}
+    made = spark.range(100).selectExpr("id as doc_id", f"concat('{' '.join(frame)}', array_join(transform(sequence(0, 35), j -> concat(' d', id, 'x', j)), '')) as text")
+    assert all(r.id == r.component_id for r in near_dedup(made).collect())
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 99])
+def test_rarest_shingles_of_similar_sets_meet(percent):
+    rng = np.random.default_rng(percent)
+    counts = rng.integers(0, 5, BUCKETS)
+    similar = 0
+    for _ in range(10_000):
+        both = rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)])) for _ in range(2))
+        if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)):
+            similar += 1
+            assert len(np.intersect1d(rarest(x, counts, percent), rarest(y, counts, percent)))
+    assert similar > 20
+
+
+def test_pairs_of_one_set_are_confirmed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "HUB_PAIRS", 3)
+    test_near_dedup(spark)
+
+
 def test_set_sketch_never_rules_out_a_link(spark):
     import pyarrow as pa
 
