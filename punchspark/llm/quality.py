@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -226,14 +225,13 @@ def classify(docs: DataFrame, views: Views | None) -> DataFrame:
         return docs.withColumn("quality", F.struct(one.alias("text_score"), one.alias("meta_score"), one.alias("score"), F.lit(True).alias("kept")))
     shared = docs.sparkSession.sparkContext.broadcast(views)  # a fixed number of weights
 
-    @F.pandas_udf("text_score double, meta_score double, score double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, lang, source, n_chars in batches:
-            arrays = [pa.array(s, t, from_pandas=True) for s, t in ((text, pa.large_string()), (lang, pa.string()), (source, pa.string()), (n_chars, pa.float64()))]
-            arrays[3] = arrays[3].cast(pa.int64())
-            whole = pa.RecordBatch.from_arrays(arrays, ["text", "lang", "source", "n_chars"])
+    @F.arrow_udf("text_score double, meta_score double, score double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            whole = pa.RecordBatch.from_arrays(list(arrays), ["text", "lang", "source", "n_chars"])
             parts = [shared.value.scores((text_view(p.column("text")), meta_view(*(p.column(c) for c in ("lang", "source", "n_chars"))))) for p in blocks(iter([whole]), "text", VIEW_BYTES, VIEW_ROWS)]
-            yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 3)), columns=["text_score", "meta_score", "score"])
+            scores = np.concatenate(parts) if parts else np.zeros((0, 3))
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(scores[:, k])) for k in range(3)], ["text_score", "meta_score", "score"])
 
     own = run(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
     scored = docs.withColumn("quality", own)
