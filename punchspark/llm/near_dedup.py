@@ -59,6 +59,8 @@ SIGN_ROWS = 1024
 """Sets signed at a time, which bounds the bitmaps in a worker's memory."""
 BUCKETS = 1 << 18
 """Buckets in which shingles are counted, to tell rare ones from frequent ones."""
+FILTER_BITS = 1 << 26
+"""Bits of the table that keeps texts which aren't needed from being dealt."""
 HUB_PAIRS = 1000
 """Pairs of one set that are compared in one part."""
 
@@ -303,11 +305,33 @@ def _apart(df: DataFrame) -> DataFrame:
     return done.select(*[F.col(c).alias(c) for c in done.columns])
 
 
+def _maybe_among(wanted: DataFrame, *names: str) -> Callable:
+    """A filter that lets through all keys of ``wanted`` and few others, from a bit table of ``FILTER_BITS``.
+
+    Its size is fixed; with very many keys it lets more of the others through, and the join after it is as without.
+    """
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(FILTER_BITS)) + 1
+    at = wanted.select(place(*names).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
+    table = np.zeros((FILTER_BITS >> 15, 1 << 12), np.uint8)
+    for part, bits in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist()):
+        table[part - 1] = np.frombuffer(bits, np.uint8)
+    shared = wanted.sparkSession.sparkContext.broadcast(table.ravel())
+
+    @F.arrow_udf("boolean")
+    def maybe(at: pa.Array) -> pa.Array:
+        x = at.to_numpy(zero_copy_only=False) - 1
+        return pa.array((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda *c: maybe(place(*c))
+
+
 def _sets_of(nodes: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """(class, shingles): the full sets of ``nodes``, made again from the texts needed."""
-    wanted = reps.join(nodes, "node", "left_semi").select(F.col("id").alias("want"), F.col("raw_sha256").alias("want_sha"))
-    texts = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    texts = texts.join(wanted.distinct(), F.col("id").eqNullSafe(F.col("want")) & (F.col("sha") == F.col("want_sha")), "left_semi").select("text")
+    """(class, shingles): the full sets of ``nodes``, made again from the texts needed; few others are dealt."""
+    wanted = _apart(reps.join(nodes, "node", "left_semi").select(F.col("id").alias("want"), F.col("raw_sha256").alias("want_sha")).distinct())
+    maybe = _maybe_among(wanted, "want", "want_sha")
+    texts = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).where(maybe("id", "sha"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("want")) & (F.col("sha") == F.col("want_sha")), "left_semi").select("text")
     return texts.mapInArrow(_sets, "class binary, shingles binary").dropDuplicates(["class"])
 
 
@@ -369,7 +393,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # groups that still hold several components: every possible pair across them
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_groups = labelled.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-    rest = labelled.join(open_groups, ["band", "key"], "left_semi").select("node", "component").distinct()
+    rest = _apart(labelled.join(open_groups, ["band", "key"], "left_semi").select("node", "component").distinct())
     if not rest.isEmpty():
         sets = _sets_of(rest.select("node"), reps, rows)
         opened = _apart(rest.join(reps.select("node", "class"), "node").join(sets, "class"))

@@ -129,6 +129,16 @@ def test_pairs_of_one_set_are_confirmed_in_parts(spark, monkeypatch):
     test_near_dedup(spark)
 
 
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 20])
+def test_filter_of_wanted_keys_loses_none(spark, monkeypatch, bits):
+    """A table too small for its keys lets all through."""
+    monkeypatch.setattr(N, "FILTER_BITS", bits)
+    keys = spark.range(100_000).selectExpr("if(id = 0, null, id) as id", "sha2(string(id), 256) as sha")
+    maybe = N._maybe_among(keys.where("id is null or id % 2 = 0"), "id", "sha")
+    got = {r.id for r in keys.where(maybe("id", "sha")).select("id").collect()}
+    assert got >= {None, *range(2, 100_000, 2)} and (bits == 1 << 15 or len(got) < 55_000)
+
+
 def test_set_sketch_never_rules_out_a_link(spark):
     import pyarrow as pa
 
